@@ -66,9 +66,13 @@ ANCHOR = r"(?iU)\b(?:roscad\w*|anclaj\w*|spit|fischer|ftr|rgm)\b"
 MASK = "VARROSCA"
 
 
-def before_fold(col: Column) -> Column:
-    """Join galvanised profile names, split measures, mask anchor rods."""
-    s = F.coalesce(col, F.lit(""))
+def before_fold(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Join galvanised profile names, split measures, mask anchor rods.
+
+    Every step that looks at its input more than once reads a column of the step
+    before, so the expression tree stays small.
+    """
+    s = F.coalesce(text, F.lit(""))
     for pattern, repl in (
         (r"(?iU)\bPFGAL\s*C\s*(?=\d)", "PGC "),
         (r"(?iU)\bPFGAL\s*U\s*(?=\d)", "PGU "),
@@ -77,14 +81,16 @@ def before_fold(col: Column) -> Column:
         (r"(?<=\d)(?=[A-Za-zÁÉÍÓÚÑáéíóúñ])", " "),
     ):
         s = F.regexp_replace(s, pattern, repl)
-    s = F.when(s.rlike(ANCHOR), F.regexp_replace(s, r"(?iU)\bVARILLAS?\b", MASK)).otherwise(s)
-    return normalize(s)
+    df = df.withColumn(out, s)
+    masked = F.regexp_replace(out, r"(?iU)\bVARILLAS?\b", MASK)
+    df = df.withColumn(out, F.when(F.col(out).rlike(ANCHOR), masked).otherwise(F.col(out)))
+    return df.withColumn(out, normalize(F.col(out)))
 
 
-def after_fold(col: Column) -> Column:
+def after_fold(df: DataFrame, out: str) -> DataFrame:
     """Steel gauges, trailing zeros, bar lengths and the lost Ñ."""
-    t = F.replace(F.lower(col), F.lit(MASK.lower()), F.lit("varilla"))
-    gauged = F.regexp_replace(t, r"(?U)\be(?=\d)", "e ")
+    df = df.withColumn(out, F.replace(F.lower(out), F.lit(MASK.lower()), F.lit("varilla")))
+    gauged = F.regexp_replace(out, r"(?U)\be(?=\d)", "e ")
     for pattern, canon in (
         (r"(?<![\d.])0[. ](?:89|90|94|9)(?!\d)", "0.94"),
         (r"(?<![\d.])1[. ](?:20|25|29|2)(?!\d)", "1.29"),
@@ -92,20 +98,24 @@ def after_fold(col: Column) -> Column:
         (r"(?<![\d.])2[. ](?:00|04|0)(?!\d)", "2.04"),
     ):
         gauged = F.regexp_replace(gauged, pattern, canon)
-    t = F.when(t.rlike(r"(?U)\b(?:pgc|pgu|pgo)\b"), gauged).otherwise(t)
-    t = F.regexp_replace(t, r"(?U)\b(\d+\.\d*?[1-9])0+\b", "$1")
-    t = F.regexp_replace(t, r"(?U)\b(\d+)\.0+\b", "$1")
-    bar = F.regexp_replace(t, r"(?U)(\d)\s*x\s*(?:12(?:\s*(?:m|mt|mts|metros))?|6\s*(?:m|mt|mts|metros))\b", "$1")
-    t = F.when(F.contains(t, F.lit("corrugado")) | F.contains(t, F.lit("hierro liso")), bar).otherwise(t)
-    return F.replace(t, F.lit("ñ"), F.lit("n"))
+    steel = F.col(out).rlike(r"(?U)\b(?:pgc|pgu|pgo)\b")
+    df = df.withColumn(out, F.when(steel, gauged).otherwise(F.col(out)))
+    t = F.regexp_replace(out, r"(?U)\b(\d+\.\d*?[1-9])0+\b", "$1")
+    df = df.withColumn(out, F.regexp_replace(t, r"(?U)\b(\d+)\.0+\b", "$1"))
+    bar = F.regexp_replace(out, r"(?U)(\d)\s*x\s*(?:12(?:\s*(?:m|mt|mts|metros))?|6\s*(?:m|mt|mts|metros))\b", "$1")
+    iron = F.contains(F.col(out), F.lit("corrugado")) | F.contains(F.col(out), F.lit("hierro liso"))
+    df = df.withColumn(out, F.when(iron, bar).otherwise(F.col(out)))
+    return df.withColumn(out, F.replace(F.col(out), F.lit("ñ"), F.lit("n")))
 
 
 def with_prepared(df: DataFrame, text: str, out: str = "norm", rules: list[tuple[str, str]] | None = None) -> DataFrame:
     """Canonical matching text; call it on distinct texts."""
     rules = synonym_rules() if rules is None else rules
-    staged = df.withColumn(out, before_fold(F.col(text)))
-    folded = fold_native(F.col(out), rules) if len(rules) <= 12 else synonym_folder(rules)(F.col(out))
-    return staged.withColumn(out, folded).withColumn(out, after_fold(F.col(out)))
+    staged = before_fold(df, text, out)
+    if rules:
+        folded = fold_native(F.col(out), rules) if len(rules) <= 12 else synonym_folder(rules)(F.col(out))
+        staged = staged.withColumn(out, folded)
+    return after_fold(staged, out)
 
 
 def numbers(prepared: Column) -> Column:

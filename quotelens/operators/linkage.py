@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import textnorm as T
 from ..functions.scalars import rnd
 from ..functions.similarity import partial_ratio, token_set_ratio
+from ..session import cut
 
 CUTOFF = 48.0
 AUTO, DOUBT = 85.0, 60.0
@@ -63,8 +64,8 @@ def build_pool(aliases: DataFrame, materials: DataFrame, rules=None) -> DataFram
         "alias_id", "codigo", "denominacion", "norm", "nums", "conf", F.lit(False).alias("sintetico"))
     pool = learned.unionByName(synthetic_aliases(materials, rules))
     canon = materials.select("codigo", T.qualifiers(F.concat_ws(" ", "denominacion_principal", "descripcion")).alias("calif_mat"))
-    return pool.join(canon, "codigo", "left").withColumn(
-        "calif", F.array_sort(F.coalesce("calif_mat", T.qualifiers(F.col("denominacion"))))).drop("calif_mat")
+    return cut(pool.join(canon, "codigo", "left").withColumn(
+        "calif", F.array_sort(F.coalesce("calif_mat", T.qualifiers(F.col("denominacion"))))).drop("calif_mat"))
 
 
 # --- candidates -----------------------------------------------------------------
@@ -74,69 +75,128 @@ def signatures(df: DataFrame, norm: str, key: str) -> DataFrame:
         key, F.array_join("tokens", " ")).dropDuplicates([key])
 
 
-def _ranked(sig: DataFrame, key: str, df: DataFrame, cutoff: float) -> DataFrame:
-    """Tokens from rare to common, total weight, and the prefix every match must touch.
+def _weight(tokens) -> Column:
+    return F.aggregate(tokens, F.lit(0), lambda acc, t: acc + F.length(t) + 1)
 
-    A token weighs its length plus one. With total weight A, the one-sided score
-    reaches c only if the shared weight is at least (c*A + 2(1-c)) / (2-c), so a
-    match must share one of the tokens whose suffix weight reaches that bound.
-    """
-    spread = sig.select(key, F.explode("tokens").alias("token")).join(df, "token", "left")
-    ranked = spread.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))), lambda t: t["token"]).alias("r"))
-    weight = lambda arr: F.aggregate(arr, F.lit(0), lambda acc, t: acc + F.length(t) + 1)
+
+def _least_shared(total: Column, cutoff: float) -> Column:
+    """Shared weight a one-sided score of ``cutoff`` needs when the side weighs ``total``."""
     c = cutoff / 100.0
-    ranked = ranked.withColumn("a", weight(F.col("r")))
-    floor = (F.col("a") * c + 2 * (1 - c)) / (2 - c) - 1e-6
-    spots = F.filter(F.sequence(F.lit(1), F.size("r")), lambda i: weight(F.slice("r", i, F.size("r"))) >= floor)
-    return ranked.withColumn("prefijo", F.transform(spots, lambda i: F.element_at("r", i)))
+    return (total * c + 2 * (1 - c)) / (2 - c) - 1e-6
 
 
 def _one_sided(shared: Column, total: Column) -> Column:
     return 100.0 - 100.0 * (total - shared) / (shared + total - 2)
 
 
-def candidate_pairs(text_sig: DataFrame, alias_sig: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+def rank_tokens(sig: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
+    """Tokens ordered from rare to common, and their total weight (length plus one each)."""
+    spread = sig.select(key, F.explode("tokens").alias("token")).join(vocabulary, "token", "left")
+    packed = F.array_sort(F.collect_list(F.struct(F.coalesce("n_a", F.lit(0)).alias("n"), "token")))
+    ranked = spread.groupBy(key).agg(F.transform(packed, lambda t: t["token"]).alias("r"))
+    return ranked.withColumn("a", _weight(F.col("r")))
+
+
+def prefix(cutoff: float) -> Column:
+    """Tokens one of which every match at ``cutoff`` must share.
+
+    Token i belongs to it while the weight from i to the end still reaches the
+    least shared weight; a pair sharing only what comes after cannot reach it.
+    """
+    spots = F.filter(F.sequence(F.lit(1), F.size("r")), lambda i: _weight(F.slice("r", i, F.size("r"))) >= _least_shared(F.col("a"), cutoff))
+    return F.transform(spots, lambda i: F.element_at("r", i))
+
+
+def vocabulary(text_sig: DataFrame, alias_sig: DataFrame, cell: int = 2000) -> DataFrame:
+    """Tokens both sides use, with the grid that keeps a frequent token out of a single task."""
+    count = lambda df, n: df.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias(n))
+    both = count(text_sig, "n_t").join(count(alias_sig, "n_a"), "token")
+    return both.withColumn("s_t", (1 + F.floor(F.col("n_t") / cell)).cast("int")).withColumn(
+        "s_a", (1 + F.floor(F.col("n_a") / cell)).cast("int"))
+
+
+def candidate_pairs(t: DataFrame, a: DataFrame, vocab: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """All pairs whose token-set score reaches the cutoff, each once: ``(tkey, akey, score)``.
 
-    Joined on prefix tokens from either side; a pair is emitted only at its rarest
-    shared token, and the second direction leaves out what the first one emits.
+    ``t`` and ``a`` come from :func:`rank_tokens`. They join on prefix tokens from
+    either side; a pair is emitted only at its rarest shared token, and the second
+    direction leaves out what the first one emits. Rows of a token are spread over
+    an s_t x s_a grid, so no group of pairs grows beyond one cell.
     """
-    df = alias_sig.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    t = _ranked(text_sig, "tkey", df, cutoff)
-    a = _ranked(alias_sig, "akey", df, cutoff)
+    parts = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grid = ["token", "i", "j"]
 
-    def side(x, key, tokens):
-        return x.select(key, F.col("r").alias(f"r_{key}"), F.col("a").alias(f"a_{key}"), F.explode(tokens).alias("token"))
+    def side(x, key, tokens, own, other, own_n, other_n):
+        rows = x.select(key, F.col("r").alias(f"r_{key}"), F.col("a").alias(f"a_{key}"), F.explode(tokens).alias("token"))
+        rows = rows.join(vocab.select("token", "s_t", "s_a"), "token")
+        rows = rows.withColumn(own, F.pmod(F.hash(key), F.col(own_n))).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
+        return rows.drop("s_t", "s_a").repartition(parts, *grid)
 
-    both = F.array_intersect("r_tkey", "r_akey")
-    shared = F.aggregate("comun", F.lit(0), lambda acc, x: acc + F.length(x) + 1)
+    def joined(left, right, keep):
+        rows = left.join(right, grid)
+        shared = F.array(F.array_intersect("r_tkey", "r_akey"))
+        packed = F.transform(shared, lambda c: F.struct(F.element_at(c, 1).alias("primero"), _weight(c).alias("w")))
+        # evaluated once per joined row; rows that fail give an empty array
+        rows = rows.withColumn("v", F.explode_outer(F.filter(packed, lambda v: (v["primero"] == F.col("token")) & keep(v["w"]))))
+        w = F.col("v.w")
+        score = F.greatest(_one_sided(w, F.col("a_tkey")), _one_sided(w, F.col("a_akey")))
+        return rows.filter("v is not null").select("tkey", "akey", score.alias("score"))
 
-    def joined(left, right):
-        pairs = left.join(right, "token").withColumn("comun", both).filter(F.element_at("comun", 1) == F.col("token"))
-        pairs = pairs.withColumn("w", shared)
-        return pairs.select("tkey", "akey", _one_sided(F.col("w"), F.col("a_tkey")).alias("st"),
-                            _one_sided(F.col("w"), F.col("a_akey")).alias("sa"))
+    text_needs, alias_needs = _least_shared(F.col("a_tkey"), cutoff), _least_shared(F.col("a_akey"), cutoff)
+    t_side, a_side = ("tkey", "i", "j", "s_t", "s_a"), ("akey", "j", "i", "s_a", "s_t")
 
-    by_text = joined(side(t, "tkey", "prefijo"), side(a, "akey", "r")).filter(F.col("st") >= cutoff)
-    by_alias = joined(side(a, "akey", "prefijo"), side(t, "tkey", "r")).filter((F.col("sa") >= cutoff) & (F.col("st") < cutoff))
-    return by_text.unionByName(by_alias).select("tkey", "akey", F.greatest("st", "sa").alias("score"))
+    def of(x, tokens, names):
+        key, own, other, own_n, other_n = names
+        return side(x, key, tokens, own, other, own_n, other_n)
 
+    head = prefix(cutoff)
+    by_text = joined(of(t, head, t_side), of(a, F.col("r"), a_side), lambda w: w >= text_needs)
+    by_alias = joined(of(t, F.col("r"), t_side), of(a, head, a_side), lambda w: (w >= alias_needs) & (w < text_needs))
+    return by_text.unionByName(by_alias).filter(F.col("score") >= cutoff)
 
-def best_aliases(texts: DataFrame, pool: DataFrame, window: int = 9, cutoff: float = CUTOFF, scorer: str = "token") -> DataFrame:
-    """Best ``window`` aliases per token set; ties by confidence, then pool order."""
-    p = pool.withColumn("akey", F.array_join(T.token_set(F.col("norm")), " "))
-    pairs = candidate_pairs(signatures(texts, "norm", "tkey"), signatures(pool, "norm", "akey"), cutoff)
-    if scorer == "indel":
-        pairs = pairs.withColumn("score", F.greatest("score", token_set_ratio("tkey", "akey")))
+
+def rank_both(texts: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    ts, as_ = cut(signatures(texts, "norm", "tkey")), cut(signatures(pool, "norm", "akey"))
+    vocab = cut(vocabulary(ts, as_))
+    return cut(rank_tokens(ts, "tkey", vocab)), cut(rank_tokens(as_, "akey", vocab)), vocab
+
+
+def all_pairs(texts: DataFrame, pool: DataFrame, cutoff: float) -> DataFrame:
+    return candidate_pairs(*rank_both(texts, pool), cutoff)
+
+
+def best_aliases(texts: DataFrame, pool: DataFrame, window: int = 9, cutoff: float = CUTOFF, scorer: str = "token",
+                 stages: tuple[float, ...] = (80.0, 64.0)) -> DataFrame:
+    """Best ``window`` aliases per token set; ties by confidence, then pool order.
+
+    A text that already has ``window`` aliases at a high cutoff cannot gain from a
+    lower one, so only the others go on to the next stage. The result is that of
+    one pass at ``cutoff``. The character scorer may lift any candidate, so it
+    runs on all of them in one stage.
+    """
     order = (F.desc("conf"), F.asc("alias_id"))
     # an alias set can give at most `window` of its copies
+    p = pool.withColumn("akey", F.array_join(T.token_set(F.col("norm")), " "))
     p = p.withColumn("copia", F.row_number().over(Window.partitionBy("akey").orderBy(*order))).filter(F.col("copia") <= window).drop("copia")
-    # only ids cross the top-n shuffle; alias texts join the few survivors
-    slim = pairs.join(p.select("akey", "alias_id", "conf"), "akey").select("tkey", "score", "conf", "alias_id")
+    t, a, vocab = rank_both(texts, pool)
     w = Window.partitionBy("tkey").orderBy(F.desc("score"), *order)
-    top = slim.withColumn("previo", F.row_number().over(w)).filter(F.col("previo") <= window)
-    return top.drop("conf").join(p.drop("akey"), "alias_id")
+    found, open_texts = None, t
+    for level_cut in (*([] if scorer == "indel" else stages), cutoff):
+        pairs = candidate_pairs(open_texts, a, vocab, level_cut)
+        if scorer == "indel":
+            pairs = pairs.withColumn("score", F.greatest("score", token_set_ratio("tkey", "akey")))
+        # only ids cross the top-n shuffle; alias texts join the few survivors
+        slim = pairs.join(p.select("akey", "alias_id", "conf"), "akey").select("tkey", "score", "conf", "alias_id")
+        top = cut(slim.withColumn("previo", F.row_number().over(w)).filter(F.col("previo") <= window).drop("conf"))
+        if level_cut == cutoff:
+            found = top if found is None else found.unionByName(top)
+            break
+        full = top.filter(F.col("previo") == window).select("tkey")
+        done = top.join(full, "tkey", "left_semi")
+        found = done if found is None else found.unionByName(done)
+        open_texts = cut(open_texts.join(full, "tkey", "left_anti"))
+    return found.join(p.drop("akey"), "alias_id")
 
 
 # --- guards -----------------------------------------------------------------------
@@ -187,7 +247,7 @@ def prepare_texts(texts: DataFrame, rules=None) -> DataFrame:
 
 def match(texts: DataFrame, pool: DataFrame, brands: DataFrame, top_n: int = 3, rules=None, scorer: str = "token") -> DataFrame:
     """Ranked matches per distinct text: rank, codigo, denominacion, score, nivel, conf."""
-    t = prepare_texts(texts, rules)
+    t = cut(prepare_texts(texts, rules))
     top = best_aliases(t, pool, window=3 * top_n, scorer=scorer)
     t = T.with_brand_groups(t, "texto", "texto", brands, "g_texto")
     names = T.with_brand_groups(pool.select("denominacion").distinct(), "denominacion", "denominacion", brands, "g_alias")

@@ -164,17 +164,17 @@ def m3(spark, sf):
 def m4(spark, sf):
     """Character-level score of the candidate pairs."""
     t = prepared_texts(spark, sf)
-    pairs = M.candidate_pairs(M.signatures(t, "norm", "tkey"), M.signatures(pool(spark, sf).filter("sintetico"), "norm", "akey"), 85.0)
+    pairs = M.all_pairs(t, pool(spark, sf).filter("sintetico"), 85.0)
     return pairs.select("tkey", "akey", "score", token_set_ratio("tkey", "akey").alias("ratio"))
 
 
 @query("m4_containment", on("pool", "texts", sql=f"""
   WITH t AS (SELECT DISTINCT list_sort(list_distinct(string_split({NORM.format(c='texto')}, ' '))) AS tt FROM texts),
-  a AS (SELECT DISTINCT list_sort(list_distinct(string_split(norm, ' '))) AS at FROM pool)
-  SELECT array_to_string(tt, ' ') AS tkey, array_to_string(at, ' ') AS akey FROM t JOIN a ON list_has_all(tt, at) OR list_has_all(at, tt)"""))
+  a AS (SELECT DISTINCT list_sort(list_distinct(string_split(norm, ' '))) AS al FROM pool)
+  SELECT array_to_string(tt, ' ') AS tkey, array_to_string(al, ' ') AS akey FROM t JOIN a ON list_has_all(tt, al) OR list_has_all(al, tt)"""))
 def m4c(spark, sf):
     t = prepared_texts(spark, sf)
-    return M.candidate_pairs(M.signatures(t, "norm", "tkey"), M.signatures(pool(spark, sf), "norm", "akey"), 100.0).select("tkey", "akey")
+    return M.all_pairs(t, pool(spark, sf), 100.0).select("tkey", "akey")
 
 
 def matches(spark, sf, scorer="token"):
@@ -360,7 +360,7 @@ def v1_pairs(spark, sf):
     scoped = M.v1_scope(lines_, m).withColumn("norm", F.lower(T.normalize(F.col("texto"))))
     items = m.select("codigo", T.normalize(F.col("rubro")).alias("rubro_item"), F.col("p_brand").alias("marca"),
                      T.normalize(full_name()).alias("m_text")).withColumn("norm", F.lower("m_text"))
-    pairs = M.candidate_pairs(M.signatures(scoped, "norm", "tkey"), M.signatures(items, "norm", "akey"), 60.0)
+    pairs = M.all_pairs(scoped, items, 80.0)
     key = lambda df, k: df.withColumn(k, F.array_join(T.token_set(F.col("norm")), " ")).drop("norm")
     both = key(scoped, "tkey").join(pairs, "tkey").join(key(items, "akey"), "akey")
     return both.filter("alcance = 'todo' or rubro_norm = rubro_item or confirmado = codigo").withColumn("p", T.normalize(F.col("texto")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -35,3 +35,14 @@ def checkpoint_root(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="quotelens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write an intermediate result that several later steps read to the shared checkpoint folder.
+
+    Lost executors re-read it from there instead of recomputing the whole lineage.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
+    return df.checkpoint(eager=True)

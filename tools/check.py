@@ -79,7 +79,7 @@ def main():
                 print("   only spark", sorted(sa - sb)[:3], "\n   only duck ", sorted(sb - sa)[:3], flush=True)
         except Exception as e:  # report and go on with the next query
             bad.append(name)
-            print(f"FAIL {name}: {str(e)[:900]}", flush=True)
+            print(f"FAIL {name}: {str(e)[:600]}", flush=True)
     print("bad:", bad)
 
 
