@@ -7,7 +7,7 @@ import importlib
 from .registry import ORACLES, QUERIES, query
 
 MODULES = (
-    "pricing", "compare", "linkage",
+    "pricing", "compare", "linkage", "units",
 
 )
 
