@@ -29,7 +29,7 @@ def sheet_rows(files: DataFrame) -> DataFrame:
     schema = ", ".join(f"c{i} string" for i in range(MAX_COLUMNS))
 
     def parsed(s):
-        return F.from_csv("linea", F.lit(schema), {"sep": s, "mode": "PERMISSIVE"})
+        return F.from_csv("linea", F.lit(schema), {"sep": s, "escape": "\"", "mode": "PERMISSIVE"})
 
     x = x.filter(F.trim("linea") != "")
     # parsed once into a struct, then laid out as an array
@@ -52,12 +52,13 @@ def header_names(spark: SparkSession) -> DataFrame:
 def find_headers(rows: DataFrame) -> DataFrame:
     """First row of each file with a description and a price or total: field -> column.
 
-    A cell names a field when it equals one of its names or starts with one and a
+    The outer explode keeps the optimizer from pushing a size test, and with it
+    the parsing of the cells, into the scan once per column. A cell names a field when it equals one of its names or starts with one and a
     blank; its word prefixes are joined for equality with the name list.
     """
-    cells = rows.filter(F.col("fila") < HEADER_ROWS).select("archivo", "fila", F.posexplode("celdas").alias("col", "raw"))
-    words = F.split(header_text(F.col("raw")), " ")
-    starts = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))
+    cells = rows.filter(F.col("fila") < HEADER_ROWS).select("archivo", "fila", F.posexplode_outer("celdas").alias("col", "raw"))
+    cells = cells.filter("raw is not null").withColumn("w", F.split(header_text(F.col("raw")), " "))
+    starts = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_join(F.slice("w", F.lit(1), i), " "))
     named = cells.select("archivo", "fila", "col", F.explode(starts).alias("nombre")).join(header_names(rows.sparkSession), "nombre")
     at = lambda c: F.min(F.when(F.col("campo") == c, F.col("col"))).alias(f"i_{c}")
     found = named.groupBy("archivo", "fila").agg(*[at(c) for c in V.SHEET_HEADERS])
@@ -100,7 +101,7 @@ def explode_config(docs: DataFrame) -> DataFrame:
 
 def fragment_columns(rows: DataFrame, wanted: dict[str, str]) -> DataFrame:
     """Reviewed drafts: the header row is the first that has every fragment; fields by contained fragment."""
-    cells = rows.select("archivo", "fila", F.posexplode("celdas").alias("col", "raw"))
+    cells = rows.select("archivo", "fila", F.posexplode_outer("celdas").alias("col", "raw"))
     up = F.upper(F.coalesce("raw", F.lit("")))
     hits = cells.groupBy("archivo", "fila").agg(*[F.min(F.when(F.contains(up, F.lit(f)), F.col("col"))).alias(f"i_{n}") for n, f in wanted.items()])
     for n in wanted:
