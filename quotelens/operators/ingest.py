@@ -154,7 +154,7 @@ def export_snapshot(tables: dict[str, DataFrame], root: str, day: str) -> DataFr
         except Exception as err:  # the manifest records it and the others go on
             found.append((name, None, type(err).__name__))
     manifest = spark.createDataFrame(found, "tabla string, filas bigint, error string")
-    manifest.coalesce(1).write.mode("errorifexists").json(f"{root}/{day}/_manifest")
+    manifest.coalesce(1).write.mode("append").json(f"{root}/{day}/_manifest")
     if any(e for _, _, e in found):
         raise RuntimeError(f"partial snapshot: {[n for n, _, e in found if e]}")
     return manifest

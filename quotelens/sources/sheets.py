@@ -19,12 +19,13 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sheet_rows(files: DataFrame) -> DataFrame:
-    """Files to ``(archivo, fila, celdas)``; the separator is the commonest of comma, semicolon and tab in the first filled line."""
+    """Files to ``(archivo, fila, celdas)``; the separator is the one of comma, semicolon and tab that most of the first lines use."""
     outside_quotes = r'\r?\n(?=(?:[^"]*"[^"]*")*[^"]*$)'
     x = files.withColumn("filas", F.split("contenido", outside_quotes))
-    first = F.coalesce(F.get(F.filter("filas", lambda r: F.trim(r) != ""), 0), F.lit(""))
-    count = lambda s: F.length(first) - F.length(F.replace(first, F.lit(s), F.lit("")))
-    ranked = F.array(*[F.struct(count(s).alias("n"), F.lit(-i).alias("p"), F.lit(s).alias("s")) for i, s in enumerate((",", ";", "\t"))])
+    head = F.slice("filas", 1, 20)
+    used = lambda s: F.size(F.filter(head, lambda r: F.contains(r, F.lit(s))))
+    times = lambda s: F.size(F.split(F.array_join(head, "\n"), s))
+    ranked = F.array(*[F.struct(used(s).alias("n"), times(s).alias("t"), F.lit(-i).alias("p"), F.lit(s).alias("s")) for i, s in enumerate((",", ";", "\t"))])
     x = x.withColumn("sep", F.array_max(ranked)["s"]).select("archivo", "sep", F.posexplode("filas").alias("fila", "linea"))
     schema = ", ".join(f"c{i} string" for i in range(MAX_COLUMNS))
 
