@@ -89,77 +89,84 @@ def _one_sided(shared: Column, total: Column) -> Column:
     return 100.0 - 100.0 * (total - shared) / (shared + total - 2)
 
 
-def rank_tokens(sig: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
-    """Tokens ordered from rare to common, and their total weight (length plus one each)."""
-    spread = sig.select(key, F.explode("tokens").alias("token")).join(vocabulary, "token", "left")
-    packed = F.array_sort(F.collect_list(F.struct(F.coalesce("n_a", F.lit(0)).alias("n"), "token")))
-    ranked = spread.groupBy(key).agg(F.transform(packed, lambda t: t["token"]).alias("r"))
-    return ranked.withColumn("a", _weight(F.col("r")))
+def rank_tokens(sig: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
+    """Shared-vocabulary tokens from rare to common, their counts on both sides, and the total weight.
+
+    A token weighs its length plus one; tokens the other side never uses only add weight.
+    """
+    spread = sig.select(key, _weight(F.col("tokens")).alias("a"), F.explode("tokens").alias("token")).join(vocab, "token")
+    packed = spread.groupBy(key).agg(F.first("a").alias("a"), F.array_sort(F.collect_list(F.struct("n_a", "n_t", "token"))).alias("p"))
+    part = lambda f: F.transform("p", lambda t: t[f])
+    return packed.select(key, "a", part("token").alias("r"), part("n_t").alias("nt"), part("n_a").alias("na"))
 
 
-def prefix(cutoff: float) -> Column:
-    """Tokens one of which every match at ``cutoff`` must share.
+def key_pairs(needs: Column, cell: int) -> Column:
+    """Keys a match must share: its two rarest common tokens, or one that is enough alone.
 
-    Token i belongs to it while the weight from i to the end still reaches the
-    least shared weight; a pair sharing only what comes after cannot reach it.
+    With tokens ordered, (i, j) can be the two rarest common tokens of a match only
+    if the weight of i and of everything from j on reaches what the side needs.
     """
-    spots = F.filter(F.sequence(F.lit(1), F.size("r")), lambda i: _weight(F.slice("r", i, F.size("r"))) >= _least_shared(F.col("a"), cutoff))
-    return F.transform(spots, lambda i: F.element_at("r", i))
+    n = F.size("r")
+    spots = F.sequence(F.lit(1), n)
+    at = lambda c, i: F.element_at(c, i)
+    own = lambda i: F.length(at("r", i)) + 1
+    grid = lambda c, i, j: (1 + F.floor(F.least(at(c, i), at(c, j)) / cell)).cast("int")
+
+    def entry(i, j, second):
+        return F.struct(at("r", i).alias("t1"), second.alias("t2"), grid("nt", i, j).alias("s_t"), grid("na", i, j).alias("s_a"))
 
+    alone = F.transform(F.filter(spots, lambda i: own(i) >= needs), lambda i: entry(i, i, F.lit("")))
+    later = lambda i: F.filter(spots, lambda j: (j > i) & (own(i) + _weight(F.slice("r", j, n)) >= needs))
+    pairs = F.flatten(F.transform(spots, lambda i: F.transform(later(i), lambda j: entry(i, j, at("r", j)))))
+    return F.concat(alone, pairs)
 
-def vocabulary(text_sig: DataFrame, alias_sig: DataFrame, cell: int = 2000) -> DataFrame:
-    """Tokens both sides use, with the grid that keeps a frequent token out of a single task."""
+
+def vocabulary(text_sig: DataFrame, alias_sig: DataFrame) -> DataFrame:
+    """Tokens both sides use, with their counts."""
     count = lambda df, n: df.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias(n))
-    both = count(text_sig, "n_t").join(count(alias_sig, "n_a"), "token")
-    return both.withColumn("s_t", (1 + F.floor(F.col("n_t") / cell)).cast("int")).withColumn(
-        "s_a", (1 + F.floor(F.col("n_a") / cell)).cast("int"))
+    return count(text_sig, "n_t").join(count(alias_sig, "n_a"), "token")
 
 
-def candidate_pairs(t: DataFrame, a: DataFrame, vocab: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
+def candidate_pairs(t: DataFrame, a: DataFrame, cutoff: float = CUTOFF, cell: int = 2000) -> DataFrame:
     """All pairs whose token-set score reaches the cutoff, each once: ``(tkey, akey, score)``.
 
-    ``t`` and ``a`` come from :func:`rank_tokens`. They join on prefix tokens from
-    either side; a pair is emitted only at its rarest shared token, and the second
-    direction leaves out what the first one emits. Rows of a token are spread over
-    an s_t x s_a grid, so no group of pairs grows beyond one cell.
+    ``t`` and ``a`` come from :func:`rank_tokens`. One side offers only the keys a
+    match at the cutoff must touch, the other all of its keys; a pair is emitted at
+    its two rarest common tokens, and the second direction leaves out what the first
+    one emits. Rows of a key are spread over an s_t x s_a grid sized by the token
+    counts, so no group of pairs grows beyond one cell.
     """
     parts = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grid = ["token", "i", "j"]
+    grid = ["t1", "t2", "i", "j"]
 
-    def side(x, key, tokens, own, other, own_n, other_n):
-        rows = x.select(key, F.col("r").alias(f"r_{key}"), F.col("a").alias(f"a_{key}"), F.explode(tokens).alias("token"))
-        rows = rows.join(vocab.select("token", "s_t", "s_a"), "token")
-        rows = rows.withColumn(own, F.pmod(F.hash(key), F.col(own_n))).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
-        return rows.drop("s_t", "s_a").repartition(parts, *grid)
+    def side(x, key, needs, own, other, own_n, other_n):
+        rows = x.select(key, F.col("r").alias(f"r_{key}"), F.col("a").alias(f"a_{key}"), F.explode_outer(key_pairs(needs, cell)).alias("k")).filter("k is not null")
+        rows = rows.select(key, f"r_{key}", f"a_{key}", "k.*").withColumn(own, F.pmod(F.hash(key), F.col(own_n)))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1))).drop("s_t", "s_a").repartition(parts, *grid)
 
     def joined(left, right, keep):
         rows = left.join(right, grid)
         shared = F.array(F.array_intersect("r_tkey", "r_akey"))
-        packed = F.transform(shared, lambda c: F.struct(F.element_at(c, 1).alias("primero"), _weight(c).alias("w")))
+        packed = F.transform(shared, lambda c: F.struct(F.get(c, 0).alias("t1"), F.coalesce(F.get(c, 1), F.lit("")).alias("t2"), _weight(c).alias("w")))
+        here = lambda v: (v["t1"] == F.col("t1")) & (v["t2"] == F.col("t2"))
         # evaluated once per joined row; rows that fail give an empty array
-        rows = rows.withColumn("v", F.explode_outer(F.filter(packed, lambda v: (v["primero"] == F.col("token")) & keep(v["w"]))))
+        rows = rows.withColumn("v", F.explode_outer(F.filter(packed, lambda v: here(v) & keep(v["w"]))))
         w = F.col("v.w")
         score = F.greatest(_one_sided(w, F.col("a_tkey")), _one_sided(w, F.col("a_akey")))
         return rows.filter("v is not null").select("tkey", "akey", score.alias("score"))
 
     text_needs, alias_needs = _least_shared(F.col("a_tkey"), cutoff), _least_shared(F.col("a_akey"), cutoff)
-    t_side, a_side = ("tkey", "i", "j", "s_t", "s_a"), ("akey", "j", "i", "s_a", "s_t")
-
-    def of(x, tokens, names):
-        key, own, other, own_n, other_n = names
-        return side(x, key, tokens, own, other, own_n, other_n)
-
-    head = prefix(cutoff)
-    by_text = joined(of(t, head, t_side), of(a, F.col("r"), a_side), lambda w: w >= text_needs)
-    by_alias = joined(of(t, F.col("r"), t_side), of(a, head, a_side), lambda w: (w >= alias_needs) & (w < text_needs))
+    own_needs, anything = _least_shared(F.col("a"), cutoff), F.lit(0)
+    t_side, a_side = ("i", "j", "s_t", "s_a"), ("j", "i", "s_a", "s_t")
+    by_text = joined(side(t, "tkey", own_needs, *t_side), side(a, "akey", anything, *a_side), lambda w: w >= text_needs)
+    by_alias = joined(side(t, "tkey", anything, *t_side), side(a, "akey", own_needs, *a_side), lambda w: (w >= alias_needs) & (w < text_needs))
     return by_text.unionByName(by_alias).filter(F.col("score") >= cutoff)
 
 
-def rank_both(texts: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def rank_both(texts: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
     ts, as_ = cut(signatures(texts, "norm", "tkey")), cut(signatures(pool, "norm", "akey"))
     vocab = cut(vocabulary(ts, as_))
-    return cut(rank_tokens(ts, "tkey", vocab)), cut(rank_tokens(as_, "akey", vocab)), vocab
+    return cut(rank_tokens(ts, "tkey", vocab)), cut(rank_tokens(as_, "akey", vocab))
 
 
 def all_pairs(texts: DataFrame, pool: DataFrame, cutoff: float) -> DataFrame:
@@ -179,11 +186,11 @@ def best_aliases(texts: DataFrame, pool: DataFrame, window: int = 9, cutoff: flo
     # an alias set can give at most `window` of its copies
     p = pool.withColumn("akey", F.array_join(T.token_set(F.col("norm")), " "))
     p = p.withColumn("copia", F.row_number().over(Window.partitionBy("akey").orderBy(*order))).filter(F.col("copia") <= window).drop("copia")
-    t, a, vocab = rank_both(texts, pool)
+    t, a = rank_both(texts, pool)
     w = Window.partitionBy("tkey").orderBy(F.desc("score"), *order)
     found, open_texts = None, t
     for level_cut in (*([] if scorer == "indel" else stages), cutoff):
-        pairs = candidate_pairs(open_texts, a, vocab, level_cut)
+        pairs = candidate_pairs(open_texts, a, level_cut)
         if scorer == "indel":
             pairs = pairs.withColumn("score", F.greatest("score", token_set_ratio("tkey", "akey")))
         # only ids cross the top-n shuffle; alias texts join the few survivors

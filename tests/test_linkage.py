@@ -99,9 +99,9 @@ def test_pairs_do_not_depend_on_grid_or_partitions(spark):
     _, _, t, p = random_pool(spark, 9, 30, 60)
     ts, as_ = M.signatures(t, "norm", "tkey"), M.signatures(p, "norm", "akey")
     found = []
+    v = M.vocabulary(ts, as_)
     for cell in (5, 2000):
-        v = M.vocabulary(ts, as_, cell=cell)
-        rows = M.candidate_pairs(M.rank_tokens(ts, "tkey", v), M.rank_tokens(as_, "akey", v), v, 55.0).collect()
+        rows = M.candidate_pairs(M.rank_tokens(ts, "tkey", v), M.rank_tokens(as_, "akey", v), 55.0, cell).collect()
         assert len(rows) == len({(r.tkey, r.akey) for r in rows})
         found.append({(r.tkey, r.akey) for r in rows})
     keys = lambda df, k: [r[k] for r in df.collect()]
