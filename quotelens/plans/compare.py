@@ -221,31 +221,3 @@ def c15_left(spark, sf):
     both = links.join(paired, "concepto", "left")
     return both.groupBy("prov_id").agg(
         F.count_if(F.col("par").isNull()).alias("sin_match"), F.count("par").alias("emparejados"))
-
-
-@query("c17_compare_saved", on("repriced", "owned", sql="""
-  WITH sel AS (SELECT r.*, o.user_id FROM repriced r JOIN (SELECT line_id, user_id FROM owned) o USING (line_id)
-               WHERE doc IN (SELECT doc FROM (SELECT o_orderkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 20)
-                 AND precio > 0),
-  c AS (SELECT user_id, codigo, prov_id, arg_max(precio, (fecha, doc, line_no, codigo, prov_id, pu, cant)) AS neto,
-               arg_max(cant, (fecha, doc, line_no, codigo, prov_id, pu, cant)) AS cant FROM sel GROUP BY ALL),
-  p AS (SELECT user_id, CASE WHEN count(DISTINCT doc % 3) = 1 THEN min(doc % 3) END AS obra FROM sel GROUP BY user_id)
-  SELECT user_id, codigo, count(*) AS n_prov, arg_min(prov_id, (neto, prov_id)) AS mejor_id, min(neto) AS minimo, any_value(obra) AS obra_comun
-  FROM c JOIN p USING (user_id) GROUP BY user_id, codigo"""))
-def c17(spark, sf):
-    """Every owner compares their latest 20 quotes again, with changed VAT and discount."""
-    from pyspark.sql import Window
-    from .pricing import overrides
-
-    orders = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("doc"), F.col("o_custkey").alias("user_id"), "o_orderdate")
-    w = Window.partitionBy("user_id").orderBy(F.desc("o_orderdate"), "doc")
-    # the optimizer keeps at most 20 rows per owner before the shuffle
-    chosen = orders.withColumn("rn", F.row_number().over(w)).filter("rn <= 20").select("doc", "user_id")
-    saved = P.reprice_saved(P.with_net(lines(spark, sf)), overrides(spark, sf)).join(chosen, "doc")
-    saved = saved.filter("precio > 0").withColumn("neto", F.col("precio"))
-    project = saved.groupBy("user_id").agg(
-        F.when(F.min(F.col("doc") % 3) == F.max(F.col("doc") % 3), F.min(F.col("doc") % 3)).alias("obra_comun"))
-    keys = ("user_id", "codigo")
-    r = C.compare(C.cells(saved, line_seq(), keys=keys), keys=keys)
-    return r.join(project, "user_id").select("user_id", "codigo", "n_prov", "mejor_id", "minimo", "obra_comun")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import textnorm as T
-from ..functions.scalars import rnd
 from ..functions.similarity import token_set_ratio
+from ..operators import compare as C
 from ..operators import linkage as M
 from ..operators import pricing as P
 from ..sources.derived import declared_total, lines, materials
-from ..sources.views import table
+from ..sources.views import line_seq, table
+from .pricing import overrides
 from .registry import add_view, on, query
 
 
@@ -418,3 +419,28 @@ def m16(spark, sf):
   SELECT line_id, CASE WHEN s >= 75 THEN 'OK' WHEN s >= 60 THEN 'REVISAR' ELSE 'SIN MATCH' END AS accion FROM (SELECT line_id, floor(pu / 1000) AS s FROM lines)"""))
 def m17(spark, sf):
     return lines(spark, sf).select("line_id", M.band(F.floor(F.col("pu") / 1000)).alias("accion"))
+
+
+@query("c17_compare_saved", on("repriced", "owned", "texts", "matched", sql="""
+  WITH sel AS (SELECT r.*, o.user_id, m.codigo AS cod FROM repriced r JOIN (SELECT line_id, user_id FROM owned) o USING (line_id)
+               JOIN texts t ON t.codigo = r.codigo JOIN matched m ON m.texto = t.texto AND m.rank = 1 AND m.nivel = 'automatico'
+               WHERE doc IN (SELECT doc FROM (SELECT o_orderkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 20)
+                 AND precio > 0),
+  c AS (SELECT user_id, cod, prov_id, arg_max(precio, (fecha, doc, line_no, codigo, prov_id, pu, cant)) AS neto,
+               arg_max(cant, (fecha, doc, line_no, codigo, prov_id, pu, cant)) AS cant FROM sel GROUP BY ALL),
+  p AS (SELECT user_id, CASE WHEN count(DISTINCT doc % 3) = 1 THEN min(doc % 3) END AS obra FROM sel GROUP BY user_id)
+  SELECT user_id, cod AS codigo, count(*) AS n_prov, arg_min(prov_id, (neto, prov_id)) AS mejor_id, min(neto) AS minimo, any_value(obra) AS obra_comun
+  FROM c JOIN p USING (user_id) GROUP BY user_id, cod"""))
+def c17(spark, sf):
+    """Every owner compares their latest 20 quotes again: repriced, matched with today's aliases, automatic lines only."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc"), F.col("o_custkey").alias("user_id"), "o_orderdate")
+    w = Window.partitionBy("user_id").orderBy(F.desc("o_orderdate"), "doc")
+    # the optimizer keeps at most 20 rows per owner before the shuffle
+    chosen = orders.withColumn("rn", F.row_number().over(w)).filter("rn <= 20").select("doc", "user_id")
+    saved = P.reprice_saved(P.with_net(text_lines(spark, sf)), overrides(spark, sf)).join(chosen, "doc").filter("precio > 0")
+    linked = M.link_lines(saved, matches(spark, sf)).filter("nivel = 'automatico'").withColumn("neto", F.col("precio"))
+    project = linked.groupBy("user_id").agg(
+        F.when(F.min(F.col("doc") % 3) == F.max(F.col("doc") % 3), F.min(F.col("doc") % 3)).alias("obra_comun"))
+    keys = ("user_id", "codigo_match")
+    r = C.compare(C.cells(linked, line_seq(), keys=keys), keys=keys)
+    return r.join(project, "user_id").select("user_id", F.col("codigo_match").alias("codigo"), "n_prov", "mejor_id", "minimo", "obra_comun")
