@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+# the scorers travel with the task, so workers need no installed package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, one machine word row per character."""
