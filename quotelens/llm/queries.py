@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid
+from . import bpe, decontaminate, langid, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +37,19 @@ def op2(spark, sf):
     docs = table(spark, sf, "documents")
     found = langid.identify_documents(docs, keep=["doc_id"])
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", F.size("lang_spans").alias("n_spans"))
+
+
+@query("op5_quality_rules", quality.SQL)
+def op5(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    return quality.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op7_virtual_slots")
+def op7(spark, sf):
+    return sharding.shard_documents(table(spark, sf, "documents"))
+
+
+@query("op1_spaced_seed_decontamination")
+def op1(spark, sf):
+    return decontaminate.find_overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
