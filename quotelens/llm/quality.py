@@ -57,7 +57,7 @@ def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.array_remove(F.split(t, SPACE), "")
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.trim(F.lit(" \t\n\x0b\x0c\r"), x)) > 0)
+    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.trim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
     w = F.col("__words")
     cut = docs.select(*[c for c in docs.columns if c != text], words.alias("__words"), F.length(F.regexp_replace(t, NOT_SYMBOL, "")).cast("long").alias("__symbols"),
                       let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), F.size(F.array_distinct(x)).cast("long").alias("d"))).alias("__lines"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, quality, sharding
+from . import bpe, decontaminate, langid, linededup, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,8 @@ def op7(spark, sf):
 @query("op1_spaced_seed_decontamination")
 def op1(spark, sf):
     return decontaminate.find_overlaps(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op8_line_dedup", linededup.SQL)
+def op8(spark, sf):
+    return linededup.remove_repeated_lines(table(spark, sf, "documents").select("doc_id", "text"))
