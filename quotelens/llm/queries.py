@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, linededup, quality, sharding
+from . import bpe, decontaminate, langid, linededup, ngramjoin, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,9 @@ def op1(spark, sf):
 @query("op8_line_dedup", linededup.SQL)
 def op8(spark, sf):
     return linededup.remove_repeated_lines(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("op4_ngram_jaccard_join")
+def op4(spark, sf):
+    found = ngramjoin.similar_documents(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "n_links", "n_copies", "n_shingles")
