@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, linededup, ngramjoin, quality, sharding
+from . import bpe, decontaminate, htmltext, langid, licenses, linededup, ngramjoin, quality, sharding, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,18 @@ def op8(spark, sf):
 def op4(spark, sf):
     found = ngramjoin.similar_documents(table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", "class_id", "n_links", "n_copies", "n_shingles")
+
+
+@query("op3_token_counts")
+def op3(spark, sf):
+    return tokencount.count_tokens(table(spark, sf, "documents"), bpe.default_vocabulary(), keep=["doc_id"])
+
+
+@query("op6_license_scan")
+def op6(spark, sf):
+    return licenses.scan_licenses(table(spark, sf, "documents"), keep=["doc_id"])
+
+
+@query("op9_html_main_text")
+def op9(spark, sf):
+    return htmltext.extract_text(table(spark, sf, "pages"), keep=["page_id", "url"]).withColumn("n_chars", F.length("text").cast("long"))
