@@ -197,15 +197,16 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Each row with lang_pred, score and lang_spans of its whole text.
+    """Each row with lang_pred, score, lang_share and lang_spans of its whole text.
 
     lang_spans lists (begin, end, lang) in characters. lang_pred is the language with most letters in the spans, `und` for
-    a null text or one without letters (no span, score 0); ties go to the first language by name. score is that language's
-    share of the letters times its posterior over the words it was given. Other columns pass through; columns named like
+    a null text or one without letters (no span, score and share 0); ties go to the first language by name. lang_share is
+    that language's share of the letters, score this share times its posterior over the words it was given. Other columns pass through; columns named like
     the new ones are replaced. No shuffle.
     """
     span = StructType([StructField("begin", IntegerType()), StructField("end", IntegerType()), StructField("lang", StringType())])
-    schema = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("lang_spans", ArrayType(span))])
+    schema = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("lang_share", DoubleType()),
+                         StructField("lang_spans", ArrayType(span))])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows, a column for each learned language
 
     def make():
@@ -213,9 +214,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
         count = len(m.languages)
 
         def work(texts):
-            pred, score, spans = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
+            pred, score, shares, spans = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts), [[] for _ in texts]
             if not count:
-                return {"lang_pred": pred, "score": score, "lang_spans": spans}
+                return {"lang_pred": pred, "score": score, "lang_share": shares, "lang_spans": spans}
             for base, part in chunks(texts):
                 first, starts, ends, scores, path = m.label(part)
                 begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in part])])
@@ -239,8 +240,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
                     spans[base + i].append({"begin": int(starts[h] - begin[i]), "end": int(ends[e] - begin[i]), "lang": m.languages[path[h]]})
                 for i in filled.tolist():
                     pred[base + i] = m.languages[top[i]]
+                    shares[base + i] = float(share[i])
                     score[base + i] = float(min(1.0, share[i] * posterior[i]))
-            return {"lang_pred": pred, "score": score, "lang_spans": spans}
+            return {"lang_pred": pred, "score": score, "lang_share": shares, "lang_spans": spans}
 
         return work
 
