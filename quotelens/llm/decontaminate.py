@@ -89,26 +89,26 @@ def best_overlap(same: np.ndarray, mismatch: int) -> tuple[int, int]:
 
 def with_overlaps(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id",
                   masks: tuple[str, ...] = MASKS, min_match: int = 12, min_identity: float = 0.8, mismatch: int = 3,
-                  block_chars: int = 2_000_000, keep: list[str] | None = None) -> DataFrame:
-    """`docs` (its columns in `keep`, default all) with `overlaps`: (item, begin, end, n_match, identity), the best one of each item.
+                  block_chars: int = 2_000_000, keep: list[str] | None = None, name: str = "overlaps") -> DataFrame:
+    """`docs` (its columns in `keep`, default all) with the column `name`: (item, begin, end, n_match, identity), the best one of each item.
 
     begin and end are token places in the text. An overlap counts when it has `min_match` equal tokens (an item of fewer
     tokens: all of them) and a share of `min_identity` of its tokens is equal. Tokens are lower-cased runs of letters and
     digits, so case and punctuation don't matter. Null, empty and very short texts and items have no overlap. Rows with
-    null or repeated keys are each judged on their own, items with equal texts are each found, and a column named
-    `overlaps` is replaced. The items go to the tasks in blocks of about `block_chars` characters (or of one longer item),
+    null or repeated keys are each judged on their own, items with equal texts are each found, and a column of that
+    name is replaced. The items go to the tasks in blocks of about `block_chars` characters (or of one longer item),
     one pass over the texts a block, so what is sent at once doesn't grow with the number of items. No shuffle.
     """
     known = items.where(F.col(item_text).isNotNull()).select(F.col(item_key).cast("long").alias("id"), F.col(item_text).alias("t"))
     total = known.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = 1 if total <= block_chars else -(-2 * total // block_chars)
     columns = docs.columns if keep is None else keep
-    names = [f"__overlaps{b}" for b in range(blocks)]
-    found = docs.select(*[c for c in columns if c != "overlaps"], F.col(text).alias("__whole"))
-    for b, name in enumerate(names):
+    names = [f"__block{b}" for b in range(blocks)]
+    found = docs.select(*[c for c in columns if c != name], F.col(text).alias("__whole"))
+    for b, part in enumerate(names):
         mine = known.where(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == b).orderBy("id", "t").collect()
-        found = _one_block(found, name, Seeds([r[0] for r in mine], [r[1] for r in mine], masks), min_match, min_identity, mismatch)
-    return found.withColumn("overlaps", F.concat(*names)).drop("__whole", *names)
+        found = _one_block(found, part, Seeds([r[0] for r in mine], [r[1] for r in mine], masks), min_match, min_identity, mismatch)
+    return found.withColumn(name, F.concat(*names)).drop("__whole", *names)
 
 
 OVERLAP = StructType([StructField("item", LongType()), StructField("begin", IntegerType()), StructField("end", IntegerType()),
@@ -160,4 +160,4 @@ def find_overlaps(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_k
 
 def clean_documents(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
     """The rows of `docs` without an overlap, with all their columns. Null and empty texts stay."""
-    return with_overlaps(docs, items, **settings).where(F.size("overlaps") == 0).select(*docs.columns)
+    return with_overlaps(docs, items, name="__overlaps", **settings).where(F.size("__overlaps") == 0).select(*docs.columns)

@@ -234,7 +234,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
                 change = np.ones(len(path), bool)
                 change[1:] = (path[1:] != path[:-1]) | (text_of[1:] != text_of[:-1])
                 heads = np.flatnonzero(change)
-                tails = np.append(heads[1:], len(path)) - 1
+                tails = np.append(heads[1:], len(path))[: len(heads)] - 1
                 for h, e in zip(heads.tolist(), tails.tolist(), strict=True):
                     i = int(text_of[h])
                     spans[base + i].append({"begin": int(starts[h] - begin[i]), "end": int(ends[e] - begin[i]), "lang": m.languages[path[h]]})
