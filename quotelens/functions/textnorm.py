@@ -55,13 +55,6 @@ def synonym_folder(rules: list[tuple[str, str]]):
     return fold
 
 
-def fold_native(col: Column, rules: list[tuple[str, str]]) -> Column:
-    """Same fold without leaving the JVM, for short rule lists."""
-    for term, canon in rules:
-        col = F.regexp_replace(col, r"(?U)\b" + re.escape(term) + r"\b", canon)
-    return col
-
-
 ANCHOR = r"(?iU)\b(?:roscad\w*|anclaj\w*|spit|fischer|ftr|rgm)\b"
 MASK = "VARROSCA"
 
@@ -113,8 +106,7 @@ def with_prepared(df: DataFrame, text: str, out: str = "norm", rules: list[tuple
     rules = synonym_rules() if rules is None else rules
     staged = before_fold(df, text, out)
     if rules:
-        folded = fold_native(F.col(out), rules) if len(rules) <= 12 else synonym_folder(rules)(F.col(out))
-        staged = staged.withColumn(out, folded)
+        staged = staged.withColumn(out, synonym_folder(rules)(F.col(out)))
     return after_fold(staged, out)
 
 
@@ -162,12 +154,18 @@ def brand_groups_v1(text: Column, groups=V.BRAND_GROUPS) -> Column:
 
 
 def with_brand_groups(df: DataFrame, key: str, text: str, brands: DataFrame, out: str) -> DataFrame:
-    """Whole-word brand groups of a text, by joining word n-grams with ``brands(marca, grupo)``."""
+    """Whole-word brand groups of a text, by joining word n-grams with ``brands(marca, grupo)``.
+
+    The n-grams have the lengths that occur among the brands; these few numbers come to the driver.
+    """
     words = lambda c: F.filter(F.split(F.regexp_replace(F.upper(c), r"(?U)[^\w]+", " "), " "), lambda t: t != "")
     named = brands.select(F.upper("marca").alias("marca"), "grupo", F.array_join(words(F.col("marca")), " ").alias("gram"))
+    lengths = sorted(r[0] for r in named.select(F.size(F.split("gram", " "))).distinct().collect())
     base = df.select(key, text).distinct().withColumn("w", words(F.col(text)))
     spots = F.sequence(F.lit(1), F.size("w"))
-    grams = F.flatten(F.transform(spots, lambda i: F.array(*[F.array_join(F.slice("w", i, F.lit(n)), " ") for n in (1, 2, 3)])))
+    grams = F.flatten(F.transform(spots, lambda i: F.array(*[F.array_join(F.slice("w", i, F.lit(n)), " ") for n in lengths])))
+    if not lengths:
+        return df.withColumn(out, F.array().cast("array<string>"))
     exploded = base.filter(F.size("w") > 0).select(key, text, F.explode(F.array_distinct(grams)).alias("gram"))
     whole = F.expr(f"upper({text}) rlike concat('(?U)\\\\b\\\\Q', marca, '\\\\E\\\\b')")
     groups = exploded.join(named, "gram").filter(whole).groupBy(key).agg(F.array_sort(F.collect_set("grupo")).alias(out))

@@ -370,23 +370,28 @@ def supplier_key(raw: Column) -> Column:
 def contained_alias(texts: DataFrame, aliases: DataFrame, key: str, gram: int = 4) -> DataFrame:
     """Longest alias contained in a text, ties by alias order: ``(key, canonico)``.
 
-    Joined on the alias's first characters against the text's distinct character
-    grams, then verified, so texts and aliases never meet as a cross product.
+    A text is looked at where a known beginning of ``gram`` characters stands, and there only the substrings
+    with the length of an alias of that beginning are taken; they join the aliases for equality. The work grows
+    with the texts and not with texts times aliases, also when all aliases begin alike.
     """
-    a = aliases.withColumn("alias", supplier_key(F.col("alias"))).filter("alias <> ''").withColumn("g", F.substring("alias", 1, gram))
+    a = aliases.withColumn("alias", supplier_key(F.col("alias"))).filter("alias <> ''")
+    begins = a.groupBy(F.substring("alias", 1, gram).alias("g")).agg(F.collect_set(F.length("alias")).alias("largos"))
     t = texts.select(key, supplier_key(F.col("texto")).alias("texto")).filter("texto <> ''")
     spots = F.sequence(F.lit(1), F.length("texto"))
-    grams = F.flatten(F.transform(spots, lambda i: F.array(*[F.substring(F.col("texto"), i, F.lit(n)) for n in range(1, gram + 1)])))
-    hit = t.select(key, "texto", F.explode(F.array_distinct(grams)).alias("g")).join(a, "g").filter(F.contains(F.col("texto"), F.col("alias")))
-    return hit.groupBy(key).agg(F.max_by("canonico", F.struct(F.length("alias"), -F.col("orden"))).alias("canonico"))
+    grams = F.flatten(F.transform(spots, lambda i: F.array(*[
+        F.struct(i.alias("i"), F.substring(F.col("texto"), i, F.lit(n)).alias("g")) for n in range(1, gram + 1)])))
+    at = t.select(key, "texto", F.explode(F.array_distinct(grams)).alias("s")).select(key, "texto", "s.*")
+    at = at.join(begins, "g").select(key, "texto", "i", F.explode("largos").alias("n"))
+    found = at.select(key, F.substring(F.col("texto"), F.col("i"), F.col("n")).alias("alias")).distinct().join(a, "alias")
+    return found.groupBy(key).agg(F.max_by("canonico", F.struct(F.length("alias"), -F.col("orden"))).alias("canonico"))
 
 
-def detect_supplier(files: DataFrame, lines: DataFrame, aliases: DataFrame, head: int = 20) -> DataFrame:
-    """By file name, else by the first text lines; with the kind of evidence."""
+def detect_supplier(files: DataFrame, lines: DataFrame, aliases: DataFrame, head: int | None = None) -> DataFrame:
+    """By file name, else by the text lines (the first ``head``, default all); with the kind of evidence."""
     stem = F.regexp_replace(F.element_at(F.split("archivo", "/"), -1), r"\.[^.]*$", "")
     by_name = contained_alias(files.select("doc", stem.alias("texto")), aliases, "doc").withColumnRenamed("canonico", "por_archivo")
     rest = files.join(by_name, "doc", "left_anti").select("doc")
-    top = lines.filter(F.col("line_no") <= head).join(rest, "doc", "left_semi")
+    top = (lines if head is None else lines.filter(F.col("line_no") <= head)).join(rest, "doc", "left_semi")
     packed = top.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("texto"))
     by_text = contained_alias(packed, aliases, "doc").withColumnRenamed("canonico", "por_texto")
     x = files.join(by_name, "doc", "left").join(by_text, "doc", "left")

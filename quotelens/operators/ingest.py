@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut
 from .learn import upsert
 
 
@@ -49,17 +50,16 @@ def effective_code() -> Column:
     return F.coalesce(filled("cod_correcto"), filled("cod_propuesto"), F.lit(""))
 
 
-def numbered(df: DataFrame, key: str, out: str = "n") -> DataFrame:
-    """Consecutive numbers over the whole table without sorting it in one task.
+def numbered(df: DataFrame, *order: str, out: str = "n") -> DataFrame:
+    """Consecutive numbers over the whole table in the given order, without sorting it in one task.
 
-    Keys are unique; their hash prefix spreads them over 4096 ordered buckets, a
-    bucket starts where the earlier ones end.
+    Rows are dealt out by ranges of the order and written once; a range starts where the earlier ones end.
     """
-    x = df.withColumn("_b", F.substring(F.md5(key), 1, 3))
-    sizes = x.groupBy("_b").agg(F.count("*").alias("c"))
-    starts = sizes.select("_b", (F.sum("c").over(Window.orderBy("_b")) - F.col("c")).alias("antes"))
-    inner = F.row_number().over(Window.partitionBy("_b").orderBy(key))
-    return x.withColumn("_i", inner).join(starts, "_b").withColumn(out, F.col("antes") + F.col("_i")).drop("_b", "_i", "antes")
+    x = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    x = cut(x.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)))
+    sizes = x.groupBy("_p").agg(F.count("*").alias("c"))
+    starts = sizes.select("_p", (F.sum("c").over(Window.orderBy("_p")) - F.col("c")).alias("antes"))
+    return x.join(starts, "_p").withColumn(out, F.col("antes") + F.col("_i") + 1).drop("_p", "_i", "antes")
 
 
 def consolidate(existing: DataFrame, drafts: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def consolidate(existing: DataFrame, drafts: DataFrame) -> DataFrame:
     Both carry desc, decision, cod_propuesto, cod_correcto, seq.
     """
     keyed = lambda df: df.withColumn("clave", F.concat_ws("|", F.upper(F.trim("desc")), effective_code()))
-    cols = ["clave", "desc", "decision", "cod_propuesto", "cod_correcto"]
+    cols = ["clave", "desc", "decision", "cod_propuesto", "cod_correcto", "seq"]
     old = keyed(existing).select(*cols)
     new = keyed(drafts.filter(F.upper(F.trim("decision")).isin("CARGAR", "CAMBIAR") & (F.trim("desc") != "")))
     new = new.groupBy("clave").agg(F.min_by(F.struct(*cols[1:]), "seq").alias("u")).select("clave", "u.*")
@@ -123,8 +123,9 @@ def price_rows(routed: DataFrame) -> DataFrame:
         F.coalesce("moneda", F.lit("ARS")).alias("moneda"), F.col("texto").alias("texto_original"), F.lit("pipeline").alias("origen"))
 
 
-def append_prices(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("origen").parquet(path)
+def append_prices(rows: DataFrame, path: str, run: str) -> None:
+    """Each run owns a folder, so running it again writes the same rows and doubles none."""
+    rows.write.mode("overwrite").partitionBy("origen").parquet(f"{path}/corrida={run}")
 
 
 def summary_row(rows: DataFrame, *by: str) -> DataFrame:

@@ -71,9 +71,11 @@ def rate_calendar(rates: DataFrame) -> DataFrame:
 
 
 def convert_currency(lines: DataFrame, rates: DataFrame, base: str = "ARS") -> DataFrame:
-    """As-of conversion; a foreign line without a rate keeps a null price and is flagged."""
+    """As-of conversion; a foreign line without a rate or a date keeps a null price and is flagged. A null currency is `base`."""
+    lines = lines.withColumn("moneda", F.coalesce("moneda", F.lit(base)))
     bounds = rates.groupBy("moneda").agg(F.max("fecha").alias("ultimo_dia"))
-    keyed = lines.join(bounds, "moneda", "left").withColumn("dia", F.least(F.to_date("fecha"), F.col("ultimo_dia")))
+    keyed = lines.join(bounds, "moneda", "left").withColumn(
+        "dia", F.when(F.col("fecha").isNotNull(), F.least(F.to_date("fecha"), F.col("ultimo_dia"))))
     priced = keyed.join(rate_calendar(rates), ["moneda", "dia"], "left")
     home = F.col("moneda") == base
     return priced.select(

@@ -191,7 +191,7 @@ def c14(spark, sf):
 
 
 def concept_links(spark, sf):
-    l = P.with_net(lines(spark, sf)).filter("doc % 5 = 0")
+    l = P.with_net(lines(spark, sf))
     return l.select(
         F.col("doc").alias("concepto"),
         F.when(F.col("doc") % 15 == 0, F.lit(" ")).otherwise(F.concat(F.lit("concepto "), F.col("doc").cast("string"))).alias("nombre"),
@@ -200,7 +200,7 @@ def concept_links(spark, sf):
 
 
 add_view("slots", """
-  SELECT doc AS concepto, prov_id, arg_max(neto, line_id) AS neto FROM priced WHERE doc % 5 = 0 AND doc % 15 <> 0 GROUP BY doc, prov_id""", ("priced",))
+  SELECT doc AS concepto, prov_id, arg_max(neto, line_id) AS neto FROM priced WHERE doc % 15 <> 0 GROUP BY doc, prov_id""", ("priced",))
 
 
 @query("c15_concept_rows", on("slots", sql="""
@@ -214,7 +214,7 @@ def c15(spark, sf):
 @query("c15_left_unmatched", on("slots", "lines", sql="""
   WITH ok AS (SELECT concepto FROM slots GROUP BY concepto HAVING count(*) >= 2)
   SELECT prov_id, count(*) FILTER (concepto IS NULL) AS sin_match, count(concepto) AS emparejados
-  FROM (SELECT * FROM lines WHERE doc % 5 = 0) l LEFT JOIN ok ON doc = concepto GROUP BY prov_id"""))
+  FROM lines l LEFT JOIN ok ON doc = concepto GROUP BY prov_id"""))
 def c15_left(spark, sf):
     links = concept_links(spark, sf)
     paired = C.pair_concepts(links).select("concepto", F.lit(True).alias("par"))

@@ -16,9 +16,9 @@ from .registry import on, query
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-@query("s1_scan_projection", "SELECT p_partkey AS codigo, p_name AS denominacion, p_brand AS marca FROM part WHERE p_size >= 10")
+@query("s1_scan_projection", "SELECT p_partkey AS codigo, p_name AS denominacion, p_brand AS marca FROM part")
 def s1(spark, sf):
-    return table(spark, sf, "part").filter("p_size >= 10").select(F.col("p_partkey").alias("codigo"), F.col("p_name").alias("denominacion"), F.col("p_brand").alias("marca"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("codigo"), F.col("p_name").alias("denominacion"), F.col("p_brand").alias("marca"))
 
 
 def sheet_files(spark, sf):
@@ -150,8 +150,8 @@ def decisions(spark, sf):
 CONSOLIDATED = """
   WITH d AS (SELECT upper(p_name) || '|COD' || lpad(CAST(codigo AS VARCHAR), 5, '0') || CASE WHEN doc % 4 = 1 THEN 'B' ELSE '' END AS clave, line_no, doc,
              CASE doc % 4 WHEN 1 THEN 'CAMBIAR' WHEN 2 THEN 'DESCARTAR' ELSE 'CARGAR' END AS decision, 'COD' || lpad(CAST(codigo AS VARCHAR), 5, '0') AS cod, line_id FROM quotes),
-  o AS (SELECT clave, decision, cod, false AS nueva FROM (SELECT *, row_number() OVER (PARTITION BY clave ORDER BY line_id) AS r FROM d WHERE line_no = 1 AND decision = 'CARGAR') WHERE r = 1),
-  f AS (SELECT clave, arg_min(decision, line_id) AS decision, arg_min(cod, line_id) AS cod, true AS nueva FROM d WHERE line_no > 1 AND decision <> 'DESCARTAR' AND clave NOT IN (SELECT clave FROM o) GROUP BY clave),
+  o AS (SELECT clave, decision, cod, line_id AS seq, false AS nueva FROM (SELECT *, row_number() OVER (PARTITION BY clave ORDER BY line_id) AS r FROM d WHERE line_no = 1 AND decision = 'CARGAR') WHERE r = 1),
+  f AS (SELECT clave, arg_min(decision, line_id) AS decision, arg_min(cod, line_id) AS cod, min(line_id) AS seq, true AS nueva FROM d WHERE line_no > 1 AND decision <> 'DESCARTAR' AND clave NOT IN (SELECT clave FROM o) GROUP BY clave),
   u AS (SELECT * FROM o UNION ALL SELECT * FROM f)"""
 
 
@@ -163,9 +163,9 @@ def consolidated(spark, sf):
 
 
 @query("s10_decision_consolidation", on("quotes", sql=CONSOLIDATED + """
-  SELECT clave, decision, nueva, row_number() OVER (ORDER BY substr(md5(clave), 1, 3), clave) AS n FROM u"""))
+  SELECT clave, decision, nueva, row_number() OVER (ORDER BY nueva, seq, clave) AS n FROM u"""))
 def s10(spark, sf):
-    return I.numbered(consolidated(spark, sf), "clave").select("clave", "decision", "nueva", "n")
+    return I.numbered(consolidated(spark, sf), "nueva", "seq", "clave").select("clave", "decision", "nueva", "n")
 
 
 @query("s10_prefix_histogram", on("quotes", sql=CONSOLIDATED + """
@@ -177,36 +177,37 @@ def s10_hist(spark, sf):
 @query("s11_equivalence_seeding", on("quotes", sql="""
   WITH b AS (SELECT 'P' || (codigo % 50) AS cod_prov, 'prov' || (prov_id % 7) AS proveedor, arg_max('COD' || lpad(CAST(codigo AS VARCHAR), 5, '0'), line_id) AS cod_int, arg_max(p_name, line_id) AS item_int
              FROM quotes WHERE doc % 4 IN (0, 3) GROUP BY ALL),
-  t AS (SELECT 'P' || p_partkey AS cod_prov, 'prov1' AS proveedor, 'viejo' AS cod_int, '' AS item_int FROM part WHERE p_partkey < 100)
+  t AS (SELECT 'P' || p_partkey AS cod_prov, 'prov1' AS proveedor, 'viejo' AS cod_int, '' AS item_int FROM part)
   SELECT cod_prov, proveedor, coalesce(b.cod_int, t.cod_int) AS cod_int, coalesce(b.item_int, t.item_int) AS item_int, CASE WHEN b.cod_int IS NULL THEN 'manual' ELSE 'auto' END AS fuente,
          CASE WHEN b.cod_int IS NULL THEN 100 ELSE 85 END AS confianza FROM t FULL JOIN b USING (cod_prov, proveedor)"""))
 def s11(spark, sf):
     d = decisions(spark, sf).withColumn("fuente", F.concat(F.lit("prov"), (F.col("prov_id") % 7).cast("string"), F.lit("_lista.xlsx"))).withColumn(
         "cod_prov", F.concat(F.lit("P"), (F.substring("cod_propuesto", 4, 5).cast("int") % 50).cast("string")))
     cat = materials(spark, sf).select(F.concat(F.lit("COD"), F.lpad(F.col("codigo").cast("string"), 5, "0")).alias("cod_int"), F.col("p_name").alias("item_int"))
-    t = materials(spark, sf).filter("codigo < 100").select(F.concat(F.lit("P"), F.col("codigo").cast("string")).alias("cod_prov"), F.lit("prov1").alias("proveedor"),
+    t = materials(spark, sf).select(F.concat(F.lit("P"), F.col("codigo").cast("string")).alias("cod_prov"), F.lit("prov1").alias("proveedor"),
                                                            F.lit("viejo").alias("cod_int"), F.lit("").alias("item_int"), F.lit("manual").alias("fuente"), F.lit(100).alias("confianza"))
     return I.seed_equivalences(t, d, cat)
 
 
 @query("s12_equivalence_map", on("quotes", sql="""
-  WITH s AS (SELECT p_name AS clave, 'base' || p_partkey AS cod, 0 AS prio, lpad(CAST(p_partkey AS VARCHAR), 12, '0') AS seq FROM part WHERE p_partkey % 2 = 0
-    UNION ALL SELECT p_name, CASE doc % 4 WHEN 1 THEN 'COD' || lpad(CAST(codigo AS VARCHAR), 5, '0') || 'B' ELSE 'COD' || lpad(CAST(codigo AS VARCHAR), 5, '0') END, 1, line_id FROM quotes WHERE doc % 4 <> 2 AND line_no = 3
+  WITH s AS (SELECT p_name AS clave, 'base' || p_partkey AS cod, 0 AS prio, lpad(CAST(p_partkey AS VARCHAR), 12, '0') AS seq FROM part
+    UNION ALL SELECT p_name, CASE doc % 4 WHEN 1 THEN 'COD' || lpad(CAST(codigo AS VARCHAR), 5, '0') || 'B' ELSE 'COD' || lpad(CAST(codigo AS VARCHAR), 5, '0') END, 1, line_id FROM quotes WHERE doc % 4 <> 2
     UNION ALL SELECT p_name, 'carga' || codigo, 2, line_id FROM quotes WHERE doc % 101 = 0)
   SELECT clave, arg_max(cod, (prio, seq)) AS cod FROM s GROUP BY clave"""))
 def s12(spark, sf):
     m = materials(spark, sf)
-    stored = m.filter("codigo % 2 = 0").select(F.col("p_name").alias("clave"), F.concat(F.lit("base"), F.col("codigo").cast("string")).alias("cod"), F.lpad(F.col("codigo").cast("string"), 12, "0").alias("seq"))
-    dec = decisions(spark, sf).filter("line_no = 3").withColumn("clave", F.col("desc"))
-    loads = lines(spark, sf).filter("doc % 101 = 0").join(m.select("codigo", "p_name"), "codigo").select(
-        F.col("p_name").alias("clave"), F.concat(F.lit("carga"), F.col("codigo").cast("string")).alias("cod"), F.col("line_id").alias("seq"))
+    stored = m.select(F.col("p_name").alias("clave"), F.concat(F.lit("base"), F.col("codigo").cast("string")).alias("cod"), F.lpad(F.col("codigo").cast("string"), 12, "0").alias("seq"))
+    dec = decisions(spark, sf).withColumn("clave", F.col("desc"))
+    # a load names a code in one document of 101; the others leave it blank
+    loads = lines(spark, sf).join(m.select("codigo", "p_name"), "codigo").select(
+        F.col("p_name").alias("clave"), F.when(F.col("doc") % 101 == 0, F.concat(F.lit("carga"), F.col("codigo").cast("string"))).otherwise(" ").alias("cod"), F.col("line_id").alias("seq"))
     return I.equivalence_map(stored, dec, loads)
 
 
 @query("s13_supplier_seeding", on("quotes", sql="""
-  SELECT DISTINCT p AS nombre FROM (SELECT proveedor AS p FROM quotes WHERE doc % 2 = 0 UNION ALL SELECT 'Casa ' || n_name FROM nation) WHERE p NOT IN (SELECT s_name FROM supplier WHERE s_suppkey % 3 = 0)"""))
+  SELECT DISTINCT p AS nombre FROM (SELECT proveedor AS p FROM quotes UNION ALL SELECT 'Casa ' || n_name FROM nation) WHERE p NOT IN (SELECT s_name FROM supplier WHERE s_suppkey % 3 = 0)"""))
 def s13(spark, sf):
-    q = lines(spark, sf).filter("doc % 2 = 0").join(suppliers(spark, sf), "prov_id").select(F.concat(F.lit(" "), F.col("proveedor"), F.lit(" ")).alias("proveedor"))
+    q = lines(spark, sf).join(suppliers(spark, sf), "prov_id").select(F.concat(F.lit(" "), F.col("proveedor"), F.lit(" ")).alias("proveedor"))
     n = table(spark, sf, "nation").select(F.concat(F.lit("Casa "), F.col("n_name")).alias("proveedor"))
     return I.seed_suppliers(suppliers(spark, sf).filter("prov_id % 3 = 0").select(F.col("proveedor").alias("nombre")), q, n)
 

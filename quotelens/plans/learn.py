@@ -11,12 +11,14 @@ from .registry import on, query
 
 
 @query("l1_keyed_upsert", """
-  WITH t AS (SELECT p_partkey AS codigo, p_name AS nombre, p_size AS factor FROM part WHERE p_partkey % 2 = 0),
-  b AS (SELECT l_partkey AS codigo, arg_max(l_linenumber * 10 + l_suppkey % 10, (l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice)) AS factor FROM lineitem WHERE l_orderkey % 7 = 0 GROUP BY 1)
+  WITH t AS (SELECT p_partkey + CASE WHEN p_partkey % 2 = 1 THEN 1000000000 ELSE 0 END AS codigo, p_name AS nombre, p_size AS factor FROM part),
+  b AS (SELECT l_partkey AS codigo, arg_max(l_linenumber * 10 + l_suppkey % 10, (l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice)) AS factor FROM lineitem GROUP BY 1)
   SELECT codigo, CASE WHEN b.codigo IS NOT NULL THEN 'nuevo' ELSE nombre END AS nombre, CAST(coalesce(b.factor, t.factor) AS BIGINT) AS factor FROM t FULL JOIN b USING (codigo)""")
 def l1(spark, sf):
-    t = materials(spark, sf).filter("codigo % 2 = 0").select("codigo", F.col("p_name").alias("nombre"), F.col("p_size").cast("bigint").alias("factor"))
-    b = lines(spark, sf).filter("doc % 7 = 0").select(
+    # items with an odd number are filed under another code, so the batch brings new keys
+    other = F.col("codigo") + F.when(F.col("codigo") % 2 == 1, 1_000_000_000).otherwise(0)
+    t = materials(spark, sf).select(other.alias("codigo"), F.col("p_name").alias("nombre"), F.col("p_size").cast("bigint").alias("factor"))
+    b = lines(spark, sf).select(
         "codigo", F.lit("nuevo").alias("nombre"), (F.col("line_no") * 10 + F.col("prov_id") % 10).cast("bigint").alias("factor"),
         F.struct("fecha", "doc", "line_no", "prov_id", "pu").alias("seq"))
     return L.upsert(t, b, ["codigo"])
@@ -26,13 +28,13 @@ def confirmations(spark, sf):
     m = materials(spark, sf).select("codigo", "p_name")
     text = F.when(F.col("codigo") % 10 == 0, F.concat(F.lit("m2 x "), (F.col("line_no")).cast("string"))).otherwise(
         F.concat_ws(" ", F.upper("p_name"), (F.col("prov_id") % 3).cast("string")))
-    return lines(spark, sf).filter("doc % 3 = 0").join(m, "codigo").select(
-        "codigo", text.alias("desc_prov"), F.concat(F.lit("Casa "), (F.col("prov_id") % 3).cast("string")).alias("proveedor"), F.col("line_id").alias("seq"), "line_id")
+    return lines(spark, sf).join(m, "codigo").select(
+        "doc", "codigo", text.alias("desc_prov"), F.concat(F.lit("Casa "), (F.col("prov_id") % 3).cast("string")).alias("proveedor"), F.col("line_id").alias("seq"), "line_id")
 
 
 @query("l2_alias_confirmation", on("quotes", sql="""
   WITH b AS (SELECT codigo, d AS denominacion, count(*) AS veces, arg_min(p, line_id) AS prov FROM (
-      SELECT codigo, line_id, CASE WHEN codigo % 10 = 0 THEN 'm2 x ' || line_no ELSE lower(p_name) || ' ' || (prov_id % 3) END AS d, 'casa_' || (prov_id % 3) AS p FROM quotes WHERE doc % 3 = 0) GROUP BY ALL),
+      SELECT codigo, line_id, CASE WHEN codigo % 10 = 0 THEN 'm2 x ' || line_no ELSE lower(p_name) || ' ' || (prov_id % 3) END AS d, 'casa_' || (prov_id % 3) AS p FROM quotes) GROUP BY ALL),
   a AS (SELECT p_partkey AS codigo, lower(p_name) || ' 1' AS denominacion, CAST(p_size AS BIGINT) AS frecuencia, CAST(80 AS INTEGER) AS confianza, 'base' AS origen FROM part)
   SELECT codigo, denominacion, CASE WHEN a.codigo IS NULL THEN veces ELSE frecuencia + coalesce(veces, 0) END AS frecuencia,
          CAST(CASE WHEN veces IS NULL THEN confianza WHEN a.origen IS NULL AND veces = 1 THEN 80 ELSE least(99, 80 + coalesce(frecuencia, 0) + veces) END AS INTEGER) AS confianza,
@@ -49,25 +51,25 @@ def l2(spark, sf):
          CASE WHEN doc % 3 = 0 THEN 'usuario' ELSE 'fuzzy' END AS origen FROM lines"""))
 def l3(spark, sf):
     items = lines(spark, sf).select("line_id", "codigo", F.lit("REVISAR").alias("estado"), F.lit("fuzzy").alias("origen"))
-    c = confirmations(spark, sf).select("line_id", (F.col("codigo") + 1).alias("codigo"), "seq")
+    c = confirmations(spark, sf).filter("doc % 3 = 0").select("line_id", (F.col("codigo") + 1).alias("codigo"), "seq")
     return L.confirm_lines(items, c)
 
 
 def unmatched(spark, sf):
     m = materials(spark, sf).select("codigo", "material")
-    return lines(spark, sf).filter("doc % 5 = 0").join(m, "codigo").select(
+    return lines(spark, sf).join(m, "codigo").select(
         "line_id", F.concat(F.lit(" "), F.col("material")).alias("texto"), F.col("prov_id").alias("proveedor"), F.col("pu").alias("precio"), "codigo")
 
 
 @query("l4_pending_rows", on("quotes", sql="""
   SELECT sha256(line_id) AS id, material AS descripcion_original, lower(material) AS descripcion_normalizada, prov_id AS proveedor, pu AS precio_visto, 'PENDIENTE' AS estado
-  FROM quotes WHERE doc % 5 = 0"""))
+  FROM quotes"""))
 def l4(spark, sf):
     return L.open_pending(unmatched(spark, sf))[0]
 
 
 @query("l4_pending_prices", on("quotes", sql="""
-  SELECT sha256(line_id) AS codigo_pendiente, prov_id AS proveedor, pu AS precio, 'UN' AS unidad, 'pipeline' AS origen FROM quotes WHERE doc % 5 = 0"""))
+  SELECT sha256(line_id) AS codigo_pendiente, prov_id AS proveedor, pu AS precio, 'UN' AS unidad, 'pipeline' AS origen FROM quotes"""))
 def l4_prices(spark, sf):
     return L.open_pending(unmatched(spark, sf))[1]
 
@@ -85,27 +87,27 @@ def resolved(spark, sf):
 
 @query("l5_pending_resolution", on("quotes", sql="""
   SELECT sha256(line_id) AS id, lower(material) AS descripcion_normalizada, CASE codigo % 4 WHEN 0 THEN 'VALIDADO' WHEN 1 THEN 'RECHAZADO' WHEN 2 THEN 'VALIDADO' ELSE 'PENDIENTE' END AS estado,
-         CASE WHEN codigo % 4 = 0 THEN codigo END AS codigo_asignado FROM quotes WHERE doc % 5 = 0"""))
+         CASE WHEN codigo % 4 = 0 THEN codigo END AS codigo_asignado FROM quotes"""))
 def l5(spark, sf):
     return resolved(spark, sf)[0]
 
 
 @query("l5_repointed_prices", on("quotes", sql="""
-  SELECT CASE WHEN codigo % 4 = 0 THEN codigo END AS codigo, CASE WHEN codigo % 4 <> 0 THEN sha256(line_id) END AS codigo_pendiente, pu AS precio FROM quotes WHERE doc % 5 = 0"""))
+  SELECT CASE WHEN codigo % 4 = 0 THEN codigo END AS codigo, CASE WHEN codigo % 4 <> 0 THEN sha256(line_id) END AS codigo_pendiente, pu AS precio FROM quotes"""))
 def l5_prices(spark, sf):
     return resolved(spark, sf)[1]
 
 
 @query("l5_new_aliases", on("quotes", sql="""
   SELECT codigo, lower(material) AS denominacion, count(*) AS frecuencia, 95 AS confianza, 'admin_validacion' AS origen
-  FROM quotes WHERE doc % 5 = 0 AND codigo % 8 = 4 GROUP BY ALL"""))
+  FROM quotes WHERE codigo % 8 = 4 GROUP BY ALL"""))
 def l5_aliases(spark, sf):
     return resolved(spark, sf)[2]
 
 
 @query("l6_batch_curation", on("quotes", sql="""
   SELECT codigo, lower(material) AS denominacion, CAST(count(*) AS BIGINT) AS frecuencia, 96 AS confianza, CASE WHEN codigo % 8 = 0 THEN 'duplicado' ELSE 'nuevo' END AS accion
-  FROM quotes WHERE doc % 5 = 0 GROUP BY ALL"""))
+  FROM quotes GROUP BY ALL"""))
 def l6(spark, sf):
     plan = unmatched(spark, sf).groupBy("texto", "codigo").agg(F.count("*").alias("n_ids"))
     aliases = materials(spark, sf).filter("codigo % 8 = 0").select("codigo", F.lower("material").alias("denominacion"))
@@ -124,12 +126,12 @@ def l7(spark, sf):
 
 @query("c16_remembered_pairs", """
   WITH b AS (SELECT o_custkey AS user_id, l_suppkey AS prov_id, p_name AS texto, count(*) AS veces,
-                    'concepto ' || arg_max(l_orderkey, l_orderkey) AS nuevo FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 5 = 0 GROUP BY ALL),
+                    'concepto ' || arg_max(l_orderkey, l_orderkey) AS nuevo FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL),
   m AS (SELECT c_custkey AS user_id, c_custkey % 10 AS prov_id, 'red widget' AS texto, CAST(2 AS BIGINT) AS frecuencia, 'viejo' AS nombre FROM customer)
   SELECT user_id, prov_id, texto, coalesce(frecuencia, 0) + coalesce(veces, 0) AS frecuencia, coalesce(nuevo, nombre) AS nombre FROM m FULL JOIN b USING (user_id, prov_id, texto)""")
 def c16(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc"), F.col("o_custkey").alias("user_id"))
-    links = lines(spark, sf).filter("doc % 5 = 0").join(o, "doc").join(materials(spark, sf).select("codigo", "p_name"), "codigo").select(
+    links = lines(spark, sf).join(o, "doc").join(materials(spark, sf).select("codigo", "p_name"), "codigo").select(
         "user_id", "prov_id", F.col("p_name").alias("texto"), F.concat(F.lit("concepto "), F.col("doc").cast("string")).alias("nombre"), F.col("doc").alias("seq"))
     memory = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 10).alias("prov_id"), F.lit("red widget").alias("texto"),

@@ -317,7 +317,7 @@ def m19(spark, sf):
 
 
 @query("m20_pending_triage", on("texts", "lines", "pool", "scored", sql=f"""
-  WITH p AS (SELECT line_id AS id, lower(texto) AS texto, prov_id AS proveedor, floor(pu * 100.0 + 0.5) / 100.0 AS precio FROM lines JOIN texts USING (codigo) WHERE doc % 2 = 1),
+  WITH p AS (SELECT line_id AS id, lower(texto) AS texto, prov_id AS proveedor, floor(pu * 100.0 + 0.5) / 100.0 AS precio FROM lines JOIN texts USING (codigo)),
   g AS (SELECT texto, count(*) AS n_filas, min(id) AS primer_id, count(DISTINCT proveedor) AS n_proveedores, min(proveedor) AS primer_proveedor,
                array_to_string(list_transform(list_sort(list_distinct(list(precio)))[1:4], lambda x: CAST(CAST(floor(x * 100 + 0.5) AS BIGINT) AS VARCHAR)), ',') AS precios FROM p GROUP BY texto),
   s AS (SELECT lower(texto) AS texto, alias_id, max(score) AS score FROM scored WHERE score >= 48 GROUP BY 1, 2),
@@ -333,7 +333,7 @@ def m19(spark, sf):
   SELECT g.*, m.codigo, m.score, CASE WHEN coalesce(m.score, 0) >= 85 THEN 'A_fuerte' WHEN coalesce(m.score, 0) >= 60 THEN 'B_dudoso' ELSE 'C_sin' END AS banda
   FROM g LEFT JOIN m USING (texto)"""))
 def m20(spark, sf):
-    pending = text_lines(spark, sf).filter("doc % 2 = 1").select(
+    pending = text_lines(spark, sf).select(
         F.col("line_id").alias("id"), "texto", F.col("prov_id").alias("proveedor"), F.col("pu").alias("precio"))
     texts = pending.select(F.lower("texto").alias("texto")).distinct()
     found = M.match(texts, pool(spark, sf), brands(spark, sf), rules=NO_RULES)

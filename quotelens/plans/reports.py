@@ -137,14 +137,20 @@ def h24(spark, sf):
     return mine.groupBy("doc").agg(F.count("*").alias("n_lineas"), exact_sum(F.col("pu")).alias("monto"))
 
 
-@query("h25_without_alias", "SELECT p_partkey AS codigo FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 5 = 0)")
+def usable_aliases(spark, sf):
+    from ..operators import linkage as M
+    from .linkage import NO_RULES, aliases
+
+    return M.judge_aliases(M.prepare_aliases(aliases(spark, sf), NO_RULES)).filter("regla = 'queda'").select("codigo")
+
+
+@query("h25_without_alias", on("judged", sql="SELECT p_partkey AS codigo FROM part WHERE p_partkey NOT IN (SELECT codigo FROM judged WHERE regla = 'queda')"))
 def h25(spark, sf):
-    named = lines(spark, sf).filter("doc % 5 = 0").select("codigo")
-    return materials(spark, sf).select("codigo").join(named, "codigo", "left_anti")
+    return materials(spark, sf).select("codigo").join(usable_aliases(spark, sf), "codigo", "left_anti")
 
 
-@query("h25_top_by_aliases", """
-  SELECT l_partkey AS codigo, count(*) AS n FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY 1 ORDER BY n DESC, codigo LIMIT 10""")
+@query("h25_top_by_aliases", on("judged", sql="""
+  SELECT codigo, count(*) AS n FROM judged WHERE regla = 'queda' GROUP BY 1 ORDER BY n DESC, codigo LIMIT 10"""))
 def h25_top(spark, sf):
-    n = lines(spark, sf).filter("doc % 5 = 0").groupBy("codigo").agg(F.count("*").alias("n"))
+    n = usable_aliases(spark, sf).groupBy("codigo").agg(F.count("*").alias("n"))
     return n.orderBy(F.desc("n"), "codigo").limit(10)

@@ -60,7 +60,7 @@ def w3(spark, sf):
 
 
 @query("w4_incremental_aliases", on("quotes", sql="""
-  WITH b AS (SELECT codigo, CASE WHEN codigo % 10 = 0 THEN 'm2 x ' || line_no ELSE lower(p_name) || ' ' || (prov_id % 3) END AS denominacion FROM quotes WHERE doc % 3 = 0)
+  WITH b AS (SELECT codigo, CASE WHEN codigo % 10 = 0 THEN 'm2 x ' || line_no ELSE lower(p_name) || ' ' || (prov_id % 3) END AS denominacion FROM quotes)
   SELECT codigo, denominacion, count(*) AS frecuencia FROM b WHERE regexp_matches(denominacion, '[a-z]{4,}') GROUP BY ALL"""))
 def w4(spark, sf):
     """Two batches in a row give the counts of one."""

@@ -81,14 +81,13 @@ def t5(spark, sf):
 
 
 @query("t6_brand_groups", on("noisy", sql=r"""
-  SELECT codigo, CASE WHEN n <= 20 THEN CASE WHEN n % 5 = 0 THEN '~' ELSE '' END || 'g' || (n % 5) ELSE '' END AS grupos
+  SELECT codigo, CASE WHEN n % 5 = 0 THEN '~' ELSE '' END || 'g' || (n % 5) AS grupos
   FROM (SELECT codigo, CAST(regexp_extract(p_brand, '(\d+)', 1) AS INTEGER) AS n FROM noisy)"""))
 def t6(spark, sf):
     from .linkage import brands
 
-    few = brands(spark, sf).filter(r"cast(regexp_extract(marca, '(\\d+)', 1) as int) <= 20")
     d = noisy(spark, sf).select("codigo", "texto")
-    return T.with_brand_groups(d, "codigo", "texto", few, "g").select("codigo", F.array_join("g", ",").alias("grupos"))
+    return T.with_brand_groups(d, "codigo", "texto", brands(spark, sf), "g").select("codigo", F.array_join("g", ",").alias("grupos"))
 
 
 @query("t6_brand_groups_v1", """

@@ -44,37 +44,36 @@ add_view("sized", """
   SELECT q.*, line_no % 4 AS k, CAST(floor(cant) AS INTEGER) AS q, codigo % 6 AS fam FROM quotes q""", ("quotes",))
 
 
-def family(spark, sf, n):
-    return sized(spark, sf).filter(f"codigo % 6 = {n}")
-
-
 @query("t9_pack_size", on("sized", sql="""
-  SELECT line_id, CASE k WHEN 0 THEN q WHEN 1 THEN q * 10 WHEN 3 THEN q * 25 END::DOUBLE AS pack FROM sized WHERE fam = 0"""))
+  SELECT line_id, CASE WHEN fam = 0 THEN CASE k WHEN 0 THEN q WHEN 1 THEN q * 10 WHEN 3 THEN q * 25 END END::DOUBLE AS pack FROM sized"""))
 def t9(spark, sf):
-    return family(spark, sf, 0).select("line_id", U.pack_size(F.col("desc")).alias("pack"))
+    return sized(spark, sf).select("line_id", U.pack_size(F.col("desc")).alias("pack"))
 
 
+# a length of one digit is also read where the text goes on ("X 4 MTS CUBICOS")
 @query("t10_sheet_length", on("sized", sql="""
-  SELECT line_id, CASE k WHEN 0 THEN q % 10 WHEN 1 THEN 1 END::DOUBLE AS largo FROM sized WHERE fam = 4"""))
+  SELECT line_id, CASE WHEN fam = 4 THEN CASE k WHEN 0 THEN q % 10 WHEN 1 THEN 1 END
+                       WHEN fam = 3 AND k = 2 AND q <= 9 THEN q WHEN fam = 5 AND k = 2 AND p_size <= 9 THEN p_size END::DOUBLE AS largo FROM sized"""))
 def t10(spark, sf):
-    return family(spark, sf, 4).select("line_id", U.sheet_length(F.col("desc")).alias("largo"))
+    return sized(spark, sf).select("line_id", U.sheet_length(F.col("desc")).alias("largo"))
 
 
 @query("t11_sheet_area", on("sized", sql="""
-  SELECT line_id, CASE WHEN k = 0 AND q <> 3 AND q <= 12 THEN floor(q * 3 * 10000.0 + 0.5) / 10000.0
-                       WHEN k = 1 AND q <= 12 THEN floor(q * 2.5 * 10000.0 + 0.5) / 10000.0 END AS area FROM sized WHERE fam = 2"""))
+  SELECT line_id, CASE WHEN fam = 2 AND k = 0 AND q <> 3 AND q <= 12 THEN floor(q * 3 * 10000.0 + 0.5) / 10000.0
+                       WHEN fam = 2 AND k = 1 AND q <= 12 THEN floor(q * 2.5 * 10000.0 + 0.5) / 10000.0 END AS area FROM sized"""))
 def t11(spark, sf):
-    return family(spark, sf, 2).select("line_id", U.sheet_area(F.col("desc")).alias("area"))
+    return sized(spark, sf).select("line_id", U.sheet_area(F.col("desc")).alias("area"))
 
 
-@query("t12_truck_volume", on("sized", sql="SELECT line_id, CASE k WHEN 0 THEN q END::DOUBLE AS volumen FROM sized WHERE fam = 3"))
+@query("t12_truck_volume", on("sized", sql="SELECT line_id, CASE WHEN fam = 3 AND k = 0 THEN q END::DOUBLE AS volumen FROM sized"))
 def t12(spark, sf):
-    return family(spark, sf, 3).select("line_id", U.truck_volume(F.col("desc")).alias("volumen"))
+    return sized(spark, sf).select("line_id", U.truck_volume(F.col("desc")).alias("volumen"))
 
 
-@query("t13_weight", on("sized", sql="SELECT line_id, CASE k WHEN 0 THEN q WHEN 1 THEN q * 1000 WHEN 3 THEN 1 END::DOUBLE AS kg FROM sized WHERE fam = 1"))
+@query("t13_weight", on("sized", sql="""
+  SELECT line_id, CASE WHEN fam = 1 THEN CASE k WHEN 0 THEN q WHEN 1 THEN q * 1000 WHEN 3 THEN 1 END WHEN fam = 0 AND k = 2 THEN q END::DOUBLE AS kg FROM sized"""))
 def t13(spark, sf):
-    return family(spark, sf, 1).select("line_id", U.weight_kg(F.col("desc")).alias("kg"))
+    return sized(spark, sf).select("line_id", U.weight_kg(F.col("desc")).alias("kg"))
 
 
 @query("t14_catalogue_pack", """
@@ -100,10 +99,11 @@ def conversions(spark, sf):
         F.when(k == 5, "rollo").otherwise("UN").alias("unidad_base"))
 
 
-def converted(spark, sf, fam=None):
-    l = sized(spark, sf) if fam is None else family(spark, sf, fam)
+def converted(spark, sf, mode=None):
+    """All lines; with `mode` only materials sold that way have a conversion, the others keep price and unit."""
     unit = F.when(F.col("doc") % 3 == 0, "un.").when(F.col("doc") % 3 == 1, "caja").otherwise("")
-    return convert_units(l.select("line_id", "codigo", "desc", unit.alias("unidad"), "pu", "cant"), conversions(spark, sf))
+    known = conversions(spark, sf) if mode is None else conversions(spark, sf).filter(F.col("unidad_comercial") == mode)
+    return convert_units(sized(spark, sf).select("line_id", "codigo", "desc", unit.alias("unidad"), "pu", "cant"), known)
 
 
 add_view("converted", """
@@ -118,7 +118,7 @@ add_view("converted", """
   d AS (SELECT *, CASE WHEN libre THEN 'x' WHEN fam = 5 THEN CASE WHEN metro THEN 'mul' WHEN k = 1 THEN 'base' ELSE 'amb' END
       WHEN fam = 1 AND n = 1 THEN 'keep' WHEN fam IN (0, 3, 4) AND n > 1 THEN 'div' WHEN fam IN (1, 2) AND n > 0 THEN 'div'
       WHEN fam = 0 AND u IN ('', 'UN') THEN 'keep' WHEN fam = 3 AND (n IS NOT NULL OR k = 1) THEN 'keep' WHEN fam = 4 AND (n > 0 OR metro) THEN 'keep' ELSE 'amb' END AS act FROM b)
-  SELECT line_id, fam, CASE act WHEN 'div' THEN floor(pu / n * 10000.0 + 0.5) / 10000.0 WHEN 'mul' THEN floor(pu * (p_size + 1) * 100.0 + 0.5) / 100.0 ELSE pu END AS pu_norm,
+  SELECT line_id, fam, pu, cant, u, CASE act WHEN 'div' THEN floor(pu / n * 10000.0 + 0.5) / 10000.0 WHEN 'mul' THEN floor(pu * (p_size + 1) * 100.0 + 0.5) / 100.0 ELSE pu END AS pu_norm,
          CASE act WHEN 'div' THEN cant * n WHEN 'mul' THEN cant / (p_size + 1) ELSE cant END AS cant_norm,
          CASE WHEN act IN ('x', 'amb') THEN CASE WHEN u = '' THEN 'UN' ELSE u END WHEN act IN ('mul', 'base') THEN 'rollo'
               ELSE CASE fam WHEN 0 THEN 'UN' WHEN 1 THEN 'KG' WHEN 2 THEN 'M2' WHEN 3 THEN 'M3' ELSE 'ML' END END AS unidad_final,
@@ -127,17 +127,20 @@ add_view("converted", """
 OUT = "line_id, pu_norm, cant_norm, unidad_final, ambigua, con_nota"
 
 
-def _register(name, fam):
-    where = "" if fam is None else f" WHERE fam = {fam}"
+def _register(name, mode, fam):
+    sql = f"SELECT {OUT} FROM converted" if mode is None else f"""
+  SELECT line_id, CASE WHEN fam = {fam} THEN pu_norm ELSE pu END AS pu_norm, CASE WHEN fam = {fam} THEN cant_norm ELSE cant END AS cant_norm,
+         CASE WHEN fam = {fam} THEN unidad_final WHEN u = '' THEN 'UN' ELSE u END AS unidad_final,
+         fam = {fam} AND ambigua AS ambigua, fam = {fam} AND con_nota AS con_nota FROM converted"""
 
-    @query(name, on("converted", sql=f"SELECT {OUT} FROM converted{where}"))
+    @query(name, on("converted", sql=sql))
     def run(spark, sf):
-        return converted(spark, sf, fam).select(
+        return converted(spark, sf, mode).select(
             "line_id", "pu_norm", "cant_norm", "unidad_final", "ambigua", F.col("nota").isNotNull().alias("con_nota"))
 
     return run
 
 
-for _name, _fam in (("p7_unit_metre", 5), ("p8_unit_piece", 0), ("p9_unit_kilo", 1), ("p10_unit_area", 2), ("p11_unit_volume", 3),
-                    ("p12_unit_sheet", 4), ("p13_unit_router", None)):
-    _register(_name, _fam)
+for _name, _mode, _fam in (("p7_unit_metre", "m", 5), ("p8_unit_piece", "un", 0), ("p9_unit_kilo", "kg", 1), ("p10_unit_area", "m2", 2),
+                           ("p11_unit_volume", "m3", 3), ("p12_unit_sheet", "ml", 4), ("p13_unit_router", None, None)):
+    _register(_name, _mode, _fam)

@@ -2,42 +2,126 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import vocabulary as V
 from ..functions.scalars import parse_number, rnd
+from ..session import cut
 
-MAX_COLUMNS = 32
-HEADER_ROWS = 30
+SEPARATORS = (",", ";", "\t")
 SUMMARY_ROWS = ("total", "subtotal", "iva", "total general")
+# lines of a file that are numbered together
+BLOCK = 4096
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(archivo, n, linea)``: the text lines of all files in order; large files are read in splits."""
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("archivo"), F.struct(F.col("_metadata.file_block_start").alias("corte"), F.monotonically_increasing_id().alias("i")).alias("k"), "value")
+    x = cut(raw.select("archivo", "k.corte", "k.i", F.regexp_replace("value", "^\ufeff|\r$", "").alias("linea")))
+    # ids rise inside a split, splits rise by their place in the file
+    ends = x.groupBy("archivo", "corte").agg(F.count("*").alias("c"), F.min("i").alias("desde"))
+    before = F.sum("c").over(Window.partitionBy("archivo").orderBy("corte")) - F.col("c")
+    starts = ends.select("archivo", "corte", "desde", before.alias("antes"))
+    return x.join(starts, ["archivo", "corte"]).select("archivo", (F.col("antes") + F.col("i") - F.col("desde")).alias("n"), "linea")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: name and text; a byte-order mark is dropped, bad bytes are replaced."""
+    """One row per file: name and text; a byte-order mark is dropped, bad bytes are replaced. For small files."""
     raw = spark.read.text(path, wholetext=True).withColumn("archivo", F.col("_metadata.file_path"))
-    return raw.select("archivo", F.regexp_replace("value", "^﻿", "").alias("contenido"))
+    return raw.select("archivo", F.regexp_replace("value", "^\ufeff", "").alias("contenido"))
+
+
+def text_lines(files: DataFrame) -> DataFrame:
+    """``files(archivo, contenido)`` to ``(archivo, n, linea)``."""
+    x = files.select("archivo", F.posexplode(F.split("contenido", "\n")).alias("n", "linea"))
+    return x.withColumn("n", F.col("n").cast("bigint")).withColumn("linea", F.regexp_replace("linea", "\r$", ""))
+
+
+def file_separators(lines: DataFrame) -> DataFrame:
+    """``(archivo, sep)``: the separator that most lines of the file use, then the one it uses most often."""
+    used = lambda s: F.count_if(F.contains("linea", F.lit(s)))
+    times = lambda s: F.sum(F.size(F.split("linea", s)) - 1)
+    counts = lines.groupBy("archivo").agg(*[F.struct(used(s).alias("n"), times(s).alias("t"), F.lit(-i).alias("p"), F.lit(s).alias("s")).alias(f"s{i}")
+                                            for i, s in enumerate(SEPARATORS)])
+    return counts.select("archivo", F.greatest(*[f"s{i}" for i in range(len(SEPARATORS))])["s"].alias("sep"))
+
+
+def _quotes(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit('"')))
+
+
+def _inside_after(pieces: Column, inside: bool) -> Column:
+    """Whether a quoted cell is still open after the pieces between separators; only a quote at the begin of a cell opens one."""
+    odd = lambda p: _quotes(p) % 2 == 1
+    return F.aggregate(pieces, F.lit(inside), lambda open_, p: F.when(open_, ~odd(p)).otherwise(F.startswith(F.ltrim(p), F.lit('"')) & odd(p)))
+
+
+def _so_far(value: Column, *keys: str) -> Column:
+    return F.sum(value).over(Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+
+
+def sheet_records(lines: DataFrame) -> DataFrame:
+    """``(archivo, fila, linea, sep)``: a line that begins inside a quoted cell continues the record of the line before.
+
+    A line either leaves the state as it was, turns it, or sets it, whatever it was; turns are counted and the last setting
+    is found in blocks of lines, and the blocks of a file are chained by the same rule. Records are numbered the same way,
+    so no task orders a whole file.
+    """
+    x = lines.join(file_separators(lines), "archivo")
+    pieces = F.split("linea", F.concat(F.lit("["), F.col("sep"), F.lit("]")))
+    plain = ~F.contains("linea", F.lit('"'))
+    e0 = F.when(plain, False).otherwise(_inside_after(pieces, False))
+    e1 = F.when(plain, True).otherwise(_inside_after(pieces, True))
+    x = x.withColumn("e", F.struct(e0.alias("a"), e1.alias("b"))).withColumn("bloque", F.floor(F.col("n") / BLOCK))
+    x = x.withColumn("gira", (F.col("e.a") & ~F.col("e.b")).cast("int")).withColumn("fija", F.when(F.col("e.a") == F.col("e.b"), F.col("e.a")))
+    x = x.drop("e").withColumn("giros", _so_far(F.col("gira"), "archivo", "bloque"))
+    setting = F.when(F.col("fija").isNotNull(), F.struct("n", (F.col("fija").cast("int") + F.col("giros")).alias("v")))
+    last = F.max(setting).over(Window.partitionBy("archivo", "bloque").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    x = cut(x.withColumn("s", setting).withColumn("ultima", last))
+    # state after a block: set by its last setting, or turned by its turns
+    blocks = x.groupBy("archivo", "bloque").agg(F.max("giros").alias("g"), F.max("s").alias("s"))
+    w = Window.partitionBy("archivo").orderBy("bloque")
+    blocks = blocks.withColumn("acum", F.sum("g").over(w)).withColumn("marca", F.when(
+        F.col("s").isNotNull(), F.struct("bloque", (F.col("s.v") + F.col("acum") - F.col("g")).alias("v"))))
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    entry = F.pmod(F.coalesce(F.max("marca").over(past)["v"], F.lit(0)) + F.coalesce(F.max("acum").over(past), F.lit(0)), F.lit(2))
+    x = x.join(blocks.select("archivo", "bloque", entry.alias("entra")), ["archivo", "bloque"])
+    before = F.col("giros") - F.col("gira")
+    state = F.pmod(F.when(F.col("ultima").isNotNull(), F.col("ultima.v") + before).otherwise(F.col("entra") + before), F.lit(2))
+    x = x.withColumn("nueva", (state == 0).cast("bigint"))
+    x = x.withColumn("k", _so_far(F.col("nueva"), "archivo", "bloque"))
+    counts = x.groupBy("archivo", "bloque").agg(F.sum("nueva").alias("c"))
+    counts = counts.select("archivo", "bloque", (F.sum("c").over(w) - F.col("c")).alias("antes"))
+    x = x.join(counts, ["archivo", "bloque"]).withColumn("fila", (F.col("antes") + F.col("k") - 1).cast("int"))
+    # most records are one line; a record is put together from its own lines only
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "linea"))), lambda r: r["linea"]), "\n")
+    return x.groupBy("archivo", "fila").agg(whole.alias("linea"), F.first("sep").alias("sep"))
+
+
+def split_cells(line: Column, sep: Column) -> Column:
+    """Cells of one record, as many as it has; outer quotes go, doubled ones become one."""
+    odd = lambda p: _quotes(p) % 2 == 1
+    pieces = F.split(line, F.concat(F.lit("["), sep, F.lit("]")))
+    start = F.struct(F.array().cast("array<string>").alias("celdas"), F.lit(None).cast("string").alias("abierta"))
+
+    def add(acc, p):
+        joined = F.when(acc["abierta"].isNull(), p).otherwise(F.concat(acc["abierta"], sep, p))
+        opened = F.when(acc["abierta"].isNull(), F.startswith(F.ltrim(p), F.lit('"')) & odd(p)).otherwise(~odd(p))
+        return F.struct(F.when(opened, acc["celdas"]).otherwise(F.concat(acc["celdas"], F.array(joined))).alias("celdas"),
+                        F.when(opened, joined).alias("abierta"))
+
+    glued = F.aggregate(pieces, start, add, lambda acc: F.when(acc["abierta"].isNull(), acc["celdas"]).otherwise(F.concat(acc["celdas"], F.array(acc["abierta"]))))
+    quoted = F.transform(glued, lambda c: F.when(F.startswith(F.ltrim(c), F.lit('"')), F.replace(
+        F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
+    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(pieces)
 
 
 def sheet_rows(files: DataFrame) -> DataFrame:
-    """Files to ``(archivo, fila, celdas)``; the separator is the one of comma, semicolon and tab that most of the first lines use."""
-    outside_quotes = r'\r?\n(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    x = files.withColumn("filas", F.split("contenido", outside_quotes))
-    head = F.slice("filas", 1, 20)
-    used = lambda s: F.size(F.filter(head, lambda r: F.contains(r, F.lit(s))))
-    times = lambda s: F.size(F.split(F.array_join(head, "\n"), s))
-    ranked = F.array(*[F.struct(used(s).alias("n"), times(s).alias("t"), F.lit(-i).alias("p"), F.lit(s).alias("s")) for i, s in enumerate((",", ";", "\t"))])
-    x = x.withColumn("sep", F.array_max(ranked)["s"]).select("archivo", "sep", F.posexplode("filas").alias("fila", "linea"))
-    schema = ", ".join(f"c{i} string" for i in range(MAX_COLUMNS))
-
-    def parsed(s):
-        return F.from_csv("linea", F.lit(schema), {"sep": s, "escape": "\"", "mode": "PERMISSIVE"})
-
-    x = x.filter(F.trim("linea") != "")
-    # parsed once into a struct, then laid out as an array
-    x = x.withColumn("p", F.when(F.col("sep") == ",", parsed(",")).when(F.col("sep") == ";", parsed(";")).otherwise(parsed("\t")))
-    cells = F.array(*[F.col(f"p.c{i}") for i in range(MAX_COLUMNS)])
-    width = F.size(F.split("linea", F.concat(F.lit("["), F.col("sep"), F.lit("]"))))
-    return x.select("archivo", "fila", F.slice(cells, F.lit(1), F.least(width, F.lit(MAX_COLUMNS))).alias("celdas"))
+    """Files ``(archivo, contenido)`` or their lines ``(archivo, n, linea)`` to ``(archivo, fila, celdas)``; blank rows are left out."""
+    lines = text_lines(files) if "contenido" in files.columns else files
+    x = sheet_records(lines).filter(F.trim("linea") != "")
+    return x.select("archivo", "fila", F.transform(split_cells(F.col("linea"), F.col("sep")), lambda c: F.nullif(c, F.lit(""))).alias("celdas"))
 
 
 def header_text(raw: Column) -> Column:
@@ -50,14 +134,15 @@ def header_names(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "campo string, nombre string")
 
 
-def find_headers(rows: DataFrame) -> DataFrame:
-    """First row of each file with a description and a price or total: field -> column.
+def find_headers(rows: DataFrame, first_rows: int | None = None) -> DataFrame:
+    """First row of each file (of its ``first_rows``, default all) with a description and a price or total: field -> column.
 
     The outer explode keeps the optimizer from pushing a size test, and with it
     the parsing of the cells, into the scan once per column. A cell names a field when it equals one of its names or starts with one and a
     blank; its word prefixes are joined for equality with the name list.
     """
-    cells = rows.filter(F.col("fila") < HEADER_ROWS).select("archivo", "fila", F.posexplode_outer("celdas").alias("col", "raw"))
+    looked = rows if first_rows is None else rows.filter(F.col("fila") < first_rows)
+    cells = looked.select("archivo", "fila", F.posexplode_outer("celdas").alias("col", "raw"))
     cells = cells.filter("raw is not null").withColumn("w", F.split(header_text(F.col("raw")), " "))
     starts = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_join(F.slice("w", F.lit(1), i), " "))
     named = cells.select("archivo", "fila", "col", F.explode(starts).alias("nombre")).join(header_names(rows.sparkSession), "nombre")

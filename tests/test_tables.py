@@ -34,8 +34,8 @@ def test_snapshot_and_append(spark, tmp_path):
     assert {r.tabla: r.filas for r in m.collect()} == {"a": 5, "b": 2}
     with pytest.raises(RuntimeError):
         I.export_snapshot({"a": df}, str(tmp_path), "2024-01-01")
-    for _ in range(2):
-        I.append_prices(df, str(tmp_path / "h"))
+    for run in ("a", "a", "b"):
+        I.append_prices(df, str(tmp_path / "h"), run)
     assert spark.read.parquet(str(tmp_path / "h")).filter("origen = 'pipeline'").count() == 10
 
 
@@ -51,7 +51,19 @@ def test_exact_median(spark):
 
 def test_numbering_is_consecutive(spark):
     df = spark.range(300).select(F.md5(F.col("id").cast("string")).alias("k"))
-    assert sorted(r.n for r in I.numbered(df, "k").collect()) == list(range(1, 301))
+    got = {r.k: r.n for r in I.numbered(df, "k").collect()}
+    assert got == {k: n for n, k in enumerate(sorted(got), 1)} and len(got) == 300
+
+
+def test_stored_decisions_keep_their_numbers(spark):
+    cols = "desc string, decision string, cod_propuesto string, cod_correcto string, seq string"
+    old = spark.createDataFrame([(f"d{i}", "CARGAR", f"C{i}", None, f"{9 - i}") for i in range(5)], cols)
+    new = spark.createDataFrame([(f"a{i}", "CARGAR", f"C{i}", None, f"{i}") for i in range(3)] + [("d1", "CARGAR", "C1", None, "7")], cols)
+    number = lambda x: {r.clave: r.n for r in I.numbered(x, "nueva", "seq", "clave").collect()}
+    before = number(I.consolidate(old, new.limit(0)))
+    after = number(I.consolidate(old, new))
+    assert before == {f"D{i}|C{i}": 5 - i for i in range(5)} and all(after[k] == n for k, n in before.items())
+    assert {k: n for k, n in after.items() if k not in before} == {f"A{i}|C{i}": 6 + i for i in range(3)}
 
 
 def test_saving_guard(spark):
