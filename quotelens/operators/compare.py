@@ -157,3 +157,9 @@ def pair_concepts(links: DataFrame) -> DataFrame:
         "material", "cant", "n_prov", "mejor_id", "minimo", F.lit(0.0).alias("ahorro"), F.lit(True).alias("en_varios"),
         "concepto",
     )
+
+
+def check_selection(selection: DataFrame, owner: tuple[str, ...], limit: int = 20) -> DataFrame:
+    """``selection(owner..., doc)`` with ``valida``: a selection of more than ``limit`` quotes is refused as a whole, never shortened."""
+    sizes = selection.groupBy(*owner).agg(F.count_distinct("doc").alias("n_docs"))
+    return selection.join(sizes, list(owner)).withColumn("valida", F.col("n_docs") <= limit)

@@ -378,6 +378,55 @@ def boost(score: Column, code: Column, confirmed: Column) -> tuple[Column, Colum
     return F.when(same, F.greatest(score, F.lit(90.0))).otherwise(score), F.when(same, "EQUIV").otherwise("IA")
 
 
+def v1_items(materials: DataFrame) -> DataFrame:
+    """``materials(codigo, rubro, marca, nombre)`` as the first scorer reads them."""
+    return materials.select("codigo", T.normalize(F.col("rubro")).alias("rubro_item"), "marca", T.normalize(F.col("nombre")).alias("m_text"))
+
+
+def v1_pairs(lines: DataFrame, items: DataFrame, cell: int = 256) -> DataFrame:
+    """Every line with every item of its scope: ``lines(linea, p, rubro_norm, alcance, confirmado)``.
+
+    Lines of a known category meet its items, a confirmed item joins them from elsewhere, and lines without a usable category
+    meet the whole catalogue. Equal texts of one category are scored once by the caller. The catalogue is cut into cells, so
+    neither a large category nor the whole catalogue meets its lines in one task.
+    """
+    cells = F.pmod(F.xxhash64("codigo"), F.col("celdas")).cast("int")
+    sizes = items.groupBy("rubro_item").agg(F.ceil(F.count("*") / cell).cast("int").alias("celdas"))
+    dealt = items.join(sizes, "rubro_item").withColumn("c", cells)
+    own = lines.filter("alcance = 'rubro'").join(sizes, F.col("rubro_norm") == F.col("rubro_item")).drop("rubro_item")
+    own = own.withColumn("c", F.explode(F.sequence(F.lit(0), F.col("celdas") - 1)))
+    same = own.join(dealt.drop("celdas"), (F.col("rubro_norm") == F.col("rubro_item")) & (own["c"] == dealt["c"]))
+    other = lines.filter("alcance = 'rubro'").join(items, F.col("confirmado") == F.col("codigo")).filter(~F.col("rubro_norm").eqNullSafe(F.col("rubro_item")))
+    # the whole catalogue: its categories are the first half of the key
+    every = lines.filter("alcance = 'todo'").withColumn("trozo", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    whole = every.join(items.withColumn("trozo", F.pmod(F.xxhash64("codigo"), F.lit(64)).cast("int")), "trozo")
+    cols = ["linea", "p", "confirmado", "codigo", "m_text", "marca"]
+    return same.select(*cols).unionByName(other.select(*cols)).unionByName(whole.select(*cols))
+
+
+def match_v1(lines: DataFrame, materials: DataFrame, equivalences: DataFrame, top_n: int = 3) -> DataFrame:
+    """First-generation match as a whole: confirmed code, scope, score, boost and the best ``top_n`` of each line with their origin.
+
+    ``lines(linea, texto, cod_prov, rubro_prov)``, ``materials(codigo, rubro, marca, nombre)``,
+    ``equivalences(clave, cod_int)`` with one row per key. Lines with equal text, category and confirmed code are scored once.
+    """
+    x = confirm_codes(lines.withColumn("desc_prov", F.col("texto")), equivalences)
+    x = v1_scope(x, materials).withColumn("p", T.normalize(F.col("texto")))
+    keys = ["p", "rubro_norm", "alcance", "confirmado"]
+    once = cut(x.groupBy(*keys).agg(F.min("linea").alias("linea")))
+    scored = score_v1(v1_pairs(once, v1_items(materials)))
+    score, origin = boost(F.col("score"), F.col("codigo"), F.col("confirmado"))
+    w = Window.partitionBy("linea").orderBy(F.desc("score"), "codigo")
+    best = scored.select("linea", "codigo", score.alias("score"), origin.alias("origen")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
+    heads = once.withColumnRenamed("linea", "cabeza")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"x.{k}").eqNullSafe(F.col(f"h.{k}"))
+    named = x.alias("x").join(heads.alias("h"), same).select("x.linea", "h.cabeza")
+    out = named.join(best.withColumnRenamed("linea", "cabeza"), "cabeza", "left").drop("cabeza")
+    return out.withColumn("accion", band(F.coalesce("score", F.lit(0.0))))
+
+
 def score_v1(pairs: DataFrame) -> DataFrame:
     """``pairs(p, m_text, marca)`` already normalised upper case; adds ``score`` 0-100."""
     p, m = F.col("p"), F.col("m_text")

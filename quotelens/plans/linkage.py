@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import textnorm as T
-from ..functions.similarity import token_set_ratio
+from ..functions.similarity import partial_ratio, token_set_ratio
 from ..operators import compare as C
 from ..operators import linkage as M
 from ..operators import pricing as P
@@ -161,12 +161,34 @@ def m3(spark, sf):
     return t.select("texto", "tkey").join(M.best_aliases(t, pool(spark, sf)), "tkey").select("texto", "alias_id", "score", "previo")
 
 
-@query("m4_token_set_ratio")
+add_view("ratios", f"""
+  WITH t AS (SELECT texto, list_distinct(string_split({NORM.format(c='texto')}, ' ')) AS ta FROM texts),
+  p AS (SELECT DISTINCT texto, alias_id, ta, list_distinct(string_split(norm, ' ')) AS tb FROM top9 JOIN pool USING (alias_id) JOIN (SELECT DISTINCT texto, ta FROM t) USING (texto)),
+  r AS (SELECT *, array_to_string(list_sort(list_filter(ta, lambda x: NOT list_contains(tb, x))), ' ') AS ra,
+               array_to_string(list_sort(list_filter(tb, lambda x: NOT list_contains(ta, x))), ' ') AS rb,
+               array_to_string(list_sort(list_intersect(ta, tb)), ' ') AS co FROM p),
+  u AS (SELECT DISTINCT ra, rb FROM r WHERE ra <> '' AND rb <> ''),
+  -- one row of the LCS table a character of ra: a running maximum over the row before, one more where the characters agree
+  l AS (
+    WITH RECURSIVE s(ra, rb, i, fila) AS (
+      SELECT ra, rb, 0, list_transform(range(length(rb) + 1), lambda x: 0) FROM u
+      UNION ALL
+      SELECT ra, rb, i + 1, list_transform(range(1, length(rb) + 2), lambda j: list_max(list_transform(range(1, j + 1),
+        lambda k: greatest(fila[k], CASE WHEN k > 1 AND rb[k - 1] = ra[i + 1] THEN fila[k - 1] + 1 ELSE 0 END)))) FROM s WHERE i < length(ra))
+    SELECT ra, rb, list_max(fila) AS lcs FROM s WHERE i = length(ra)),
+  n AS (SELECT *, length(co) AS c, CASE WHEN co = '' THEN 0 ELSE 1 END AS g FROM r LEFT JOIN l USING (ra, rb))
+  SELECT texto, alias_id, CASE WHEN co <> '' AND (ra = '' OR rb = '') THEN 100.0 ELSE greatest(
+      100.0 - 100.0 * (length(ra) + length(rb) - 2 * lcs) / CAST(2 * (c + g) + length(ra) + length(rb) AS DOUBLE),
+      CASE WHEN co <> '' THEN 100.0 - 100.0 * (g + length(ra)) / CAST(2 * c + g + length(ra) AS DOUBLE) ELSE 0 END,
+      CASE WHEN co <> '' THEN 100.0 - 100.0 * (g + length(rb)) / CAST(2 * c + g + length(rb) AS DOUBLE) ELSE 0 END) END AS ratio FROM n""", ("top9", "texts", "pool"))
+
+
+@query("m4_token_set_ratio", on("ratios", sql="SELECT texto, alias_id, ratio FROM ratios"))
 def m4(spark, sf):
-    """Character-level score of the candidate pairs."""
+    """Character-level score of each text and the nine candidates of the ranked match."""
     t = prepared_texts(spark, sf)
-    pairs = M.all_pairs(t, pool(spark, sf).filter("sintetico"), 85.0)
-    return pairs.select("tkey", "akey", "score", token_set_ratio("tkey", "akey").alias("ratio"))
+    top = M.best_aliases(t, pool(spark, sf)).withColumn("akey", F.array_join(T.token_set(F.col("norm")), " ")).select("tkey", "alias_id", "akey")
+    return t.select("texto", "tkey").join(top, "tkey").select("texto", "alias_id", token_set_ratio("tkey", "akey").alias("ratio"))
 
 
 @query("m4_containment", on("pool", "texts", sql=f"""
@@ -353,31 +375,29 @@ def m21(spark, sf):
         m.select(T.match_key(short).alias("k")), m.select(T.match_key(F.col("texto")).alias("kk"), F.col("codigo").alias("pos")))
 
 
-def v1_pairs(spark, sf):
-    """Candidate pairs in the line's own category, texts in upper case."""
+def v1_tables(spark, sf):
+    """Every material's text as a line; one code in three is confirmed by text."""
     m = materials(spark, sf)
-    lines_ = m.select(F.col("codigo").alias("linea"), F.col("rubro").alias("rubro_prov"), F.lit(None).cast("bigint").alias("confirmado"),
-                      line_text().alias("texto"))
-    scoped = M.v1_scope(lines_, m).withColumn("norm", F.lower(T.normalize(F.col("texto"))))
-    items = m.select("codigo", T.normalize(F.col("rubro")).alias("rubro_item"), F.col("p_brand").alias("marca"),
-                     T.normalize(full_name()).alias("m_text")).withColumn("norm", F.lower("m_text"))
-    pairs = M.all_pairs(scoped, items, 80.0)
-    key = lambda df, k: df.withColumn(k, F.array_join(T.token_set(F.col("norm")), " ")).drop("norm")
-    both = key(scoped, "tkey").join(pairs, "tkey").join(key(items, "akey"), "akey")
-    return both.filter("alcance = 'todo' or rubro_norm = rubro_item or confirmado = codigo").withColumn("p", T.normalize(F.col("texto")))
+    k = F.col("codigo")
+    lines_ = m.select(k.alias("linea"), line_text().alias("texto"), F.lit("").alias("cod_prov"),
+                      F.when(k % 11 == 0, "OTRO").otherwise(F.col("rubro")).alias("rubro_prov"))
+    items = m.select("codigo", "rubro", F.col("p_brand").alias("marca"), full_name().alias("nombre"))
+    equiv = m.select(F.when(k % 3 == 0, line_text()).otherwise(F.concat(F.lit("otro "), line_text())).alias("clave"), k.alias("cod_int"))
+    return lines_, items, equiv.groupBy("clave").agg(F.min("cod_int").alias("cod_int"))
 
 
 @query("m14_score_v1")
 def m14(spark, sf):
-    s = M.score_v1(v1_pairs(spark, sf).select("linea", "codigo", "p", "m_text", "marca"))
-    return s.groupBy("linea").agg(F.max_by(F.struct("codigo", "score"), F.struct("score", -F.col("codigo"))).alias("m")).select("linea", "m.*")
+    """Best three items of each line's whole scope with score, origin and band."""
+    return M.match_v1(*v1_tables(spark, sf)).select("linea", "rank", "codigo", "score", "origen", "accion")
 
 
 @query("m5_partial_ratio")
 def m5(spark, sf):
-    from ..functions.similarity import partial_ratio
-
-    return v1_pairs(spark, sf).select("linea", "codigo", partial_ratio("p", "m_text").alias("parcial"))
+    """Best-window ratio of each text and the nine candidates of the ranked match."""
+    t = prepared_texts(spark, sf)
+    top = M.best_aliases(t, pool(spark, sf)).select("tkey", "alias_id", F.col("norm").alias("a_norm"))
+    return t.select("texto", "norm", "tkey").join(top, "tkey").select("texto", "alias_id", partial_ratio("norm", "a_norm").alias("parcial"))
 
 
 @query("m15_category_scope", on("texts", sql="""
@@ -422,25 +442,28 @@ def m17(spark, sf):
 
 
 @query("c17_compare_saved", on("repriced", "owned", "texts", "matched", sql="""
-  WITH sel AS (SELECT r.*, o.user_id, m.codigo AS cod FROM repriced r JOIN (SELECT line_id, user_id FROM owned) o USING (line_id)
+  WITH ch AS (SELECT o_orderkey AS doc, o_custkey AS user_id, CAST(year(o_orderdate) AS INTEGER) AS anio, count(*) OVER (PARTITION BY o_custkey, year(o_orderdate)) AS n_docs FROM orders),
+  sel AS (SELECT r.* EXCLUDE (anio), ch.user_id, ch.anio, m.codigo AS cod FROM repriced r JOIN ch USING (doc)
                JOIN texts t ON t.codigo = r.codigo JOIN matched m ON m.texto = t.texto AND m.rank = 1 AND m.nivel = 'automatico'
-               WHERE doc IN (SELECT doc FROM (SELECT o_orderkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) WHERE rn <= 20)
-                 AND precio > 0),
-  c AS (SELECT user_id, cod, prov_id, arg_max(precio, (fecha, doc, line_no, codigo, prov_id, pu, cant)) AS neto,
+               WHERE n_docs <= 20 AND precio > 0),
+  c AS (SELECT user_id, anio, cod, prov_id, arg_max(precio, (fecha, doc, line_no, codigo, prov_id, pu, cant)) AS neto,
                arg_max(cant, (fecha, doc, line_no, codigo, prov_id, pu, cant)) AS cant FROM sel GROUP BY ALL),
-  p AS (SELECT user_id, CASE WHEN count(DISTINCT doc % 3) = 1 THEN min(doc % 3) END AS obra FROM sel GROUP BY user_id)
-  SELECT user_id, cod AS codigo, count(*) AS n_prov, arg_min(prov_id, (neto, prov_id)) AS mejor_id, min(neto) AS minimo, any_value(obra) AS obra_comun
-  FROM c JOIN p USING (user_id) GROUP BY user_id, cod"""))
+  p AS (SELECT user_id, anio, CASE WHEN count(DISTINCT doc % 3) = 1 THEN min(doc % 3) END AS obra FROM sel GROUP BY user_id, anio)
+  SELECT user_id, anio, cod AS codigo, count(*) AS n_prov, arg_min(prov_id, (neto, prov_id)) AS mejor_id, min(neto) AS minimo, any_value(obra) AS obra_comun, 'OK' AS estado
+  FROM c JOIN p USING (user_id, anio) GROUP BY user_id, anio, cod
+  UNION ALL SELECT DISTINCT user_id, anio, NULL, NULL, NULL, NULL, NULL, 'seleccion_invalida' FROM ch WHERE n_docs > 20"""))
 def c17(spark, sf):
-    """Every owner compares their latest 20 quotes again: repriced, matched with today's aliases, automatic lines only."""
-    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc"), F.col("o_custkey").alias("user_id"), "o_orderdate")
-    w = Window.partitionBy("user_id").orderBy(F.desc("o_orderdate"), "doc")
-    # the optimizer keeps at most 20 rows per owner before the shuffle
-    chosen = orders.withColumn("rn", F.row_number().over(w)).filter("rn <= 20").select("doc", "user_id")
-    saved = P.reprice_saved(P.with_net(text_lines(spark, sf)), overrides(spark, sf)).join(chosen, "doc").filter("precio > 0")
+    """Every owner compares the quotes of each year again: repriced, matched with today's aliases, automatic lines only."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc"), F.col("o_custkey").alias("user_id"), F.year("o_orderdate").alias("anio"))
+    chosen = C.check_selection(orders, ("user_id", "anio"))
+    refused = chosen.filter("not valida").select("user_id", "anio").distinct()
+    l = P.with_net(text_lines(spark, sf)).drop("anio")
+    saved = P.reprice_saved(l, overrides(spark, sf)).join(chosen.filter("valida").select("doc", "user_id", "anio"), "doc").filter("precio > 0")
     linked = M.link_lines(saved, matches(spark, sf)).filter("nivel = 'automatico'").withColumn("neto", F.col("precio"))
-    project = linked.groupBy("user_id").agg(
+    owner = ["user_id", "anio"]
+    project = linked.groupBy(*owner).agg(
         F.when(F.min(F.col("doc") % 3) == F.max(F.col("doc") % 3), F.min(F.col("doc") % 3)).alias("obra_comun"))
-    keys = ("user_id", "codigo_match")
+    keys = ("user_id", "anio", "codigo_match")
     r = C.compare(C.cells(linked, line_seq(), keys=keys), keys=keys)
-    return r.join(project, "user_id").select("user_id", F.col("codigo_match").alias("codigo"), "n_prov", "mejor_id", "minimo", "obra_comun")
+    out = r.join(project, owner).select(*owner, F.col("codigo_match").alias("codigo"), "n_prov", "mejor_id", "minimo", "obra_comun", F.lit("OK").alias("estado"))
+    return out.unionByName(refused.withColumn("estado", F.lit("seleccion_invalida")), allowMissingColumns=True)
