@@ -21,19 +21,26 @@ def or_default(col: Column, default) -> Column:
     return F.coalesce(F.nullif(col, F.lit(0).cast("double")), F.lit(default).cast("double"))
 
 
+def once(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated and written into the plan once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def parse_number(col: Column) -> Column:
     """US ``12,892.91`` and European ``12.892,91``; null where it is no number."""
-    s = F.regexp_replace(F.trim(col), " ", "")
-    back = F.reverse(s)
-    comma, dot = F.instr(back, ","), F.instr(back, ".")
-    plain = (
-        F.when((comma > 0) & (dot > 0) & (comma < dot), F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when((comma > 0) & (dot > 0), F.replace(s, F.lit(","), F.lit("")))
-        .when((comma > 0) & s.rlike(r",\d{1,2}$"), F.replace(s, F.lit(","), F.lit(".")))
-        .when(comma > 0, F.replace(s, F.lit(","), F.lit("")))
-        .otherwise(s)
-    )
-    return F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), plain.try_cast("double"))
+    def plain(s):
+        back = F.reverse(s)
+        comma, dot = F.instr(back, ","), F.instr(back, ".")
+        return (
+            F.when((comma > 0) & (dot > 0) & (comma < dot), F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
+            .when((comma > 0) & (dot > 0), F.replace(s, F.lit(","), F.lit("")))
+            .when((comma > 0) & s.rlike(r",\d{1,2}$"), F.replace(s, F.lit(","), F.lit(".")))
+            .when(comma > 0, F.replace(s, F.lit(","), F.lit("")))
+            .otherwise(s)
+        )
+
+    written = once(F.regexp_replace(F.trim(col), " ", ""), plain)
+    return once(written, lambda t: F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$"), t.try_cast("double")))
 
 
 def general_text(col: Column) -> Column:

@@ -107,7 +107,9 @@ def with_prepared(df: DataFrame, text: str, out: str = "norm", rules: list[tuple
     staged = before_fold(df, text, out)
     if rules:
         staged = staged.withColumn(out, synonym_folder(rules)(F.col(out)))
-    return after_fold(staged, out)
+    done = after_fold(staged, out)
+    # the outer explode keeps later filters on the text from being pushed down, which would repeat every step for each use
+    return done.withColumn(out, F.explode_outer(F.array(out)))
 
 
 def numbers(prepared: Column) -> Column:

@@ -136,13 +136,12 @@ def candidate_pairs(t: DataFrame, a: DataFrame, cutoff: float = CUTOFF, cell: in
     one emits. Rows of a key are spread over an s_t x s_a grid sized by the token
     counts, so no group of pairs grows beyond one cell.
     """
-    parts = int(t.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grid = ["t1", "t2", "i", "j"]
 
     def side(x, key, needs, own, other, own_n, other_n):
         rows = x.select(key, F.col("r").alias(f"r_{key}"), F.col("a").alias(f"a_{key}"), F.explode_outer(key_pairs(needs, cell)).alias("k")).filter("k is not null")
         rows = rows.select(key, f"r_{key}", f"a_{key}", "k.*").withColumn(own, F.pmod(F.hash(key), F.col(own_n)))
-        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1))).drop("s_t", "s_a").repartition(parts, *grid)
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1))).drop("s_t", "s_a")
 
     def joined(left, right, keep):
         rows = left.join(right, grid)
@@ -164,7 +163,7 @@ def candidate_pairs(t: DataFrame, a: DataFrame, cutoff: float = CUTOFF, cell: in
 
 
 def rank_both(texts: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
-    ts, as_ = cut(signatures(texts, "norm", "tkey")), cut(signatures(pool, "norm", "akey"))
+    ts, as_ = signatures(texts, "norm", "tkey"), signatures(pool, "norm", "akey")
     vocab = cut(vocabulary(ts, as_))
     return cut(rank_tokens(ts, "tkey", vocab)), cut(rank_tokens(as_, "akey", vocab))
 
@@ -202,7 +201,7 @@ def best_aliases(texts: DataFrame, pool: DataFrame, window: int = 9, cutoff: flo
         full = top.filter(F.col("previo") == window).select("tkey")
         done = top.join(full, "tkey", "left_semi")
         found = done if found is None else found.unionByName(done)
-        open_texts = cut(open_texts.join(full, "tkey", "left_anti"))
+        open_texts = open_texts.join(full, "tkey", "left_anti")
     return found.join(p.drop("akey"), "alias_id")
 
 
