@@ -7,7 +7,7 @@ import importlib
 from .registry import ORACLES, QUERIES, query
 
 MODULES = (
-    "pricing", "compare", "linkage", "units", "text", "history", "extract", "learn", "reports", "ingest", "streams",
+    "pricing", "compare", "linkage", "units", "text", "history", "extract", "learn", "reports", "ingest", "streams", "analysis",
 
 )
 
