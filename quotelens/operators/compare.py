@@ -163,3 +163,15 @@ def check_selection(selection: DataFrame, owner: tuple[str, ...], limit: int = 2
     """``selection(owner..., doc)`` with ``valida``: a selection of more than ``limit`` quotes is refused as a whole, never shortened."""
     sizes = selection.groupBy(*owner).agg(F.count_distinct("doc").alias("n_docs"))
     return selection.join(sizes, list(owner)).withColumn("valida", F.col("n_docs") <= limit)
+
+
+def split_choices(doubtful: DataFrame, accepted: Column) -> tuple[DataFrame, DataFrame]:
+    """Doubtful lines by the user's choice: those taken over, and the rejected ones, which go to the unmatched lines."""
+    ok = F.coalesce(accepted, F.lit(False))
+    return doubtful.filter(ok), doubtful.filter(~ok)
+
+
+def supplier_map(cell: DataFrame, keys=KEYS, supplier: str = "prov_id", keep=("neto", "cant")) -> DataFrame:
+    """The prices of a comparison row as a map from supplier to its cell; as many entries as the item has suppliers."""
+    entry = F.struct(F.col(supplier).alias("key"), F.struct(*keep).alias("value"))
+    return cell.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("precios"))

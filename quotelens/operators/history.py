@@ -108,6 +108,20 @@ def rebuild(linked: DataFrame) -> DataFrame:
     return linked.withColumn("motivo", reason)
 
 
+def rebuilt_rows(judged: DataFrame) -> DataFrame:
+    """Accepted lines of :func:`rebuild` as rows of the new history, in the unit of their item."""
+    return judged.filter("motivo = 'aceptado'").select(
+        "line_id", F.col("codigo_match").alias("codigo"), "prov_id", F.col("pu_norm").alias("precio"), F.col("unidad_final").alias("unidad"),
+        F.col("nota").alias("conversion_aplicada"), F.lit("reconstruido").alias("origen"))
+
+
+def rebuild_summary(rebuilt: DataFrame) -> DataFrame:
+    """Rows, materials, materials with several suppliers and converted rows of the new history."""
+    per = rebuilt.groupBy("codigo").agg(F.count("*").alias("n"), F.count_distinct("prov_id").alias("p"), F.count("conversion_aplicada").alias("c"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("filas"), F.count("*").alias("materiales"),
+                   F.count_if(F.col("p") > 1).alias("multi_proveedor"), F.coalesce(F.sum("c"), F.lit(0)).alias("convertidas"))
+
+
 def correction_plan(judged: DataFrame, history: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Link judged lines to history rows by (code, rounded price).
 
@@ -140,6 +154,18 @@ def verified_fix(instructions: DataFrame, history: DataFrame) -> DataFrame:
     return x.select("id", "accion", status.alias("resultado"))
 
 
+def apply_fix(instructions: DataFrame, history: DataFrame) -> DataFrame:
+    """The next snapshot of the history: verified rows are deleted or moved to ``destino``, all others stay.
+
+    Of several verified instructions for a row deleting wins, then the lowest destination.
+    """
+    now = verified_fix(instructions, history).filter("resultado = 'APLICAR'").select("id").distinct()
+    what = instructions.join(now, "id", "left_semi").groupBy("id").agg(
+        F.max(F.col("accion") == "borrar").alias("borra"), F.min("destino").alias("destino"))
+    x = history.join(what, "id", "left").filter(~F.coalesce("borra", F.lit(False)))
+    return x.withColumn("codigo", F.coalesce("destino", "codigo")).select(*history.columns)
+
+
 def reconcile(target: DataFrame, wanted: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Update if different, insert if absent, keep the rest."""
     t = target.select(*keys, *[F.col(v).alias(f"t_{v}") for v in values], F.lit(True).alias("t_hay"))

@@ -13,6 +13,7 @@ from ..functions import textnorm as T
 from ..functions.scalars import rnd
 from ..functions.similarity import partial_ratio, token_set_ratio
 from ..session import cut
+from .ingest import numbered
 
 CUTOFF = 48.0
 AUTO, DOUBT = 85.0, 60.0
@@ -315,24 +316,32 @@ def readjudicate(linked: DataFrame) -> DataFrame:
     return linked.withColumn("veredicto", verdict)
 
 
-def triage(pending: DataFrame, matches: DataFrame, max_prices: int = 4) -> DataFrame:
-    """One decision per distinct pending text, with its best match and a few prices.
+def triage(pending: DataFrame, matches: DataFrame, max_prices: int | None = None) -> DataFrame:
+    """One decision per distinct pending text: its rows, suppliers, prices, up to three candidates, band and place in the list.
 
-    ``pending(id, texto, proveedor, precio)``. The ids stay in the long table; only
-    bounded lists are collected (four prices, the suppliers of the dimension).
+    ``pending(id, texto, proveedor, precio)``. The ids are in :func:`triage_members`. Suppliers are a set of the supplier
+    dimension, ``max_prices`` keeps the lowest prices (default: all distinct ones). The list runs by band, then best score.
     """
     p = pending.withColumn("texto", F.lower(F.trim("texto")))
-    head = p.groupBy("texto").agg(F.count("*").alias("n_filas"), F.min("id").alias("primer_id"))
-    prices = p.filter("precio <> 0").select("texto", rnd(F.col("precio")).alias("precio")).distinct()
-    w = Window.partitionBy("texto").orderBy("precio")
-    prices = prices.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= max_prices)
-    prices = prices.groupBy("texto").agg(F.array_sort(F.collect_list("precio")).alias("precios_vistos"))
-    provs = p.select("texto", F.coalesce("proveedor", F.lit("?")).alias("proveedor")).distinct().groupBy("texto").agg(
-        F.count("*").alias("n_proveedores"), F.min("proveedor").alias("primer_proveedor"))
-    best = matches.filter("rank = 1").select("texto", "codigo", "score")
-    out = head.join(prices, "texto", "left").join(provs, "texto").join(best, "texto", "left")
-    score = F.coalesce("score", F.lit(0.0))
-    return out.withColumn("banda", F.when(score >= AUTO, "A_fuerte").when(score >= DOUBT, "B_dudoso").otherwise("C_sin"))
+    head = p.groupBy("texto").agg(
+        F.count("*").alias("n_filas"), F.min("id").alias("primer_id"),
+        F.array_sort(F.collect_set(F.coalesce(F.col("proveedor").cast("string"), F.lit("?")))).alias("proveedores"),
+        F.array_sort(F.collect_set(F.when(F.col("precio") != 0, rnd(F.col("precio"))))).alias("precios_vistos"))
+    if max_prices is not None:
+        head = head.withColumn("precios_vistos", F.slice("precios_vistos", 1, max_prices))
+    found = matches.groupBy("texto").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "codigo", "denominacion", "score", "nivel"))).alias("candidatos"))
+    out = head.join(found, "texto", "left")
+    best = F.get("candidatos", F.lit(0))
+    score = F.coalesce(best["score"], F.lit(0.0))
+    out = out.withColumns({"codigo": best["codigo"], "score": best["score"],
+                           "banda": F.when(score >= AUTO, "A_fuerte").when(score >= DOUBT, "B_dudoso").otherwise("C_sin"), "menos": -score})
+    return numbered(out, "banda", "menos", "texto", out="puesto").drop("menos")
+
+
+def triage_members(pending: DataFrame) -> DataFrame:
+    """``(texto, id)``: the rows behind each decision."""
+    return pending.select(F.lower(F.trim("texto")).alias("texto"), "id")
 
 
 def resolve_keys(decisions: DataFrame, pending: DataFrame) -> DataFrame:

@@ -46,6 +46,19 @@ def plan_metrics(users: DataFrame) -> DataFrame:
     return t.select("total", "pagos", "mrr", safe(rnd(F.col("mrr") / F.col("total"))).alias("arpu"), safe(rnd(100.0 * F.col("pagos") / F.col("total"), 1)).alias("conversion_pct"))
 
 
+def users_per_plan(users: DataFrame) -> DataFrame:
+    return users.groupBy("plan").agg(F.count("*").alias("usuarios"))
+
+
+def catalogue_counts(**tables: DataFrame) -> DataFrame:
+    """Number of rows of each named table, as ``(tabla, filas)``."""
+    out = None
+    for name, df in tables.items():
+        n = df.agg(F.count("*").alias("filas")).select(F.lit(name).alias("tabla"), "filas")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 def cumulative_growth(users: DataFrame, when: str) -> DataFrame:
     """Running total of monthly new users; the window runs over one row per month."""
     monthly = users.groupBy(F.date_format(when, "yyyy-MM").alias("mes")).agg(F.count("*").alias("nuevos"))

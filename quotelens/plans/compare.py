@@ -53,6 +53,17 @@ def c1_zone(spark, sf):
     return wide.select("codigo", "anio", *[F.col(z).alias(z.lower().replace(" ", "_")) for z in zones])
 
 
+@query("c1_supplier_map", on("cells", sql="""
+  SELECT codigo, anio, string_agg(prov_id || '=' || CAST(CAST(floor(neto * 100 + 0.5) AS BIGINT) AS VARCHAR) || 'x' || CAST(CAST(floor(cant) AS BIGINT) AS VARCHAR), ';' ORDER BY prov_id) AS precios
+  FROM cells GROUP BY codigo, anio"""))
+def c1_map(spark, sf):
+    """The stored map of every row, written out in supplier order."""
+    m = C.supplier_map(base_cells(spark, sf))
+    text = F.transform(F.array_sort(F.map_entries("precios")), lambda e: F.concat_ws(
+        "", e["key"].cast("string"), F.lit("="), F.floor(e["value"]["neto"] * 100 + 0.5).cast("string"), F.lit("x"), F.floor(e["value"]["cant"]).cast("string")))
+    return m.select("codigo", "anio", F.array_join(text, ";").alias("precios"))
+
+
 @query("c2_best_supplier", on("comparison", sql="SELECT codigo, anio, mejor, minimo, cant FROM comparison"))
 def c2(spark, sf):
     r = C.compare(base_cells(spark, sf))
@@ -186,10 +197,16 @@ def c14(spark, sf):
     # documents divisible by 4 hold the doubtful lines; one choice in three is rejected
     l = P.with_net(lines(spark, sf))
     auto = C.cells(l.filter("doc % 4 <> 0"), line_seq())
-    chosen = C.cells(l.filter("doc % 4 = 0 AND doc % 3 <> 0"), line_seq())
+    chosen = C.cells(C.split_choices(l.filter("doc % 4 = 0"), F.col("doc") % 3 != 0)[0], line_seq())
     return C.compare(C.curated_cells(auto, chosen)).select("codigo", "anio", "n_prov", "en_varios", "mejor_id", "minimo")
 
 
+@query("c14_rejected_unmatched", on("quotes", sql="SELECT prov_id, count(*) AS sin_match FROM quotes WHERE doc % 4 = 0 AND doc % 3 = 0 GROUP BY prov_id"))
+def c14_rejected(spark, sf):
+    rejected = C.split_choices(lines(spark, sf).filter("doc % 4 = 0"), F.col("doc") % 3 != 0)[1]
+    return rejected.groupBy("prov_id").agg(F.count("*").alias("sin_match"))
+
+
 def concept_links(spark, sf):
     l = P.with_net(lines(spark, sf))
     return l.select(

@@ -102,13 +102,8 @@ def h7(spark, sf):
     return H.sensitivity(spread(spark, sf), F.col("codigo") % 5 == 0)
 
 
-@query("h8_history_rebuild", on("matched", "texts", "lines", sql="""
-  SELECT motivo, count(*) AS n FROM (
-    SELECT CASE WHEN line_no = 7 THEN 'sin_texto_o_precio' WHEN m.codigo IS NULL THEN 'sin_match' WHEN m.score < 85 THEN 'score_bajo'
-                WHEN m.codigo % 2 = 0 AND doc % 3 = 1 THEN 'unidad_ambigua' ELSE 'aceptado' END AS motivo
-    FROM lines l JOIN texts t USING (codigo) LEFT JOIN (SELECT * FROM matched WHERE rank = 1) m ON t.texto = m.texto) GROUP BY motivo"""))
-def h8(spark, sf):
-    """Match every stored line again, convert its unit, count the reasons."""
+def stored_again(spark, sf):
+    """Match every stored line again, convert its unit, and say why it enters the rebuilt history or does not."""
     from .linkage import matches, text_lines
 
     l = text_lines(spark, sf).withColumn("texto", F.when(F.col("line_no") == 7, "").otherwise(F.col("texto"))).withColumn("precio", F.col("pu"))
@@ -117,9 +112,36 @@ def h8(spark, sf):
     conv = materials(spark, sf).filter("codigo % 2 = 0").select(
         "codigo", F.lit("un").alias("unidad_comercial"), F.lit(1.0).alias("factor"), F.lit("UN").alias("unidad_base"))
     conv = conv.withColumn("factor", F.lit(99999.0))
-    x = linked.select("line_id", "texto", "precio", "codigo_match", "score", F.col("codigo_match").alias("codigo"), F.col("texto").alias("desc"),
+    x = linked.select("line_id", "prov_id", "texto", "precio", "codigo_match", "score", F.col("codigo_match").alias("codigo"), F.col("texto").alias("desc"),
                       F.when(F.col("doc") % 3 == 1, "caja").otherwise("UN").alias("unidad"), "pu", "cant")
-    return H.rebuild(convert_units(x, conv)).groupBy("motivo").agg(F.count("*").alias("n"))
+    return H.rebuild(convert_units(x, conv))
+
+
+@query("h8_history_rebuild", on("matched", "texts", "lines", sql="""
+  SELECT motivo, count(*) AS n FROM (
+    SELECT CASE WHEN line_no = 7 THEN 'sin_texto_o_precio' WHEN m.codigo IS NULL THEN 'sin_match' WHEN m.score < 85 THEN 'score_bajo'
+                WHEN m.codigo % 2 = 0 AND doc % 3 = 1 THEN 'unidad_ambigua' ELSE 'aceptado' END AS motivo
+    FROM lines l JOIN texts t USING (codigo) LEFT JOIN (SELECT * FROM matched WHERE rank = 1) m ON t.texto = m.texto) GROUP BY motivo"""))
+def h8(spark, sf):
+    return stored_again(spark, sf).groupBy("motivo").agg(F.count("*").alias("n"))
+
+
+REBUILT = """
+  SELECT line_id, m.codigo, prov_id, pu AS precio, CASE WHEN doc % 3 = 1 THEN 'CAJA' ELSE 'UN' END AS unidad
+  FROM lines l JOIN texts t USING (codigo) JOIN (SELECT * FROM matched WHERE rank = 1 AND score >= 85) m ON t.texto = m.texto
+  WHERE line_no <> 7 AND NOT (m.codigo % 2 = 0 AND doc % 3 = 1)"""
+
+
+@query("h8_rebuilt_rows", on("matched", "texts", "lines", sql=REBUILT))
+def h8_rows(spark, sf):
+    return H.rebuilt_rows(stored_again(spark, sf)).drop("conversion_aplicada", "origen")
+
+
+@query("h8_rebuild_summary", on("matched", "texts", "lines", sql=f"""
+  WITH r AS ({REBUILT}), p AS (SELECT codigo, count(*) AS n, count(DISTINCT prov_id) AS p FROM r GROUP BY codigo)
+  SELECT CAST(sum(n) AS BIGINT) AS filas, count(*) AS materiales, count(*) FILTER (p > 1) AS multi_proveedor, CAST(0 AS BIGINT) AS convertidas FROM p"""))
+def h8_summary(spark, sf):
+    return H.rebuild_summary(H.rebuilt_rows(stored_again(spark, sf)))
 
 
 def judged(spark, sf):
@@ -161,15 +183,26 @@ def h9_orphans(spark, sf):
   SELECT CASE WHEN line_no = 3 THEN line_id || 'x' ELSE line_id END AS id, CASE WHEN doc % 2 = 0 THEN 'reapuntar' ELSE 'borrar' END AS accion,
          CASE WHEN line_no = 3 THEN 'NO EXISTE' WHEN doc % 5 = 0 OR (prov_id + 1) % 6 = 0 THEN 'NO COINCIDE' ELSE 'APLICAR' END AS resultado FROM quotes"""))
 def h10(spark, sf):
-    """Instructions taken earlier; since then some prices and supplier names changed."""
+    return H.verified_fix(*fix_tables(spark, sf))
+
+
+@query("h10_applied_snapshot", on("quotes", sql="""
+  SELECT line_id AS id, CASE WHEN ok THEN codigo + 1 ELSE codigo END AS codigo, proveedor, pu AS precio
+  FROM (SELECT *, line_no <> 3 AND doc % 5 <> 0 AND (prov_id + 1) % 6 <> 0 AS ok FROM quotes) WHERE NOT (ok AND doc % 2 = 1)"""))
+def h10_applied(spark, sf):
+    return H.apply_fix(*fix_tables(spark, sf))
+
+
+def fix_tables(spark, sf):
+    """Instructions taken earlier, and the history; since then some prices and supplier names changed."""
     h = lines(spark, sf).join(suppliers(spark, sf), "prov_id")
     wrong_name = (F.col("prov_id") + 1) % 6 == 0
     instructions = h.select(
         F.when(F.col("line_no") == 3, F.concat("line_id", F.lit("x"))).otherwise(F.col("line_id")).alias("id"),
         F.when(F.col("doc") % 2 == 0, "reapuntar").otherwise("borrar").alias("accion"), "codigo",
         F.when(wrong_name, "otro").otherwise(F.lower("proveedor")).alias("proveedor"),
-        (F.col("pu") + F.when(F.col("doc") % 5 == 0, 2.0).otherwise(0.25)).alias("precio"))
-    return H.verified_fix(instructions, h.select(F.col("line_id").alias("id"), "codigo", "proveedor", F.col("pu").alias("precio")))
+        (F.col("pu") + F.when(F.col("doc") % 5 == 0, 2.0).otherwise(0.25)).alias("precio"), (F.col("codigo") + 1).alias("destino"))
+    return (instructions, h.select(F.col("line_id").alias("id"), "codigo", "proveedor", F.col("pu").alias("precio")))
 
 
 @query("h11_conversion_reconcile", """

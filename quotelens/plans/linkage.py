@@ -340,7 +340,7 @@ def m19(spark, sf):
 
 @query("m20_pending_triage", on("texts", "lines", "pool", "scored", sql=f"""
   WITH p AS (SELECT line_id AS id, lower(texto) AS texto, prov_id AS proveedor, floor(pu * 100.0 + 0.5) / 100.0 AS precio FROM lines JOIN texts USING (codigo)),
-  g AS (SELECT texto, count(*) AS n_filas, min(id) AS primer_id, count(DISTINCT proveedor) AS n_proveedores, min(proveedor) AS primer_proveedor,
+  g AS (SELECT texto, count(*) AS n_filas, min(id) AS primer_id, array_to_string(list_sort(list_distinct(list(CAST(proveedor AS VARCHAR)))), ',') AS proveedores,
                array_to_string(list_transform(list_sort(list_distinct(list(precio)))[1:4], lambda x: CAST(CAST(floor(x * 100 + 0.5) AS BIGINT) AS VARCHAR)), ',') AS precios FROM p GROUP BY texto),
   s AS (SELECT lower(texto) AS texto, alias_id, max(score) AS score FROM scored WHERE score >= 48 GROUP BY 1, 2),
   t9 AS (SELECT * FROM (SELECT texto, p.*, score AS s0, row_number() OVER (PARTITION BY texto ORDER BY score DESC, conf DESC, alias_id) AS previo FROM s JOIN pool p USING (alias_id)) WHERE previo <= 9),
@@ -351,17 +351,27 @@ def m19(spark, sf):
                 len(list_filter(nums, lambda x: NOT list_contains(tnums, x))) AS lost FROM b1),
   b3 AS (SELECT *, floor(CASE WHEN lost > 0 THEN least(s2, greatest(60.0, 84.0 - 8.0 * lost))
                         WHEN len(nums) > 0 AND len(nums) = len(tnums) AND s2 < 85 THEN least(s2 + 4, 84.9) ELSE s2 END * 10.0 + 0.5) / 10.0 AS score FROM b2),
-  m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY texto ORDER BY score DESC, conf DESC, previo) AS rk FROM b3) WHERE rk = 1)
-  SELECT g.*, m.codigo, m.score, CASE WHEN coalesce(m.score, 0) >= 85 THEN 'A_fuerte' WHEN coalesce(m.score, 0) >= 60 THEN 'B_dudoso' ELSE 'C_sin' END AS banda
-  FROM g LEFT JOIN m USING (texto)"""))
+  m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY texto ORDER BY score DESC, conf DESC, previo) AS rk FROM b3) WHERE rk <= 3),
+  c AS (SELECT texto, arg_min(codigo, rk) AS codigo, arg_min(score, rk) AS score, string_agg(codigo || ' ' || nivel, ',' ORDER BY rk) AS candidatos
+        FROM (SELECT *, CASE WHEN score >= 85 THEN 'automatico' WHEN score >= 60 THEN 'dudoso' ELSE 'sin_match' END AS nivel FROM m) GROUP BY texto),
+  z AS (SELECT g.*, c.codigo, c.score, c.candidatos, CASE WHEN coalesce(c.score, 0) >= 85 THEN 'A_fuerte' WHEN coalesce(c.score, 0) >= 60 THEN 'B_dudoso' ELSE 'C_sin' END AS banda
+        FROM g LEFT JOIN c USING (texto))
+  SELECT *, row_number() OVER (ORDER BY banda, -coalesce(score, 0), texto) AS puesto FROM z"""))
 def m20(spark, sf):
     pending = text_lines(spark, sf).select(
         F.col("line_id").alias("id"), "texto", F.col("prov_id").alias("proveedor"), F.col("pu").alias("precio"))
     texts = pending.select(F.lower("texto").alias("texto")).distinct()
     found = M.match(texts, pool(spark, sf), brands(spark, sf), rules=NO_RULES)
     cents = F.transform("precios_vistos", lambda x: F.floor(x * 100 + 0.5).cast("string"))
-    return M.triage(pending, found).select(
-        "texto", "n_filas", "primer_id", "n_proveedores", "primer_proveedor", F.array_join(cents, ",").alias("precios"), "codigo", "score", "banda")
+    named = F.transform("candidatos", lambda x: F.concat_ws(" ", x["codigo"].cast("string"), x["nivel"]))
+    return M.triage(pending, found, max_prices=4).select(
+        "texto", "n_filas", "primer_id", F.array_join("proveedores", ",").alias("proveedores"), F.array_join(cents, ",").alias("precios"), "codigo", "score",
+        F.array_join(named, ",").alias("candidatos"), "banda", "puesto")
+
+
+@query("m20_pending_members", on("texts", "lines", sql="SELECT lower(texto) AS texto, line_id AS id FROM lines JOIN texts USING (codigo)"))
+def m20_members(spark, sf):
+    return M.triage_members(text_lines(spark, sf).select("texto", F.col("line_id").alias("id")))
 
 
 @query("m21_key_resolution", on("texts", sql="""

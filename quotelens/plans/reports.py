@@ -68,6 +68,21 @@ def h17(spark, sf):
     return R.plan_metrics(users(spark, sf))
 
 
+@query("h17_users_per_plan", """
+  SELECT CASE WHEN c_custkey % 10 = 0 THEN 'advance' WHEN c_custkey % 10 = 1 THEN 'pro' WHEN c_custkey % 10 < 4 THEN 'basico' ELSE 'free' END AS plan, count(*) AS usuarios
+  FROM customer GROUP BY 1""")
+def h17_plans(spark, sf):
+    return R.users_per_plan(users(spark, sf))
+
+
+@query("h17_catalogue_counts", on("judged", sql="""
+  SELECT 'materiales' AS tabla, count(*) AS filas FROM part UNION ALL SELECT 'denominaciones', count(*) FROM judged WHERE regla = 'queda'
+  UNION ALL SELECT 'proveedores', count(*) FROM supplier UNION ALL SELECT 'presupuestos', count(*) FROM orders"""))
+def h17_counts(spark, sf):
+    return R.catalogue_counts(materiales=materials(spark, sf), denominaciones=usable_aliases(spark, sf),
+                              proveedores=table(spark, sf, "supplier"), presupuestos=table(spark, sf, "orders"))
+
+
 @query("h18_users_by_region", """
   SELECT CASE c_nationkey % 9 WHEN 0 THEN 'Centro' WHEN 1 THEN 'Buenos Aires' WHEN 2 THEN 'NOA' WHEN 3 THEN 'Patagonia' WHEN 4 THEN 'CABA'
          WHEN 6 THEN 'Cuyo' WHEN 7 THEN 'NEA' ELSE 'Otras / sin dato' END AS zona, count(*) AS usuarios FROM customer GROUP BY 1 ORDER BY 2 DESC""")
