@@ -17,15 +17,26 @@ def upsert(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     return x.select(*keys, *[picked[v].alias(v) for v in values])
 
 
+def count_confirmations(confirmations: DataFrame) -> DataFrame:
+    """Confirmations per alias, with the first supplier: ``(codigo, denominacion, veces, primera)``."""
+    return confirmations.withColumn("denominacion", F.lower(F.trim("desc_prov"))).groupBy("codigo", "denominacion").agg(
+        F.count("*").alias("veces"), F.min(F.struct("seq", "proveedor")).alias("primera"))
+
+
 def confirm_aliases(aliases: DataFrame, confirmations: DataFrame, rules=None) -> DataFrame:
-    """Fold a batch of confirmations into the alias table.
+    """Fold a batch of confirmations into the alias table."""
+    return fold_counts(aliases, count_confirmations(confirmations), rules)
+
+
+def fold_counts(aliases: DataFrame, counts: DataFrame, rules=None) -> DataFrame:
+    """The alias table after the counts of one or more batches.
 
     A known alias gains one per confirmation and min(99, 80+freq) confidence; a new
     one needs a word of four letters and starts at 80. Counting the batch first
     removes the lost updates of one-by-one writes.
     """
-    b = confirmations.withColumn("denominacion", F.lower(F.trim("desc_prov"))).groupBy("codigo", "denominacion").agg(
-        F.count("*").alias("veces"), F.min_by("proveedor", "seq").alias("proveedor"))
+    b = counts.groupBy("codigo", "denominacion").agg(F.sum("veces").alias("veces"), F.min("primera").alias("primera"))
+    b = b.select("codigo", "denominacion", "veces", F.col("primera.proveedor").alias("proveedor"))
     old = aliases.select("codigo", "denominacion", F.coalesce("frecuencia", F.lit(1)).alias("frecuencia"), "confianza", "origen", F.lit(True).alias("hay"))
     x = old.join(b, ["codigo", "denominacion"], "full_outer")
     fresh = T.with_prepared(x.filter("hay is null").select("denominacion").distinct(), "denominacion", "norm", rules)
@@ -100,6 +111,12 @@ def absorb_codes(aliases: DataFrame, merges: DataFrame) -> DataFrame:
     return x.groupBy("codigo", "denominacion").agg(F.sum("frecuencia").alias("frecuencia"), F.max("confianza").alias("confianza"))
 
 
+def absorb_rows(rows: DataFrame, merges: DataFrame, code: str = "codigo") -> DataFrame:
+    """Prices or quote lines of an absorbed code move to the survivor; all other columns stay."""
+    x = rows.join(merges.select(F.col("absorbido").alias(code), "sobrevive"), code, "left")
+    return x.withColumn(code, F.coalesce("sobrevive", code)).select(*rows.columns)
+
+
 def remember_pairs(memory: DataFrame, links: DataFrame) -> DataFrame:
     """(user, supplier, text): frequency up by each use, last concept name kept."""
     keys = ["user_id", "prov_id", "texto"]

@@ -124,6 +124,14 @@ def l7(spark, sf):
     return L.absorb_codes(a, merges)
 
 
+@query("l7_moved_prices", on("lines", sql="""
+  SELECT line_id, CASE WHEN codigo % 5 = 3 THEN codigo - 3 ELSE codigo END AS codigo, pu FROM lines"""))
+def l7_prices(spark, sf):
+    k = F.col("codigo")
+    merges = materials(spark, sf).filter("codigo % 5 = 3").select(k.alias("absorbido"), (k - 3).alias("sobrevive"))
+    return L.absorb_rows(lines(spark, sf).select("line_id", "codigo", "pu"), merges)
+
+
 @query("c16_remembered_pairs", """
   WITH b AS (SELECT o_custkey AS user_id, l_suppkey AS prov_id, p_name AS texto, count(*) AS veces,
                     'concepto ' || arg_max(l_orderkey, l_orderkey) AS nuevo FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL),

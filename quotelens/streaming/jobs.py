@@ -97,11 +97,26 @@ def current_comparison(spark, root: str) -> DataFrame:
     return C.with_saving(C.compare(C.cells(priced, F.struct("fecha", "doc", "line_no", "pu"))))
 
 
-def learn_stream(confirmations: DataFrame, name: str, root: str, rules=None):
-    """Alias counters kept as snapshots: batch n reads snapshot n-1 and writes n, so a replay gives the same counts."""
+def learn_stream(confirmations: DataFrame, name: str, root: str):
+    """Each batch writes its counts per alias to a folder of its own; a replay writes the same ones again.
+
+    The alias table is not touched by a batch: :func:`learned_aliases` folds the counts in, :func:`compact_aliases` stores that.
+    """
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        base = spark.read.parquet(f"{root}/v={batch_id - 1}")
-        L.confirm_aliases(base, batch, rules).write.mode("overwrite").parquet(f"{root}/v={batch_id}")
+        L.count_confirmations(batch).write.mode("overwrite").parquet(f"{root}/lote={batch_id}")
 
     return confirmations.writeStream.option("checkpointLocation", _checkpoint(confirmations, name)).foreachBatch(run)
+
+
+def learned_aliases(base: DataFrame, root: str, since: int = -1, rules=None) -> DataFrame:
+    """``base`` and all counts of batches after ``since``."""
+    counts = base.sparkSession.read.parquet(root).filter(F.col("lote") > since).drop("lote")
+    return L.fold_counts(base, counts, rules)
+
+
+def compact_aliases(base: DataFrame, root: str, target: str, since: int = -1, rules=None) -> int:
+    """Store the table with all counts so far under ``target`` and return the last batch it holds."""
+    last = base.sparkSession.read.parquet(root).agg(F.max("lote")).first()[0]
+    counts = base.sparkSession.read.parquet(root).filter((F.col("lote") > since) & (F.col("lote") <= last)).drop("lote")
+    L.fold_counts(base, counts, rules).write.mode("overwrite").parquet(f"{target}/hasta={last}")
+    return last

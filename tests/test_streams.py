@@ -62,16 +62,72 @@ def test_priced_lines_build_the_comparison(spark, tmp_path):
     assert got.select(want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
 
 
-def test_alias_snapshots(spark, tmp_path):
+def test_alias_counts_and_compaction(spark, tmp_path):
     c = confirmations(spark, SF).withColumn("codigo", F.col("codigo").cast("long"))
-    root = str(tmp_path / "al")
-    spark.createDataFrame([], "codigo long, denominacion string, frecuencia long, confianza int, origen string").write.parquet(f"{root}/v=-1")
-    drain(W.learn_stream(split(c, str(tmp_path / "in"), 2), f"l{tmp_path.name}", root).start())
+    root, target = str(tmp_path / "al"), str(tmp_path / "tabla")
+    empty = spark.createDataFrame([], "codigo long, denominacion string, frecuencia long, confianza int, origen string")
+    name = f"l{tmp_path.name}"
+    half = F.pmod(F.hash("line_id"), F.lit(2))
+    c.filter(half == 0).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    drain(W.learn_stream(stream, name, root).start())
+    last = W.compact_aliases(empty, root, target)
+    c.filter(half == 1).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    drain(W.learn_stream(stream, name, root).start())
     from quotelens.plans import QUERIES
 
     want = QUERIES["w4_incremental_aliases"](spark, SF)
-    got = spark.read.parquet(f"{root}/v=1").select(want.columns)
-    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    base = spark.read.parquet(f"{target}/hasta={last}")
+    whole, step = W.learned_aliases(empty, root), W.learned_aliases(base, root, last)
+    assert last == 0 and whole.exceptAll(step).count() == 0 and step.exceptAll(whole).count() == 0
+    assert whole.select(want.columns).exceptAll(want).count() == 0 and whole.count() == want.count()
+
+
+def arriving(spark, root, schema, batches):
+    """A stream of one file per batch, in the order written."""
+    import time
+
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(root)
+        time.sleep(1.1)  # files are taken by age
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(root)
+
+
+def test_append_mode_drops_what_is_later_than_the_watermark(spark, tmp_path):
+    import datetime as dt
+
+    day = lambda d, h=12: dt.datetime(2024, 1, d, h, tzinfo=dt.timezone.utc)
+    batches = [[(day(1), "a"), (day(1), "a")], [(day(5), "a")], [(day(6), "a")], [(day(1, 13), "a"), (day(5, 13), "a")], [(day(9), "a")], [(day(20), "a")]]
+    stream = arriving(spark, str(tmp_path / "e"), "ts timestamp, event_type string", batches)
+    q = W.per_day(stream, "event_type", "1 day").writeStream.outputMode("append").format("memory").queryName("late").option(
+        "checkpointLocation", str(tmp_path / "c")).start()
+    drain(q)
+    # the fourth batch brings a row of day 1, whose count has been given out: it stays 2
+    assert {(r.dia.day, r.n) for r in spark.table("late").collect()} == {(1, 2), (5, 2), (6, 1), (9, 1)}
+
+
+def test_sessions_close_in_append_mode(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda m: dt.datetime(2024, 1, 1, 8, tzinfo=dt.timezone.utc) + dt.timedelta(minutes=m)
+    batches = [[(at(0), 1), (at(10), 1)], [(at(25), 1)], [(at(300), 1)], [(at(900), 1)]]
+    stream = arriving(spark, str(tmp_path / "e"), "ts timestamp, user_id int", batches)
+    q = W.sessions_stream(stream, "user_id", "30 minutes").writeStream.outputMode("append").format("memory").queryName("closed").option(
+        "checkpointLocation", str(tmp_path / "c")).start()
+    drain(q)
+    assert sorted((r.n, r.desde.hour) for r in spark.table("closed").collect()) == [(1, at(300).hour), (3, 8)]
+
+
+def test_repeated_upload_in_a_later_batch_counts_once(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda d: dt.datetime(2024, 1, d, tzinfo=dt.timezone.utc)
+    batches = [[(at(1), "x"), (at(1), "y")], [(at(2), "x")], [(at(3), "z")], [(at(3), "y")]]
+    stream = arriving(spark, str(tmp_path / "e"), "ts timestamp, hash string", batches)
+    q = W.once_per_hash(stream, "10 days").writeStream.outputMode("append").format("memory").queryName("seen").option(
+        "checkpointLocation", str(tmp_path / "c")).start()
+    drain(q)
+    assert sorted(r.hash for r in spark.table("seen").collect()) == ["x", "y", "z"]
 
 
 def test_duplicate_upload_counts_once(spark, tmp_path):
