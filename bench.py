@@ -12,7 +12,7 @@ from quotelens.session import build_session
 HEADLINE = (
     "c4_comparison_rows", "c9_purchase_list", "h4_dispersion", "h5_gap_index", "p5_fx_conversion",
     "p16_total_as_unit_price", "m10_match_ranked", "e2_best_format", "t3_prep",
-    "l2_alias_confirmation", "w2_sessions",
+    "l2_alias_confirmation", "w2_sessions", "e16_supplier_detection", "t9_pack_size", "p13_unit_router",
 )
 
 

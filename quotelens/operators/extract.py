@@ -327,8 +327,11 @@ def no_price_documents(lines: DataFrame) -> DataFrame:
     return facts.filter("cabecera and n >= 5").select("doc", "n")
 
 
-def vat_regime(lines: DataFrame, items: DataFrame) -> DataFrame:
-    """Declared total against the sum of the lines; the cash legend overrides."""
+def vat_regime(lines: DataFrame, items: DataFrame, relative: float = 0.0) -> DataFrame:
+    """Declared total against the sum of the lines; the cash legend overrides.
+
+    ``relative`` widens the tolerances to that share of the declared total; image documents take 0.001.
+    """
     both = F.array(F.struct(F.lit(0).alias("copia"), F.col("line").alias("s")), F.struct(F.lit(1).alias("copia"), T.collapse_doubled(F.col("line")).alias("s")))
     # a label at the end of a line reads on into the next one
     labels = lines.filter(F.col("line").rlike(r"(?iU)TOTAL[\s\$:]*$"))
@@ -340,7 +343,7 @@ def vat_regime(lines: DataFrame, items: DataFrame) -> DataFrame:
         F.min_by(total, F.when(total.isNotNull(), F.struct("copia", "line_no"))).alias("t"), F.max(F.col("s").rlike(CASH_LEGEND)).alias("efectivo"))
     sums = items.groupBy("doc").agg(exact_sum(F.col("total"), 4).alias("suma"))
     x = facts.join(sums, "doc", "left").withColumn("suma", F.coalesce("suma", F.lit(0.0))).withColumn("d", parse_number(F.col("t")))
-    near = lambda f, tol: F.abs(F.col("suma") * f - F.col("d")) < tol
+    near = lambda f, tol: F.abs(F.col("suma") * f - F.col("d")) < F.greatest(F.lit(float(tol)), relative * F.col("d"))
     regime = (F.when(F.col("efectivo"), "PRECIOS EFECTIVO S/IVA (leyenda contado efectivo en mostrador)")
               .when(near(1.0, 1), "PRECIOS C/IVA INCLUIDO").when(near(1.21, 5), "PRECIOS S/IVA + 21%")
               .when(near(1.105, 5), "PRECIOS S/IVA + 10,5%").otherwise("ASUMIDO 1,105"))

@@ -390,7 +390,7 @@ def v1_tables(spark, sf):
     m = materials(spark, sf)
     k = F.col("codigo")
     lines_ = m.select(k.alias("linea"), line_text().alias("texto"), F.lit("").alias("cod_prov"),
-                      F.when(k % 11 == 0, "OTRO").otherwise(F.col("rubro")).alias("rubro_prov"))
+                      F.when(k % 101 == 0, "OTRO").otherwise(F.col("rubro")).alias("rubro_prov"))
     items = m.select("codigo", "rubro", F.col("p_brand").alias("marca"), full_name().alias("nombre"))
     equiv = m.select(F.when(k % 3 == 0, line_text()).otherwise(F.concat(F.lit("otro "), line_text())).alias("clave"), k.alias("cod_int"))
     return lines_, items, equiv.groupBy("clave").agg(F.min("cod_int").alias("cod_int"))

@@ -77,3 +77,18 @@ def test_aliases_that_begin_alike(spark):
     texts = spark.createDataFrame([(k, f"presupuesto supplier {k:03d} y supplier") for k in range(40)] + [(99, "su casa"), (100, "nada")], "doc long, texto string")
     got = {r.doc: r.canonico for r in E.contained_alias(texts, aliases, "doc").collect()}
     assert got == {**{k: f"c{k}" for k in range(40)}, 99: "corto"}
+
+
+def test_relative_tolerance_of_image_documents(spark):
+    lines = spark.createDataFrame([("d", 1, "TOTAL $ 100.040,00")], "doc string, line_no int, line string")
+    items = spark.createDataFrame([("d", 100000.0)], "doc string, total double")
+    regime = lambda r: E.vat_regime(lines, items, r).first().iva_detectado
+    assert (regime(0.0), regime(0.001)) == ("ASUMIDO 1,105", "PRECIOS C/IVA INCLUIDO")
+
+
+def test_oversized_selection_is_refused_not_shortened(spark):
+    from quotelens.operators import compare as C
+
+    rows = [("a", i) for i in range(25)] + [("b", i) for i in range(20)]
+    got = {r.user_id: (r.n_docs, r.valida) for r in C.check_selection(spark.createDataFrame(rows, "user_id string, doc long"), ("user_id",)).collect()}
+    assert got == {"a": (25, False), "b": (20, True)}
