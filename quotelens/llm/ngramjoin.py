@@ -354,3 +354,24 @@ def first_of_each_class(docs: DataFrame, key: str = "doc_id", text: str = "text"
     marked = docs.withColumn("__hash", F.xxhash64(text))
     kept = marked.join(heads, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__mark")))
     return kept.dropDuplicates([key, "__hash"]).select(*docs.columns)
+
+
+SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words)),
+sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, '|' ORDER BY s)) AS k FROM shingles GROUP BY doc_id),
+nodes AS (SELECT k, min(doc_id) AS head, count(*) AS copies, any_value(n) AS n FROM sets GROUP BY k),
+own AS (SELECT k, s FROM nodes JOIN shingles ON doc_id = head),
+pairs AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM own a JOIN own b USING (s) WHERE a.k <> b.k GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN nodes x ON a = x.k JOIN nodes y ON b = y.k WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+reach(k, root) AS (SELECT k, head FROM nodes UNION SELECT b, root FROM reach JOIN links ON k = a),
+classes AS (SELECT k, min(root) AS root FROM reach GROUP BY k),
+counts AS (SELECT a AS k, count(*) AS links FROM links GROUP BY a)
+SELECT d.doc_id, coalesce(root, d.doc_id) AS class_id, coalesce(links, 0)::BIGINT AS n_links, coalesce(copies - 1, 0)::BIGINT AS n_copies,
+       coalesce(sets.n, 0)::INTEGER AS n_shingles
+FROM documents d LEFT JOIN sets ON d.doc_id = sets.doc_id LEFT JOIN nodes ON sets.k = nodes.k LEFT JOIN classes ON sets.k = classes.k
+LEFT JOIN counts ON sets.k = counts.k
+"""

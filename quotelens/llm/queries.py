@@ -60,7 +60,7 @@ def op8(spark, sf):
     return linededup.remove_repeated_lines(table(spark, sf, "documents").select("doc_id", "text"))
 
 
-@query("op4_ngram_jaccard_join")
+@query("op4_ngram_jaccard_join", ngramjoin.SQL)
 def op4(spark, sf):
     found = ngramjoin.similar_documents(table(spark, sf, "documents").select("doc_id", "text"))
     return found.select("doc_id", "class_id", "n_links", "n_copies", "n_shingles")
