@@ -24,7 +24,8 @@ class Automaton:
     """Counts the pieces of a word under greedy longest match.
 
     `initial` are the pieces that may begin a word and `inner` those that may follow, without a mark; `end` is a mark that
-    closes every word (it may be empty). A word that cannot be cut counts as one unknown piece.
+    closes every word (one character, or empty); on its own it counts as no piece. A word that cannot be
+    cut counts as one unknown piece.
     """
 
     def __init__(self, initial, inner, end: str = ""):
@@ -35,9 +36,13 @@ class Automaton:
         for root, pieces in ((self.start, initial), (1, inner))[: 2 - self.start]:
             for piece in pieces:
                 self._insert(root, piece)
+        if end:
+            self._insert(1, end)
         n = len(self.edges)
         self.link, self.popped = [FAIL] * n, [0] * n
         self._link()
+        if end:
+            self.popped[self._node(1, end)] = 0
 
     def _insert(self, node: int, piece: str) -> None:
         if not piece:
@@ -52,6 +57,11 @@ class Automaton:
             node = nxt
         self.whole[node] = True
 
+    def _node(self, node: int, piece: str) -> int:
+        for c in piece:
+            node = self.edges[node][c]
+        return node
+
     def _link(self) -> None:
         """Breadth first: a whole piece pops itself to the inner root; else the parent's links are followed until a step fits."""
         queue = [0, 1]
@@ -118,7 +128,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", keep: lis
 
     def make():
         machine, marks = automaton(vocabulary), byte_symbols()
-        runs, words = Generations(400_000), Generations(400_000)
+        runs, words = Generations(200_000), Generations(200_000)
 
         def work(texts):
             cut = [spaces.split(t.lower()) if t else [] for t in texts]

@@ -66,7 +66,7 @@ def test_segment_trees_merge_leftmost_lowest():
 
 def greedy(word, initial, inner):
     at = n = 0
-    while at < len(word):
+    while at < len(word) and word[at:] != "\0":
         for end in range(len(word), at, -1):
             if word[at:end] in (initial if at == 0 else inner):
                 break
@@ -80,10 +80,13 @@ def test_automaton_counts_greedy_pieces():
     draw = random.Random(3)
     for _ in range(400):
         initial, inner = ({"".join(draw.choice("ab") for _ in range(draw.randint(1, 5))) for _ in range(6)} for _ in "xy")
-        machine = tokencount.Automaton(initial, inner)
+        initial |= {p + "\0" for p in draw.sample(sorted(initial), 2)}
+        machine, same = tokencount.Automaton(initial, inner), tokencount.Automaton(initial, initial)
+        marked = tokencount.Automaton(initial, inner, "\0")
         for _ in range(20):
             w = "".join(draw.choice("ab") for _ in range(draw.randint(1, 12)))
-            assert machine.count(w) == greedy(w, initial, inner)
+            assert machine.count(w) == greedy(w, initial, inner) and same.count(w) == greedy(w, initial, initial)
+            assert marked.count(w) == greedy(w + "\0", initial, inner)
 
 
 def test_token_counts_of_whole_texts(spark):
