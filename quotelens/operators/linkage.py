@@ -422,7 +422,9 @@ def match_v1(lines: DataFrame, materials: DataFrame, equivalences: DataFrame, to
     x = v1_scope(x, materials).withColumn("p", T.normalize(F.col("texto")))
     keys = ["p", "rubro_norm", "alcance", "confirmado"]
     once = cut(x.groupBy(*keys).agg(F.min("linea").alias("linea")))
-    scored = score_v1(v1_pairs(once, v1_items(materials)))
+    # pairs are few in bytes and dear to score, so they are spread over all partitions
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scored = score_v1(v1_pairs(once, v1_items(materials)).repartition(parts, "linea", "codigo"))
     score, origin = boost(F.col("score"), F.col("codigo"), F.col("confirmado"))
     w = Window.partitionBy("linea").orderBy(F.desc("score"), "codigo")
     best = scored.select("linea", "codigo", score.alias("score"), origin.alias("origen")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)

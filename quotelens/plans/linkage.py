@@ -386,8 +386,8 @@ def m21(spark, sf):
 
 
 def v1_tables(spark, sf):
-    """Every material's text as a line; one code in three is confirmed by text."""
-    m = materials(spark, sf)
+    """Every material's text as a line, its type and brand as category; one code in three is confirmed by text."""
+    m = materials(spark, sf).withColumn("rubro", F.concat_ws(" ", "p_type", "p_brand"))
     k = F.col("codigo")
     lines_ = m.select(k.alias("linea"), line_text().alias("texto"), F.lit("").alias("cod_prov"),
                       F.when(k % 101 == 0, "OTRO").otherwise(F.col("rubro")).alias("rubro_prov"))

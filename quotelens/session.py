@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # checkpointed intermediates go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # sessions are merged inside each map partition before they are shuffled,
     # so one very active key does not arrive row by row in a single task
     "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
