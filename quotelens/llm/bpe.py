@@ -243,7 +243,7 @@ class Generations:
 class Encoder:
     """Encodes lists of whole texts and remembers a bounded number of words and pieces: (ids as bytes, decoded text)."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 200_000):
         self.bpe = load(path)
         self.words, self.pieces = Generations(limit), Generations(limit)
 

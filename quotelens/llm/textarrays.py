@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-CHUNK = 1_000_000
+CHUNK = 500_000
 # odd multiplier of the word hash modulo 2**64 and its inverse
 STEP = 0x9E3779B97F4A7C15
 STEP_BACK = pow(STEP, -1, 2**64)
