@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from .ship import ship
 
 TEXT = "__text"
-ROWS = 1024
+ROWS = 512
 
 
 def slices(batches):
@@ -23,11 +23,18 @@ def slices(batches):
             yield batch.slice(at, ROWS)
 
 
+def column(values, kind: pa.DataType) -> pa.Array:
+    """An Arrow column of a list of values, or of (offsets, flat values) of a column of lists."""
+    if isinstance(values, tuple):
+        return pa.ListArray.from_arrays(pa.array(values[0], pa.int32()), pa.array(values[1], kind.value_type), type=kind)
+    return pa.array(values, type=kind)
+
+
 def with_text_columns(df: DataFrame, text: str, schema: StructType, make: Callable[[], Callable[[list], dict]],
                       keep: list[str] | None = None) -> DataFrame:
     """`keep` (default: every column of `df`) plus the columns of `schema`.
 
-    `make()` runs once in each task and returns a function from a list of texts to a dict of columns. New columns replace
+    `make()` runs once in each task and returns a function from a list of texts to a dict of columns (see `column`). New columns replace
     those of `df` with the same name. No shuffle.
     """
     ship(df.sparkSession)
@@ -43,6 +50,6 @@ def with_text_columns(df: DataFrame, text: str, schema: StructType, make: Callab
             cols = work(batch.column(len(names)).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i).cast(arrow.field(i).type) for i in range(len(names))]
-                + [pa.array(cols[f.name], type=arrow.field(f.name).type) for f in schema], schema=arrow)
+                + [column(cols[f.name], arrow.field(f.name).type) for f in schema], schema=arrow)
 
     return source.mapInArrow(run, out)
