@@ -23,7 +23,7 @@ from .work import stored
 
 HASHES, ROWS_A_BAND = 128, 4
 COMPARE = 16  # MinHash values compared in one step
-CELL = 256  # most nodes of one block
+CELL = 128  # about as many nodes in one block
 CELL_SHINGLES = 500_000  # about as many shingles in one block
 PAIRS = 1_000_000  # pairs compared at once
 
@@ -126,12 +126,15 @@ def features(docs: DataFrame, text: str, width: int) -> DataFrame:
 def in_cells(rows: DataFrame, group: str, blocks: str) -> DataFrame:
     """Copies each row to the cells (group, i, j), i <= j, of its block; a pair of rows of a group meets in just one cell.
 
-    `blocks` is the number of blocks of the row's group. Rows of a cell come together, sorted, in one task.
+    `blocks` is the number of blocks of the row's group. Rows of a cell come together, sorted, in one task. The session's
+    number of partitions is kept: cells are small in bytes and large in work, so merging partitions by size would make long
+    tasks.
     """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block = F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col(blocks).cast("int") - 1))
     dealt = rows.withColumn("block", block).withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    return dealt.drop("other", blocks).repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
+    return dealt.drop("other", blocks).repartition(parts, group, "i", "j").sortWithinPartitions(group, "i", "j")
 
 
 def whole_groups(batches, keys: int, limit: int = 4096):
