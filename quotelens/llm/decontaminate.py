@@ -8,6 +8,9 @@ overlap that tolerates substitutions is verified token by token. With the four m
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -87,13 +90,42 @@ def best_overlap(same: np.ndarray, mismatch: int) -> tuple[int, int]:
     return begin, end
 
 
+def equal_stretch(same: np.ndarray, need: int, share: Fraction) -> tuple[int, int] | None:
+    """Begin and end of the stretch with the most equal tokens of those of which `share` is equal, or None if it has fewer than `need`."""
+    equal = np.concatenate([[0], np.cumsum(same)])
+    gain = equal * share.denominator - np.arange(len(equal)) * share.numerator
+    # a stretch holds the share where its gain doesn't fall; the latest such end of each begin has the most equal tokens
+    later = np.maximum.accumulate(gain[::-1])
+    ends = len(gain) - 1 - np.searchsorted(later, gain, "left")
+    begin = int(np.argmax(equal[ends] - equal))
+    inner = np.flatnonzero(same[begin : ends[begin]])
+    return (begin + int(inner[0]), begin + int(inner[-1]) + 1) if len(inner) >= max(need, 1) else None
+
+
+def overlap(same: np.ndarray, need: int, share: Fraction, mismatch: int) -> tuple[int, int] | None:
+    """The stretch with the highest sum where that one counts, else any that counts, else None."""
+    if same.sum() < need:
+        return None
+    begin, end = best_overlap(same, mismatch)
+    match = int(same[begin:end].sum())
+    if match >= max(need, 1) and match * share.denominator >= (end - begin) * share.numerator:
+        return begin, end
+    return equal_stretch(same, need, share)
+
+
+def needed(length: int, min_match: int, share: Fraction) -> int:
+    """Equal tokens that an overlap with an item of this length must have."""
+    return min(min_match, math.ceil(share * length))
+
+
 def with_overlaps(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_key: str = "item_id",
                   masks: tuple[str, ...] = MASKS, min_match: int = 12, min_identity: float = 0.8, mismatch: int = 3,
                   block_chars: int = 2_000_000, keep: list[str] | None = None, name: str = "overlaps") -> DataFrame:
     """`docs` (its columns in `keep`, default all) with the column `name`: (item, begin, end, n_match, identity), the best one of each item.
 
-    begin and end are token places in the text. An overlap counts when it has `min_match` equal tokens (an item of fewer
-    tokens: all of them) and a share of `min_identity` of its tokens is equal. Tokens are lower-cased runs of letters and
+    begin and end are token places in the text. An overlap counts when it has `min_match` equal tokens, or `min_identity` of
+    the item's tokens if these are fewer, and a share of `min_identity` of its own tokens is equal; on a hit diagonal any
+    stretch may be it. Items shorter than the longest mask are found where a mask hits them or they are equal as a whole. Tokens are lower-cased runs of letters and
     digits, so case and punctuation don't matter. Null, empty and very short texts and items have no overlap. Rows with
     null or repeated keys are each judged on their own, items with equal texts are each found, and a column of that
     name is replaced. The items go to the tasks in blocks of about `block_chars` characters (or of one longer item),
@@ -118,6 +150,8 @@ OVERLAP = StructType([StructField("item", LongType()), StructField("begin", Inte
 def _one_block(docs: DataFrame, name: str, seeds: Seeds, min_match: int, min_identity: float, mismatch: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(seeds)  # a block is bounded by its characters
 
+    share = Fraction(min_identity).limit_denominator(1000)
+
     def make():
         s = shared.value
 
@@ -137,9 +171,10 @@ def _one_block(docs: DataFrame, name: str, seeds: Seeds, min_match: int, min_ide
                     back = int(min(h - first[i], t - s.first[k]))
                     n = int(min(first[i + 1] - h, s.first[k + 1] - t)) + back
                     same = words[h - back : h - back + n] == s.words[t - back : t - back + n]
-                    b, e = best_overlap(same, mismatch)
-                    match = int(same[b:e].sum())
-                    if match >= min(min_match, s.first[k + 1] - s.first[k]) and match >= min_identity * (e - b):
+                    stretch = overlap(same, needed(int(s.first[k + 1] - s.first[k]), min_match, share), share, mismatch)
+                    if stretch:
+                        b, e = stretch
+                        match = int(same[b:e].sum())
                         place = int(h - back - first[i])
                         best[i, k] = max(best.get((i, k), (0,)), (match, -(place + b), place + e, match / (e - b)))
                 for (i, k), (match, minus, end, identity) in sorted(best.items()):

@@ -4,7 +4,9 @@ import itertools
 import random
 import re
 import zlib
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +63,42 @@ def test_leaks_are_found_and_clean_texts_left_alone(spark):
     assert decontaminate.find_overlaps(d, bench.limit(0)).count() == 0 and decontaminate.find_overlaps(d.limit(0), bench).count() == 0
 
 
+def slow_overlap(same, need, share):
+    """Most equal tokens of any stretch of which `share` is equal, 0 below `need`."""
+    most = max((sum(same[b:e]) for b in range(len(same)) for e in range(b + 1, len(same) + 1) if sum(same[b:e]) >= share * (e - b)), default=0)
+    return most if most >= need else 0
+
+
+def test_every_substitution_place_that_the_masks_hit_is_verified():
+    share = Fraction(4, 5)
+    for length, changes in ((12, 1), (13, 2), (14, 2), (20, 3), (24, 4)):
+        for hidden in itertools.combinations(range(length), changes):
+            same = np.ones(length, bool)
+            same[list(hidden)] = False
+            b, e = decontaminate.overlap(same, decontaminate.needed(length, 12, share), share, 3)
+            assert same[b:e].sum() >= share * (e - b), hidden
+    draw = random.Random(4)
+    for _ in range(1500):
+        same = [draw.random() < draw.choice((0.5, 0.8, 0.95)) for _ in range(draw.randint(1, 32))]
+        want, got = slow_overlap(same, 8, share), decontaminate.equal_stretch(np.array(same), 8, share)
+        assert (sum(same[slice(*got)]) if got else 0) == want
+        assert bool(decontaminate.overlap(np.array(same), 8, share, 3)) == (want > 0)
+
+
+def test_leaks_with_substitutions_in_the_middle(spark):
+    draw = random.Random(12)
+    items = [prose(draw, n) for n in (14, 24, 13)]
+    texts = []
+    for item, hidden in zip(items, ((6, 7), (11, 12, 13, 14), (4, 8)), strict=True):
+        leak = ["changed" if i in hidden else w for i, w in enumerate(item.split())]
+        texts += [" ".join([prose(draw, 20), *leak, prose(draw, 20)])]
+    texts.append(" ".join([*items[1].split()[:9], prose(draw, 30), *items[1].split()[15:]]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.begin, r.end, r.n_match) for r in decontaminate.find_overlaps(docs(spark, texts), bench).collect()}
+    assert found == {(0, 0): (20, 34, 12), (1, 1): (20, 44, 20), (2, 2): (20, 33, 11)}
+    assert [r.doc_id for r in decontaminate.clean_documents(docs(spark, texts), bench).collect()] == [3]
+
+
 # --- near duplicates
 
 
