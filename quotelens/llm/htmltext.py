@@ -30,9 +30,18 @@ ASIDE = frozenset(
     "footer header masthead cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe subscription share sharing social "
     "comment comments disqus reply replies respond related recommended recommendations widget pagination pager toolbar copyright legal disclaimer "
     "search login signup contentinfo complementary toc skip".split())
-# of these names only readers' and foreign parts make an article none of the page's; inline elements are never dropped by name
+# of these names only readers' and foreign parts make an article none of the page's
 READERS = frozenset("comment comments disqus reply replies respond related recommended recommendations ad ads advert sponsored promo".split())
-PLAIN = frozenset("a b i em strong h1 h2 h3".split())
+# inside an article these name parts of its text
+CALLOUTS = frozenset("notice legal disclaimer copyright".split())
+# headings, code and inline elements are never dropped by name
+PLAIN = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark pre q s samp small span strike strong sub sup time tt u var h1 h2 h3".split())
+# these, and what is dropped by name, stay when the page's text is in them
+WRAPPERS = frozenset("form header dialog".split())
+HOLDERS = WRAPPERS | frozenset("nav footer aside menu".split())
+# a class name that begins or ends so states something about the element and not what it is
+STATES_BEFORE = frozenset("has no not with without hide show".split())
+STATES_AFTER = frozenset("open opened closed".split())
 BODY_NAMES = frozenset("article content main post entry story body text".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:"[^"]*"|'[^']*'|[^'">]++)*+|[^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -40,41 +49,117 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def is_aside(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is none of the article's; `inside` an article a header holds its title."""
+def named(value: str) -> set[str]:
+    """Words of the class names (or ids, roles) in the attribute, without names such as has-sidebar or content-with-toc."""
+    out: set[str] = set()
+    for one in value.split():
+        words = [w.lower() for w in WORD.findall(one)]
+        if words and not (words[0] in STATES_BEFORE or words[-1] in STATES_AFTER or "with" in words or "without" in words):
+            out.update(words)
+    return out
+
+
+def is_aside(name: str, attributes: str, inside: bool, in_code: bool = False) -> str:
+    """Why an element is none of the article's, or ''; `inside` an article a header holds its title.
+
+    part: by its element, hidden, name: by class, id or role, readers: by one of READERS.
+    """
     if name in DROPPED:
-        return not (inside and name == "header")
+        return "" if inside and name == "header" else "part"
     if not attributes or name in ("html", "body"):
-        return False
+        return ""
     names: set[str] = set()
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id", "role"):
-            names.update(w.lower() for w in WORD.findall(value))
+            names |= named(value)
         elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and HIDDEN.search(value):
-            return True
+            return "hidden"
     found = names & ASIDE
-    if name in MAIN:
-        return bool(found & READERS)
-    return bool(found) and name not in PLAIN and not (found <= {"header"} and (inside or names & BODY_NAMES))
+    if found & READERS and name not in PLAIN and not in_code:
+        return "readers"
+    if name in MAIN or name in PLAIN or in_code or inside and (name == "p" or found <= CALLOUTS):
+        return ""
+    return "name" if found and not (found <= {"header"} and (inside or names & BODY_NAMES)) else ""
+
+
+class Tokens:
+    """Tags of a page with the text before each, where each element closes, and how much text there is before each tag."""
+
+    def __init__(self, page: str):
+        self.before: list[str] = []
+        self.tags: list[tuple[str, bool, str]] = []  # (name, whether it closes, attributes)
+        self.close: dict[int, int] = {}
+        # characters of text outside links: all, in an article, in an article inside another
+        self.upto: tuple[list[int], list[int], list[int]] = ([], [], [])
+        self.body_end = -1
+        opened: dict[str, list[int]] = {}
+        mains: list[int] = []
+        total, at, raws = [0, 0, 0], 0, {}
+        while True:
+            m = TOKEN.search(page, at)
+            text = page[at : m.start() if m else len(page)]
+            if text and not opened.get("a"):
+                for k in range(1 + min(2, len(mains))):
+                    total[k] += len(text.strip())
+            name = (m[2] or "").lower() if m else ""
+            closing, i = bool(m and m[1]), len(self.tags)
+            self.before.append(text)
+            self.tags.append((name, closing, (m[3] or "") if m else ""))
+            for out, n in zip(self.upto, total, strict=True):
+                out.append(n)
+            if not m:
+                break
+            at = m.end()
+            if name in RAW and not closing:
+                if name not in raws:
+                    raws[name] = re.compile(rf"</{name}\b[^>]*>", re.I)
+                end = raws[name].search(page, at)
+                at = end.end() if end else len(page)
+            elif closing:
+                if name == "body":
+                    self.body_end = i
+                if opened.get(name):
+                    begin = opened[name].pop()
+                    self.close[begin] = i
+                    if mains and mains[-1] == begin:
+                        mains.pop()
+            elif name and name not in VOID and not m[3].rstrip().endswith("/"):
+                if name in BLOCK:
+                    opened.pop("a", None)
+                opened.setdefault(name, []).append(i)
+                if name in MAIN and not is_aside(name, m[3], False):
+                    mains.append(i)
+
+    def holds_most(self, begin: int, end: int, within: tuple[int, int], depth: int, why: str, name: str) -> bool:
+        """Whether the element holds most of the articles in `within`, the page or the article around it, or most of its text."""
+        if why == "hidden" or why == "part" and name not in HOLDERS:
+            return False
+        share = 10 if why == "readers" else 2  # all but a tenth of it, or over half
+
+        def most(sums: list[int]) -> bool:
+            mine, all_of_it = sums[end] - sums[begin], sums[within[1]] - sums[within[0]]
+            return mine > 0 and share * (all_of_it - mine) < all_of_it
 
+        # an article inside an article, or a reader's one, is a part of it
+        nested = depth == 0 or depth == 1 and why != "readers" and self.tags[within[0]][0] == "main"
+        return nested and most(self.upto[depth + 1]) or (why != "part" or name in WRAPPERS) and most(self.upto[0])
 
-def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
-    """Lines of the page's text with blank ones, the characters of each that are links, and whether it lies in an article."""
+
+def lines_of(page: str, by_name: bool = True) -> tuple[list[str], list[int], list[bool]]:
+    """Lines of the page's text with blank ones, the characters of each that are links, and whether it lies in an article.
+
+    Without `by_name` only hidden elements and those that never hold text are dropped.
+    """
     lines: list[str] = []
     linked: list[int] = []
     within: list[bool] = []
     text: list[str] = []
-    links = main = in_link = 0
-    skip, depth = "", 0  # the dropped element that is open, and how often its name is open
-    at = 0
-
-    closes: dict[str, int] = {}
-
-    def last_close(name: str) -> int:
-        if name not in closes:
-            closes[name] = max((m.start() for m in re.finditer(rf"</{name}\b", page, re.I)), default=-1)
-        return closes[name]
+    links = in_link = 0
+    mains: list[int] = []  # open articles
+    code_end = -1
+    tokens = Tokens(page)
+    last = len(tokens.tags) - 1
 
     def flush(blank: bool) -> None:
         nonlocal links
@@ -83,12 +168,12 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
         if line:
             lines.append(line)
             linked.append(min(links, len(line)))
-            within.append(main > 0)
+            within.append(bool(mains))
         links = 0
         if blank and lines and lines[-1]:
             lines.extend([""] * WINDOW)
             linked.extend([0] * WINDOW)
-            within.extend([main > 0] * WINDOW)
+            within.extend([bool(mains)] * WINDOW)
 
     def add(raw: str) -> None:
         nonlocal links
@@ -98,34 +183,18 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
             if in_link:
                 links += len(" ".join(plain.split()))
 
-    while True:
-        m = TOKEN.search(page, at)
-        if not skip:
-            add(page[at : m.start() if m else len(page)])
-        if not m:
-            break
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            continue
-        closing = bool(m[1])
-        if name in RAW and not closing:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+    i = -1
+    while i < last:
+        i += 1
+        add(tokens.before[i])
+        name, closing, attributes = tokens.tags[i]
+        if not name or name in RAW and not closing:
             continue
-        if skip:
-            if name == skip and not m[3].rstrip().endswith("/"):
-                depth += -1 if closing else 1
-            if depth <= 0:
-                skip = ""
-                continue
-            if not (closing and (name == "body" or name in MAIN and main and skip not in MAIN)):
-                continue
-            skip = ""  # it was never closed
         if closing:
             if name in MAIN:
                 flush(True)
-                main = max(0, main - 1)
+                if mains:
+                    mains.pop()
             elif name in BLOCK:
                 flush(name in APART)
             elif name == "a":
@@ -138,11 +207,27 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
             if name == "hr":
                 flush(False)
             continue
-        if is_aside(name, m[3], main > 0) and last_close(name) >= at:
+        why = is_aside(name, attributes, bool(mains), i < code_end)
+        if why and not by_name and (why in ("name", "readers") or name in WRAPPERS):
+            why = ""
+        if why and attributes.rstrip().endswith("/"):
             flush(True)
-            if not m[3].rstrip().endswith("/"):
-                skip, depth = name, 1
             continue
+        end = tokens.close.get(i, -1)
+        if why and end > 0:
+            around = (mains[-1], tokens.close.get(mains[-1], last)) if mains else (0, last)
+            if not tokens.holds_most(i, end, around, len(mains), why, name):
+                flush(True)
+                # an element that is left open ends with the article or the body around it
+                stop = min([end] + [around[1]] * bool(mains) + [tokens.body_end] * (tokens.body_end > i))
+                if stop < end:
+                    i = stop - 1
+                    tokens.before[stop] = ""
+                else:
+                    i = end
+                continue
+        if name in ("code", "pre"):
+            code_end = max(code_end, end)
         if name in BLOCK:
             flush(name in APART)
             in_link = 0
@@ -151,7 +236,7 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[bool]]:
         elif name in ("td", "th", "option"):
             text.append(" ")
         if name in MAIN:
-            main += 1
+            mains.append(i)
     flush(False)
     return lines, linked, within
 
@@ -176,10 +261,13 @@ def segments(lengths: list[int], surge: int = SURGE) -> list[tuple[int, int]]:
 
 
 def main_text(page: str | None) -> str:
-    """Blocks of the main text joined by a line break."""
+    """Blocks of the main text joined by a line break; where dropping by name leaves nothing, without it."""
     if not page:
         return ""
-    lines, linked, within = lines_of(page)
+    return text_of(*lines_of(page)) or text_of(*lines_of(page, by_name=False))
+
+
+def text_of(lines: list[str], linked: list[int], within: list[bool]) -> str:
     if any(w and line for w, line in zip(within, lines, strict=True)):
         keep = [i for i, w in enumerate(within) if w]
         lines, linked = [lines[i] for i in keep], [linked[i] for i in keep]

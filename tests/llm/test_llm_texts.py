@@ -194,6 +194,32 @@ def test_main_text(page, text):
     assert htmltext.main_text(page) == text
 
 
+LONG = ("word " * 60).strip()
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    # wrappers that are named after what they have, or that hold the page
+    *[(PAGE % f"<div class='{c}'><article><p>{LONG}</p><p>x</p></article><div class=sidebar>side</div></div>", f"{LONG}\nx")
+      for c in ("layout has-sidebar", "no-sidebar", "nav-open site", "content-with-toc", "widget", "page-overlay", "comments")],
+    (PAGE % f"<div class='widget-area'><p>{LONG}</p></div><div class=sidebar><p>side</p></div>", LONG),
+    (PAGE % f"<form id=f><div><article><p>{LONG}</p></article></div></form>", LONG), (f"<form><p>{LONG}</p></form>", LONG),
+    (f"<body><main><div class=has-sidebar><article><p>{LONG}</p></article></div><div class='share'>s</div></main></body>", LONG),
+    # inline parts, code and callouts of an article
+    ("<article><pre><code>x = 1 <span class='token comment'># one</span> <i class=hljs-comment>two</i></code></pre></article>", "x = 1 # one two"),
+    ("<article><p>a <span class='legal'>b</span></p><p class='notice'>c</p><div class=notice>d</div></article>", "a b\nc\nd"),
+    # nothing else is there
+    ("<div class='ad'><p>only</p></div>", "only"),
+    # still dropped: readers' and foreign parts, also with articles in them, and unclosed ones
+    (f"<article><p>{LONG}</p><div class=comments><article>c</article><article class=comment>{LONG} {LONG} {LONG}</article></div><p>z</p></article>", f"{LONG}\nz"),
+    (f"<article><p>{LONG}</p><div class=widget><article>card</article></div></article>", LONG),
+    (f"<article><p>{LONG}</p></article><div class=related><article>card</article></div>", LONG),
+    (f"<article><p>{LONG}</p><div class=share>s</article><p>t</p></div>", LONG),
+    (f"<nav>{'<a href=x>menu entry</a>' * 200}</nav><article>{LONG}</article>", LONG),
+])
+def test_names_drop_no_main_text(page, text):
+    assert htmltext.main_text(page) == text
+
+
 def test_pages_keep_their_columns(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", "old"), (2, None, None, None), (1, "u", "<p>a</p>", "old")], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, htmltext.extract_text(pages).select("page_id", "url", "text").collect()), key=str) == [(1, "u", "a"), (1, "u", "a"), (2, None, "")]
