@@ -1,14 +1,16 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one a block element; elements that never hold article text (menus, adverts, forms and the
-like, by element, class, id or role) become blank lines. The text lengths of sliding windows of lines are summed; the text
-runs from each surge of that sum to the dive after it.
+like, by element, class, id or role) become blank lines, and so does the way from one container to another. The text
+lengths of sliding windows of lines are summed; the text runs from each surge of that sum to the dive after it. Short and
+linked lines between two parts of the text in one container, and headings before a part, belong to it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
@@ -22,7 +24,11 @@ SURGE = 86
 RAW = frozenset("script style noscript template textarea title iframe xmp".split())
 DROPPED = frozenset("head nav header footer aside form button select dialog menu svg math canvas object audio video map datalist".split())
 BLOCK = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr caption section article main body html blockquote pre hr figure figcaption address fieldset details summary hgroup center".split())
-APART = frozenset("div ul ol dl table section article main body html".split())
+# blocks inside the same one of these belong together; lists and tables are blocks of what they lie in
+CONTAINERS = frozenset("div section article main body html center".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TITLES = frozenset("title headline subtitle".split())
+TITLE_CHARS = 200
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
 ASIDE = frozenset(
@@ -83,6 +89,13 @@ def is_aside(name: str, attributes: str, inside: bool, in_code: bool = False) ->
     return "name" if found and not (found <= {"header"} and (inside or names & BODY_NAMES)) else ""
 
 
+def is_title(attributes: str) -> bool:
+    """Whether the class or id names a title."""
+    if "title" not in attributes and "headline" not in attributes:
+        return False
+    return any(m[1].lower() in ("class", "id") and named(m[2] or m[3] or m[4] or "") & TITLES for m in ATTRIBUTE.finditer(attributes))
+
+
 class Tokens:
     """Tags of a page with the text before each, where each element closes, and how much text there is before each tag."""
 
@@ -146,34 +159,43 @@ class Tokens:
         return nested and most(self.upto[depth + 1]) or (why != "part" or name in WRAPPERS) and most(self.upto[0])
 
 
-def lines_of(page: str, by_name: bool = True) -> tuple[list[str], list[int], list[bool]]:
-    """Lines of the page's text with blank ones, the characters of each that are links, and whether it lies in an article.
+class Line(NamedTuple):
+    text: str
+    links: int  # characters of it that are links
+    within: bool  # it lies in an article
+    container: int  # the tag of the container that holds its block, -1 for none
+    outer: int  # the tag of the container around that, -1 for none or the page's body
+    heading: int  # 1 to 6, 0 for none
+    apart: bool  # a foreign element was removed before it
 
-    Without `by_name` only hidden elements and those that never hold text are dropped.
-    """
-    lines: list[str] = []
-    linked: list[int] = []
-    within: list[bool] = []
+
+def lines_of(page: str, by_name: bool = True) -> list[Line]:
+    """Lines of the page's text. Without `by_name` only hidden elements and those that never hold text are dropped."""
+    lines: list[Line] = []
     text: list[str] = []
     links = in_link = 0
+    apart = False
     mains: list[int] = []  # open articles
-    code_end = -1
+    opened: list[int] = [-1]  # open containers
+    block = -1  # the tag of the last block that was opened or closed
+    code_end = heading_end = heading = -1
     tokens = Tokens(page)
     last = len(tokens.tags) - 1
 
-    def flush(blank: bool) -> None:
-        nonlocal links
+    def outside(k: int) -> int:
+        """The container at this depth, -1 for the page's body."""
+        return opened[k] if -len(opened) <= k and opened[k] >= 0 and tokens.tags[opened[k]][0] not in ("html", "body") else -1
+
+    def flush(at: int) -> None:
+        nonlocal links, apart
         line = " ".join("".join(text).split())
         text.clear()
         if line:
-            lines.append(line)
-            linked.append(min(links, len(line)))
-            within.append(bool(mains))
+            # a container that holds nothing but this text is a block of the one around it
+            up = 1 + (len(opened) > 1 and block == opened[-1] and tokens.close[block] == at)
+            lines.append(Line(line, min(links, len(line)), bool(mains), outside(-up), outside(-up - 1), heading if at <= heading_end else 0, apart))
+            apart = False
         links = 0
-        if blank and lines and lines[-1]:
-            lines.extend([""] * WINDOW)
-            linked.extend([0] * WINDOW)
-            within.extend([bool(mains)] * WINDOW)
 
     def add(raw: str) -> None:
         nonlocal links
@@ -191,13 +213,14 @@ def lines_of(page: str, by_name: bool = True) -> tuple[list[str], list[int], lis
         if not name or name in RAW and not closing:
             continue
         if closing:
-            if name in MAIN:
-                flush(True)
-                if mains:
-                    mains.pop()
-            elif name in BLOCK:
-                flush(name in APART)
-            elif name == "a":
+            if name in BLOCK:
+                flush(i)
+                block = i
+                while len(opened) > 1 and tokens.close[opened[-1]] <= i:
+                    opened.pop()
+            if name in MAIN and mains:
+                mains.pop()
+            if name == "a":
                 in_link = max(0, in_link - 1)
             elif name in ("td", "th"):
                 text.append(" ")
@@ -205,19 +228,22 @@ def lines_of(page: str, by_name: bool = True) -> tuple[list[str], list[int], lis
         if name in VOID:
             text.append(" ")
             if name == "hr":
-                flush(False)
+                flush(i)
+                block = i
             continue
         why = is_aside(name, attributes, bool(mains), i < code_end)
         if why and not by_name and (why in ("name", "readers") or name in WRAPPERS):
             why = ""
         if why and attributes.rstrip().endswith("/"):
-            flush(True)
+            flush(i)
+            apart = True
             continue
         end = tokens.close.get(i, -1)
         if why and end > 0:
             around = (mains[-1], tokens.close.get(mains[-1], last)) if mains else (0, last)
             if not tokens.holds_most(i, end, around, len(mains), why, name):
-                flush(True)
+                flush(i)
+                apart = True
                 # an element that is left open ends with the article or the body around it
                 stop = min([end] + [around[1]] * bool(mains) + [tokens.body_end] * (tokens.body_end > i))
                 if stop < end:
@@ -229,16 +255,22 @@ def lines_of(page: str, by_name: bool = True) -> tuple[list[str], list[int], lis
         if name in ("code", "pre"):
             code_end = max(code_end, end)
         if name in BLOCK:
-            flush(name in APART)
-            in_link = 0
+            flush(i)
+            in_link, block = 0, i
+            while len(opened) > 1 and tokens.close[opened[-1]] <= i:
+                opened.pop()
+            if name in CONTAINERS and end > 0:
+                opened.append(i)
+            if end > heading_end and (name in HEADINGS or is_title(attributes) and tokens.upto[0][end] - tokens.upto[0][i] <= TITLE_CHARS):
+                heading, heading_end = int(name[1]) if name in HEADINGS else 1, end
         elif name == "a":
             in_link += 1
         elif name in ("td", "th", "option"):
             text.append(" ")
         if name in MAIN:
             mains.append(i)
-    flush(False)
-    return lines, linked, within
+    flush(last)
+    return lines
 
 
 def segments(lengths: list[int], surge: int = SURGE) -> list[tuple[int, int]]:
@@ -264,19 +296,57 @@ def main_text(page: str | None) -> str:
     """Blocks of the main text joined by a line break; where dropping by name leaves nothing, without it."""
     if not page:
         return ""
-    return text_of(*lines_of(page)) or text_of(*lines_of(page, by_name=False))
-
-
-def text_of(lines: list[str], linked: list[int], within: list[bool]) -> str:
-    if any(w and line for w, line in zip(within, lines, strict=True)):
-        keep = [i for i, w in enumerate(within) if w]
-        lines, linked = [lines[i] for i in keep], [linked[i] for i in keep]
-        surge = 1  # all of an article is text
-    else:
-        surge = SURGE
-    # a line of links only counts for nothing outside an article
-    lengths = [len(line) if surge == 1 else (0 if 2 * k > len(line) else len(line) - k) for line, k in zip(lines, linked, strict=True)]
-    return "\n".join(lines[i] for a, b in segments(lengths, surge) for i in range(a, b) if lines[i] and lengths[i])
+    return text_of(lines_of(page)) or text_of(lines_of(page, by_name=False))
+
+
+def kept_lines(lines: list[Line]) -> list[bool]:
+    """Which lines are main text, articles or not."""
+    # a line of links only counts for nothing, though it may lie in the text
+    own = [0 if 2 * line.links > len(line.text) else len(line.text) - line.links for line in lines]
+    lengths: list[int] = []
+    places: list[int] = []  # the line of each length
+    for k, line in enumerate(lines):
+        if k and (line.apart or line.container != lines[k - 1].container):
+            lengths.extend([0] * WINDOW)
+            places.extend([k] * WINDOW)
+        lengths.append(own[k])
+        places.append(k)
+    keep = [False] * len(lines)
+    for a, b in segments(lengths):
+        for i in range(a, b):
+            keep[places[i]] |= lengths[i] > 0
+    core = [k for k, x in enumerate(keep) if x]
+    # lines between kept ones of a container, in it directly or with one container between
+    for direct in (True, False):
+        ends: dict[int, tuple[int, int]] = {}
+        for k in core:
+            for c in {lines[k].container} if direct else {lines[k].container, lines[k].outer} - {-1}:
+                ends[c] = (ends.get(c, (k, k))[0], k)
+        steps = [0] * (len(lines) + 1)
+        for a, b in ends.values():
+            steps[a] += 1
+            steps[b] -= 1
+        open_ = 0
+        for k, line in enumerate(lines):
+            open_ += steps[k]
+            if open_ and (direct or own[k] or line.heading):
+                keep[k] = True
+    for k in range(len(lines) - 2, -1, -1):
+        keep[k] |= lines[k].heading > 0 and keep[k + 1] and not lines[k + 1].apart
+    title = next((k for k in range(core[0] - 1, -1, -1) if lines[k].heading == 1), None) if core else None
+    if title is not None and not any(lines[k].heading == 1 for k in core):
+        keep[title] = True
+    return keep
+
+
+def text_of(lines: list[Line]) -> str:
+    """The articles' lines where these hold most of the text, else the lines of the whole page's main text."""
+    keep = kept_lines(lines)
+    inside = sum(len(line.text) - line.links for line in lines if line.within)
+    beside = sum(len(line.text) - line.links for line, x in zip(lines, keep, strict=True) if x and not line.within)
+    if inside >= beside and any(line.within for line in lines):
+        keep = [line.within for line in lines]
+    return "\n".join(line.text for line, x in zip(lines, keep, strict=True) if x)
 
 
 def extract_text(pages: DataFrame, markup: str = "html", keep: list[str] | None = None) -> DataFrame:

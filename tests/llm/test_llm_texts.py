@@ -220,6 +220,33 @@ def test_names_drop_no_main_text(page, text):
     assert htmltext.main_text(page) == text
 
 
+LINK = "<a href=x>" + "linked " * 9 + "</a>"
+LINKED = ("linked " * 9).strip()
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    # paragraphs set as div, short ones among them; lists; tables
+    (PAGE % f"<div><div>Short one.</div><div>{LONG}</div><div>Two.</div><div>{LONG}</div><div>End.</div></div>", f"Short one.\n{LONG}\nTwo.\n{LONG}\nEnd."),
+    (PAGE % f"<div><p>{LONG}</p><ul><li>a</li><li>b</li></ul><p>{LONG}</p><ol><li>c</li></ol></div>", f"{LONG}\na\nb\n{LONG}\nc"),
+    (PAGE % f"<div><p>{LONG}</p><div><p>box</p></div><table><tr><td>1<td>2</tr></table><p>{LONG}</p></div>", f"{LONG}\nbox\n1 2\n{LONG}"),
+    (PAGE % f"<div><div><p>{LONG}</p></div><div><p>Short.</p></div><div><p>{LONG}</p></div></div>", f"{LONG}\nShort.\n{LONG}"),
+    # titles in elements of their own
+    (PAGE % f"<div><div><h1>T</h1></div><div>by me</div><div><p>{LONG}</p><p>x</p></div></div>", f"T\n{LONG}\nx"),
+    (PAGE % f"<div><div class=post-title>T</div><div><h2><a href=x>H</a></h2><p>{LONG}</p><p>x</p></div></div>", f"T\nH\n{LONG}\nx"),
+    # lines of links between parts of the text
+    (PAGE % f"<div><p>{LONG}</p><h2><a href=x>H</a></h2><p>{LINK} ab</p><ul><li>{LINK}</li></ul><p>{LONG}</p></div>", f"{LONG}\nH\n{LINKED} ab\n{LINKED}\n{LONG}"),
+    # one short article beside the text
+    (PAGE % f"<div><p>{LONG}</p><article class=card><p>card</p></article><p>{LONG}</p></div>", f"{LONG}\ncard\n{LONG}"),
+    (PAGE % f"<article class=card><p>card</p></article><div><p>{LONG}</p></div>", LONG),
+    # still none of the text: link lists before and after it, other short containers
+    (PAGE % f"<div><ul><li>{LINK}</li></ul><p>{LONG}</p><ul><li>{LINK}</li></ul></div><div>t</div>", LONG),
+    (PAGE % f"<div><div><p>{LONG}</p></div><div><ul><li>{LINK}</li></ul></div><div><p>{LONG}</p></div></div><div><div>t</div></div>", f"{LONG}\n{LONG}"),
+    (PAGE % f"<article><p>{LONG}</p></article><div><p>teaser</p></div>", LONG),
+])
+def test_text_outside_articles_is_kept_whole(page, text):
+    assert htmltext.main_text(page) == text
+
+
 def test_pages_keep_their_columns(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", "old"), (2, None, None, None), (1, "u", "<p>a</p>", "old")], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, htmltext.extract_text(pages).select("page_id", "url", "text").collect()), key=str) == [(1, "u", "a"), (1, "u", "a"), (2, None, "")]
