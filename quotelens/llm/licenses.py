@@ -41,6 +41,43 @@ SENTENCES = (
     ("mpl-1", "this source code form is subject to the terms of the mozilla public license v 2.0"),
     ("mpl-2", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2.0"),
     ("mpl-2", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2.0"),
+    ("gpl2-only-1", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license"),
+    ("gpl3-only-1", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license"),
+    ("gpl2-only-1", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation"),
+    ("gpl3-only-1", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation"),
+    ("lgpl2.1-1", "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version"),
+    ("lgpl2.1-1", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version"),
+    ("lgpl2.1-short", "licensed under the gnu lesser general public license version 2.1"),
+    ("lgpl2.1-short", "this work is licensed under the gnu lesser general public license version 2.1"),
+    ("lgpl3-1", "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl3-1", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl3-short", "licensed under the gnu lesser general public license version 3"),
+    ("lgpl3-short", "this work is licensed under the gnu lesser general public license version 3"),
+    ("agpl3-1", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl3-1", "this library is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl3-short", "licensed under the gnu affero general public license version 3"),
+    ("agpl3-short", "this work is licensed under the gnu affero general public license version 3"),
+    ("bsd-1", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-2", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-3", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd-4", "neither the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd2-short", "released under the bsd 2 clause license"),
+    ("bsd2-short", "licensed under the bsd 2 clause license"),
+    ("bsd2-short", "this project is licensed under the bsd 2 clause license"),
+    ("bsd3-short", "released under the bsd 3 clause license"),
+    ("bsd3-short", "licensed under the bsd 3 clause license"),
+    ("bsd3-short", "this project is licensed under the bsd 3 clause license"),
+    ("isc-1", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc-short", "released under the isc license"),
+    ("isc-short", "licensed under the isc license"),
+    ("isc-short", "this project is licensed under the isc license"),
+    ("unlicense-1", "this is free and unencumbered software released into the public domain"),
+    ("cc0", "licensed under cc0 1.0"),
+    ("cc0", "this work is licensed under cc0 1.0"),
+    ("cc0", "this work is licensed under a creative commons cc0 1.0 universal license"),
+    ("cc-by-nd", "licensed under cc by nd 4.0"),
+    ("cc-by-nd", "this work is licensed under a creative commons attribution noderivatives 4.0 international license"),
     ("reserved", "all rights reserved"),
 )
 # fixed values: (licence, sequence of sentence identifiers); at each place the first rule that fits holds
@@ -63,10 +100,28 @@ RULES = (
     ("CC-BY-NC-4.0", ("cc-by-nc",)),
     ("MPL-2.0", ("mpl-1", "mpl-2")),
     ("MPL-2.0", ("mpl-1",)),
+    ("GPL-2.0-only", ("gpl2-only-1",)),
+    ("GPL-3.0-only", ("gpl3-only-1",)),
+    ("LGPL-2.1-or-later", ("lgpl2.1-1",)),
+    ("LGPL-3.0-or-later", ("lgpl3-1",)),
+    ("AGPL-3.0-or-later", ("agpl3-1",)),
+    ("LGPL-2.1-only", ("lgpl2.1-short",)),
+    ("LGPL-3.0-only", ("lgpl3-short",)),
+    ("AGPL-3.0-only", ("agpl3-short",)),
+    ("BSD-3-Clause", ("bsd-1", "bsd-2", "bsd-3", "bsd-4")),
+    ("BSD-2-Clause", ("bsd-1", "bsd-2", "bsd-3")),
+    ("BSD-3-Clause", ("bsd3-short",)),
+    ("BSD-2-Clause", ("bsd2-short",)),
+    ("ISC", ("isc-1",)),
+    ("ISC", ("isc-short",)),
+    ("Unlicense", ("unlicense-1",)),
+    ("CC0-1.0", ("cc0",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd",)),
     ("all-rights-reserved", ("reserved",)),
 )
 # a sentence ends at a mark followed by white space, or at a blank line; a version's "v." ends none
 SENTENCE_END = re.compile(r"(?:(?<=[.!?])(?<!\bv\.))\s+|\n[^\S\n]*\n\s*")
+NUMBER = re.compile(r"\W*\d{1,2}\W*")
 DROPPED = re.compile(r"[^\w.]+|(?<!\d)\.+|\.+(?!\d)")
 
 
@@ -99,17 +154,20 @@ class Recogniser:
 
     def scan(self, text: str | None) -> tuple[list[tuple[int, str]], list[str]]:
         """((place among the sentences, identifier) of each known sentence, licences in the order of the text)."""
-        known = []
+        known, ranks, numbers = [], [], 0  # a list item's number stands for no sentence between two others
         if text:
             for place, sentence in enumerate(SENTENCE_END.split(text)):
                 got = self.sentence_id(sentence)
                 if got is not None:
                     known.append((place, got))
+                    ranks.append(place - numbers)
+                elif len(sentence) < 9 and NUMBER.fullmatch(sentence):
+                    numbers += 1
         licences, at = [], 0
         while at < len(known):
             for name, seq in self.rules:
                 part = known[at : at + len(seq)]
-                if tuple(i for _, i in part) == seq and part[-1][0] - part[0][0] == len(seq) - 1:
+                if tuple(i for _, i in part) == seq and ranks[at + len(part) - 1] - ranks[at] == len(seq) - 1:
                     licences.append(name)
                     at += len(seq)
                     break

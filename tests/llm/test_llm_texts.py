@@ -178,6 +178,34 @@ def test_licences(spark):
     assert [s.id for s in got[3].license_sentences] == ["mit-1", "mit-2"] and [s.id for s in got[7].license_sentences] == ["gpl-3"]
 
 
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+   in the documentation and/or other materials provided with the distribution.
+"""
+BSD3 = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+FREE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU %s as published by the Free Software Foundation, "
+
+
+@pytest.mark.parametrize(("text", "names"), [
+    (BSD, ["BSD-2-Clause"]), (BSD + BSD3, ["BSD-3-Clause"]), (BSD.replace("1. ", "* ").replace("2. ", "* "), ["BSD-2-Clause"]),
+    (FREE % "General Public License" + "version 2 of the License.", ["GPL-2.0-only"]), (FREE % "General Public License" + "version 3 of the License.", ["GPL-3.0-only"]),
+    (FREE % "Lesser General Public License" + "either version 2.1 of the License, or (at your option) any later version.", ["LGPL-2.1-or-later"]),
+    (FREE % "Affero General Public License" + "either version 3 of the License, or (at your option) any later version.", ["AGPL-3.0-or-later"]),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright "
+     "notice and this permission notice appear in all copies.", ["ISC"]),
+    ("This is free and unencumbered software released into the public domain.", ["Unlicense"]), ("Licensed under CC0 1.0.", ["CC0-1.0"]),
+    ("Licensed under CC BY-ND 4.0.", ["CC-BY-ND-4.0"]), ("Released under the BSD 3-Clause License.", ["BSD-3-Clause"]),
+])
+def test_common_licences(text, names):
+    assert licenses.Recogniser().scan("Some words.\n\n" + text)[1] == names
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><a href=x>Home</a></nav>
 <div class="ad">Buy this now and get a second one for nothing at all, today only in our shop.</div>%s<footer>&copy; us</footer>"""
 
