@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, htmltext, langid, licenses, linededup, ngramjoin, quality, sharding, tokencount
+from . import bpe, decontaminate, htmltext, langid, licenses, linededup, ngramjoin, quality, sharding, simhash, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,9 @@ def op6(spark, sf):
 @query("op9_html_main_text")
 def op9(spark, sf):
     return htmltext.extract_text(table(spark, sf, "pages"), keep=["page_id", "url"]).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op12_simhash_near_dedup")
+def op12(spark, sf):
+    found = simhash.near_duplicates(table(spark, sf, "documents"))
+    return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
