@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, htmltext, langid, licenses, linededup, ngramjoin, quality, sharding, simhash, tokencount
+from . import bpe, decontaminate, htmltext, langid, licenses, linededup, ngramjoin, quality, sharding, simhash, tokenalign, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,9 @@ def op9(spark, sf):
 def op12(spark, sf):
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
+@query("op13_token_alignment")
+def op13(spark, sf):
+    found = tokenalign.align_tokens(table(spark, sf, "documents"), keep=["doc_id"], with_groups=False)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
