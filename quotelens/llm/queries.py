@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, htmltext, langid, licenses, linededup, ngramjoin, quality, sharding, simhash, tokenalign, tokencount
+from . import bpe, conversations, decontaminate, htmltext, langid, licenses, linededup, ngramjoin, quality, sharding, simhash, tokenalign, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +91,8 @@ def op12(spark, sf):
 def op13(spark, sf):
     found = tokenalign.align_tokens(table(spark, sf, "documents"), keep=["doc_id"], with_groups=False)
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query("op11_conversation_repair")
+def op11(spark, sf):
+    return conversations.repair(conversations.damaged(table(spark, sf, "conversations")), gone="gone")
