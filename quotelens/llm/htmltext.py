@@ -49,7 +49,8 @@ HOLDERS = WRAPPERS | frozenset("nav footer aside menu".split())
 STATES_BEFORE = frozenset("has no not with without hide show".split())
 STATES_AFTER = frozenset("open opened closed".split())
 BODY_NAMES = frozenset("article content main post entry story body text".split())
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:"[^"]*"|'[^']*'|[^'">]++)*+|[^>]*)>""", re.S)
+OPENING = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:_-]*))")
+STOP = re.compile("""['">]""")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -96,6 +97,52 @@ def is_title(attributes: str) -> bool:
     return any(m[1].lower() in ("class", "id") and named(m[2] or m[3] or m[4] or "") & TITLES for m in ATTRIBUTE.finditer(attributes))
 
 
+class Scanner:
+    """Finds a page's tags in one pass that is linear also where quotes or tags are left open.
+
+    A tag ends at the first `>` outside quotes or, where that leads to the page's end, at the first `>`. Quotes from which the
+    end was reached are remembered, so no quote is looked into twice without getting on.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.lost = page, set()
+
+    def tag_end(self, at: int) -> int:
+        """Place of the `>` that ends the tag whose attributes begin here, or -1 where the page has no `>` any more."""
+        path, k = [], at
+        while k >= 0:
+            stop = STOP.search(self.page, k)
+            place = stop.start() if stop else -1
+            if place < 0 or place in self.lost:
+                break
+            if self.page[place] == ">":
+                return place
+            path.append(place)
+            k = self.page.find(self.page[place], place + 1)
+            k += k >= 0
+        self.lost.update(path)
+        return self.page.find(">", at)
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(begin, end, name, whether it closes, attributes) of the next tag from here; comments and the like have no name."""
+        m = OPENING.search(self.page, at)
+        if not m:
+            return None
+        end = -1 if m[1] else self.tag_end(m.end()) if m[3] else self.page.find(">", m.end())
+        if end >= 0:
+            return m.start(), end + 1, (m[3] or "").lower(), bool(m[2]), self.page[m.end() : end] if m[3] else ""
+        # a comment, also one behind a tag that never ends
+        begin = self.page.find("<!--", m.start())
+        end = self.page.find("-->", begin + 4)
+        return None if begin < 0 else (begin, end + 3 if end >= 0 else len(self.page), "", False, "")
+
+    def raw_end(self, begin: re.Pattern, at: int) -> int:
+        """Where the text of an element goes on after its end tag, which `begin` finds; without one at the page's end."""
+        m = begin.search(self.page, at)
+        end = self.page.find(">", m.end()) if m else -1
+        return end + 1 if end >= 0 else len(self.page)
+
+
 class Tokens:
     """Tags of a page with the text before each, where each element closes, and how much text there is before each tag."""
 
@@ -109,46 +156,69 @@ class Tokens:
         opened: dict[str, list[int]] = {}
         mains: list[int] = []
         total, at, raws = [0, 0, 0], 0, {}
+        self.clear: dict[int, bool] = {}
+        scanner = Scanner(page)
         while True:
-            m = TOKEN.search(page, at)
-            text = page[at : m.start() if m else len(page)]
+            tag = scanner.next(at)
+            begin, end, name, closing, attributes = tag or (len(page), len(page), "", False, "")
+            text, i = page[at:begin], len(self.tags)
             if text and not opened.get("a"):
                 for k in range(1 + min(2, len(mains))):
                     total[k] += len(text.strip())
-            name = (m[2] or "").lower() if m else ""
-            closing, i = bool(m and m[1]), len(self.tags)
             self.before.append(text)
-            self.tags.append((name, closing, (m[3] or "") if m else ""))
+            self.tags.append((name, closing, attributes))
             for out, n in zip(self.upto, total, strict=True):
                 out.append(n)
-            if not m:
+            if not tag:
                 break
-            at = m.end()
+            at = end
             if name in RAW and not closing:
                 if name not in raws:
-                    raws[name] = re.compile(rf"</{name}\b[^>]*>", re.I)
-                end = raws[name].search(page, at)
-                at = end.end() if end else len(page)
+                    raws[name] = re.compile(rf"</{name}\b", re.I)
+                at = scanner.raw_end(raws[name], at)
             elif closing:
                 if name == "body":
                     self.body_end = i
                 if opened.get(name):
-                    begin = opened[name].pop()
-                    self.close[begin] = i
-                    if mains and mains[-1] == begin:
+                    first = opened[name].pop()
+                    self.close[first] = i
+                    if mains and mains[-1] == first:
                         mains.pop()
-            elif name and name not in VOID and not m[3].rstrip().endswith("/"):
+            elif name and name not in VOID and not attributes.rstrip().endswith("/"):
                 if name in BLOCK:
                     opened.pop("a", None)
                 opened.setdefault(name, []).append(i)
-                if name in MAIN and not is_aside(name, m[3], False):
+                if name in MAIN and not is_aside(name, attributes, False):
                     mains.append(i)
 
+    def has_clear_article(self, within: tuple[int, int]) -> bool:
+        """Whether an article with text lies in `within` and in no element there that is none of an article's."""
+        begin, end = within
+        if begin not in self.clear:
+            found, covered = False, -1
+            for i in range(begin + (self.tags[begin][0] in MAIN), end):
+                name, closing, attributes = self.tags[i]
+                if closing or not name or i not in self.close:
+                    continue
+                if is_aside(name, attributes, False):
+                    covered = max(covered, self.close[i])
+                elif name in MAIN and i > covered and self.upto[0][self.close[i]] > self.upto[0][i]:
+                    found = True
+                    break
+            self.clear[begin] = found
+        return self.clear[begin]
+
     def holds_most(self, begin: int, end: int, within: tuple[int, int], depth: int, why: str, name: str) -> bool:
-        """Whether the element holds most of the articles in `within`, the page or the article around it, or most of its text."""
+        """Whether the element holds most of the articles in `within`, the page or the article around it, or most of its text.
+
+        What lies beside an article never does; a part of an article has to hold nearly all of it.
+        """
         if why == "hidden" or why == "part" and name not in HOLDERS:
             return False
-        share = 10 if why == "readers" else 2  # all but a tenth of it, or over half
+        scope = depth == 0 or depth == 1 and self.tags[within[0]][0] == "main"
+        if scope and self.has_clear_article(within):
+            return False
+        share = 2 if scope and why != "readers" else 10  # over half of it, or all but a tenth
 
         def most(sums: list[int]) -> bool:
             mine, all_of_it = sums[end] - sums[begin], sums[within[1]] - sums[within[0]]

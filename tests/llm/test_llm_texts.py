@@ -3,7 +3,9 @@
 import hashlib
 import json
 import random
+import re
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -275,6 +277,41 @@ def test_text_outside_articles_is_kept_whole(page, text):
     assert htmltext.main_text(page) == text
 
 
+SHORT = "This article has some two hundred characters of text. " * 4
+
+
+@pytest.mark.parametrize("beside", [f"<div class='sidebar'><p>{LONG * 3}</p></div>", f"<aside><article>{LONG * 3}</article></aside>", f"<nav><p>{LONG * 3}</p></nav>",
+                                    f"<menu><article>{LONG * 3}</article></menu>", f"<div class=related><div><article><p>{LONG * 3}</p></article></div></div>"])
+@pytest.mark.parametrize("page", ["<body>%s<article><p>{}</p></article></body>", "<body><main><article><p>{}</p></article>%s</main></body>",
+                                  "<body><div><article><p>{}</p></article></div>%s</body>", "<body><main><p>{}</p></main>%s</body>"])
+def test_nothing_beside_an_article_overrides_it(page, beside):
+    assert htmltext.main_text(page.format(SHORT) % beside) == SHORT.strip()
+
+
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:_-]*)((?:"[^"]*"|'[^']*'|[^'">]++)*+|[^>]*)>""", re.S)
+
+
+def test_scanner_finds_the_tags_of_the_pattern():
+    draw = random.Random(6)
+    for _ in range(4000):
+        page = "".join(draw.choice(["<", ">", "'", '"', "a", " ", "<a ", "</a", "<!--", "-->", "<!", "=", "b='", "x>"]) for _ in range(draw.randrange(30)))
+        scanner, at, got = htmltext.Scanner(page), 0, []
+        while tag := scanner.next(at):
+            got.append(tag)
+            at = tag[1]
+        assert got == [(m.start(), m.end(), (m[2] or "").lower(), bool(m[1]), m[3] or "") for m in TOKEN.finditer(page)], page
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a b='", "<div style='x", '<a b="', "<a '>'", """<a '">""", "<!--", "<!", "</script", "<script>", "<a b=c ", "<p>x", "<aside><article>x",
+                                  "<main>x<aside>y", "&lt", "<div class=sidebar>", "</script ", "<a href=x>y"])
+def test_a_page_of_one_megabyte_takes_linear_time(unit):
+    page = unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    htmltext.main_text(page)
+    htmltext.main_text("<script>" + page + ">")
+    assert time.process_time() - began < 60  # some seconds; a quadratic scan takes hours
+
+
 def test_pages_keep_their_columns(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", "old"), (2, None, None, None), (1, "u", "<p>a</p>", "old")], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, htmltext.extract_text(pages).select("page_id", "url", "text").collect()), key=str) == [(1, "u", "a"), (1, "u", "a"), (2, None, "")]
