@@ -5,8 +5,12 @@ Lines are ``(doc, line_no, line)`` with consecutive numbers inside a document.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType, StructType, StructField
 
+from ..functions import substrings as S
 from ..functions import textnorm as T
 from ..functions.scalars import exact_sum, parse_number, rnd
 from ..session import cut
@@ -370,33 +374,76 @@ def supplier_key(raw: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(s, r"[_\-.]+", " "), r"(?U)\s+", " "))
 
 
-def contained_alias(texts: DataFrame, aliases: DataFrame, key: str, gram: int = 4) -> DataFrame:
+def alias_filter(aliases: DataFrame, gram: int = 6):
+    """The aliases as they are compared, and a function for a task: batches of (key, text) to batches of (key, possible alias).
+
+    The aliases go to the tasks only as a filter of fixed size over their first ``gram`` characters and lengths.
+    """
+    a = cut(aliases.withColumn("alias", supplier_key(F.col("alias"))).filter("alias <> ''"))
+
+    def places(batches):
+        for b in batches:
+            words = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(S.filter_places(words, gram), pa.int64()), pa.array([len(w) for w in words], pa.int64())], names=["lugar", "largo"])
+
+    # about 2 ** BITS pairs at most, however many aliases there are
+    known = a.select("alias").mapInArrow(places, "lugar long, largo long").distinct().collect()
+    lengths = sorted({r.largo for r in known})
+    bits = np.zeros(1 << S.BITS, bool)
+    bits[[r.lugar for r in known]] = True
+    shared = aliases.sparkSession.sparkContext.broadcast(np.packbits(bits))  # 2 ** BITS bits
+
+    def scan(batches):
+        here = np.unpackbits(shared.value).astype(bool)
+        for b in batches:
+            texts_ = b.column(1).to_pylist()
+            at = 0
+            while at < len(texts_):  # about a million characters at once, or one longer text
+                upto, size = at, 0
+                while upto < len(texts_) and (upto == at or size + len(texts_[upto]) <= 1_000_000):
+                    size += len(texts_[upto])
+                    upto += 1
+                row, words = S.possible_words(texts_[at:upto], here, lengths, gram)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row + at)), pa.array(words, pa.string())], names=[b.schema.names[0], "alias"])
+                at = upto
+
+    return a, scan
+
+
+def contained_alias(texts: DataFrame, aliases: DataFrame, key: str, known=None) -> DataFrame:
     """Longest alias contained in a text, ties by alias order: ``(key, canonico)``.
 
-    A text is looked at where a known beginning of ``gram`` characters stands, and there only the substrings
-    with the length of an alias of that beginning are taken; they join the aliases for equality. The work grows
-    with the texts and not with texts times aliases, also when all aliases begin alike.
+    Places of a text that pass the filter (``known``, from :func:`alias_filter`) give substrings, and these join the aliases
+    for equality. Time is linear in a text's length; neither the filter nor a task grows with the number of aliases.
     """
-    a = aliases.withColumn("alias", supplier_key(F.col("alias"))).filter("alias <> ''")
-    begins = a.groupBy(F.substring("alias", 1, gram).alias("g")).agg(F.collect_set(F.length("alias")).alias("largos"))
+    a, scan = known or alias_filter(aliases)
     t = texts.select(key, supplier_key(F.col("texto")).alias("texto")).filter("texto <> ''")
-    spots = F.sequence(F.lit(1), F.length("texto"))
-    grams = F.flatten(F.transform(spots, lambda i: F.array(*[
-        F.struct(i.alias("i"), F.substring(F.col("texto"), i, F.lit(n)).alias("g")) for n in range(1, gram + 1)])))
-    at = t.select(key, "texto", F.explode(F.array_distinct(grams)).alias("s")).select(key, "texto", "s.*")
-    at = at.join(begins, "g").select(key, "texto", "i", F.explode("largos").alias("n"))
-    found = at.select(key, F.substring(F.col("texto"), F.col("i"), F.col("n")).alias("alias")).distinct().join(a, "alias")
-    return found.groupBy(key).agg(F.max_by("canonico", F.struct(F.length("alias"), -F.col("orden"))).alias("canonico"))
+    hits = t.mapInArrow(scan, StructType([t.schema[key], StructField("alias", StringType())])).join(a, "alias")
+    return hits.groupBy(key).agg(F.max_by("canonico", F.struct(F.length("alias"), -F.col("orden"))).alias("canonico"))
+
+
+def in_stretches(lines: DataFrame, stretch: int = 500, overlap: int = 50) -> DataFrame:
+    """``(doc, texto)``: a document's lines in stretches, each with the first lines of the next, so no document is held whole."""
+    n = F.col("line_no") - 1
+    block = F.floor(n / stretch)
+    before = (n % stretch < overlap) & (block > 0)
+    dealt = lines.select("doc", "line_no", "line", F.explode(F.when(before, F.array(block, block - 1)).otherwise(F.array(block))).alias("tramo"))
+    rows = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    return dealt.groupBy("doc", "tramo").agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("texto")).drop("tramo")
 
 
 def detect_supplier(files: DataFrame, lines: DataFrame, aliases: DataFrame, head: int | None = None) -> DataFrame:
-    """By file name, else by the text lines (the first ``head``, default all); with the kind of evidence."""
+    """By file name, else by the text lines (the first ``head``, default all); with the kind of evidence.
+
+    An alias may reach over line ends, over at most 50 of them.
+    """
     stem = F.regexp_replace(F.element_at(F.split("archivo", "/"), -1), r"\.[^.]*$", "")
-    by_name = contained_alias(files.select("doc", stem.alias("texto")), aliases, "doc").withColumnRenamed("canonico", "por_archivo")
+    known = alias_filter(aliases)
+    by_name = contained_alias(files.select("doc", stem.alias("texto")), aliases, "doc", known).select("doc", F.col("canonico").alias("por_archivo"))
+    by_name = cut(by_name)  # read three times
     rest = files.join(by_name, "doc", "left_anti").select("doc")
     top = (lines if head is None else lines.filter(F.col("line_no") <= head)).join(rest, "doc", "left_semi")
-    packed = top.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("texto"))
-    by_text = contained_alias(packed, aliases, "doc").withColumnRenamed("canonico", "por_texto")
+    by_text = contained_alias(in_stretches(top), aliases, "doc", known).select("doc", F.col("canonico").alias("por_texto"))
     x = files.join(by_name, "doc", "left").join(by_text, "doc", "left")
     return x.select("doc", F.coalesce("por_archivo", "por_texto").alias("proveedor"),
                     F.when(F.col("por_archivo").isNotNull(), "ARCHIVO").when(F.col("por_texto").isNotNull(), "TEXTO").otherwise("NO DETECTADO").alias("confianza"))

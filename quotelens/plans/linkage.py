@@ -427,20 +427,24 @@ def m15(spark, sf):
 
 
 @query("m16_confirmed_boost", on("lines", sql="""
-  WITH l AS (SELECT line_id, 'c' || (codigo % 500) AS cod_prov, 'd' || (codigo % 700) AS desc_prov, codigo, CAST(codigo % 101 AS DOUBLE) AS score FROM lines),
-  e AS (SELECT 'c' || p_partkey AS clave, p_partkey AS cod_int FROM part WHERE p_partkey < 400 UNION ALL SELECT 'd' || p_partkey, p_partkey FROM part WHERE p_partkey < 650)
+  WITH n AS (SELECT count(*) AS total FROM part),
+  l AS (SELECT line_id, 'c' || ((codigo * 3) % total) AS cod_prov, 'd' || codigo AS desc_prov, codigo, CAST(codigo % 101 AS DOUBLE) AS score FROM lines, n),
+  e AS (SELECT 'c' || p_partkey AS clave, (p_partkey * 7) % total AS cod_int FROM part, n WHERE p_partkey % 5 <> 0
+        UNION ALL SELECT 'd' || p_partkey, p_partkey FROM part WHERE p_partkey % 3 <> 0)
   SELECT line_id, coalesce(a.cod_int, b.cod_int) AS confirmado, CASE WHEN codigo = coalesce(a.cod_int, b.cod_int) THEN greatest(score, 90.0) ELSE score END AS score,
          CASE WHEN codigo = coalesce(a.cod_int, b.cod_int) THEN 'EQUIV' ELSE 'IA' END AS origen
   FROM l LEFT JOIN e a ON cod_prov = a.clave LEFT JOIN e b ON desc_prov = b.clave"""))
 def m16(spark, sf):
+    """Equivalences of all items; a flag leaves one code in five and one text in three unconfirmed."""
     k = F.col("codigo")
-    l = lines(spark, sf).select(
-        "line_id", F.concat(F.lit("c"), (k % 500).cast("string")).alias("cod_prov"),
-        F.concat(F.lit("d"), (k % 700).cast("string")).alias("desc_prov"), "codigo", (k % 101).cast("double").alias("score"))
     m = materials(spark, sf)
-    equiv = m.filter("codigo < 400").select(F.concat(F.lit("c"), k.cast("string")).alias("clave"), k.alias("cod_int")).unionByName(
-        m.filter("codigo < 650").select(F.concat(F.lit("d"), k.cast("string")).alias("clave"), k.alias("cod_int")))
-    out = M.confirm_codes(l, equiv)
+    total = m.agg(F.count("*").alias("total"))  # one row
+    l = lines(spark, sf).join(total).select(
+        "line_id", F.concat(F.lit("c"), ((k * 3) % F.col("total")).cast("string")).alias("cod_prov"),
+        F.concat(F.lit("d"), k.cast("string")).alias("desc_prov"), "codigo", (k % 101).cast("double").alias("score"))
+    by_code = m.join(total).filter(k % 5 != 0).select(F.concat(F.lit("c"), k.cast("string")).alias("clave"), ((k * 7) % F.col("total")).alias("cod_int"))
+    by_text = m.filter(k % 3 != 0).select(F.concat(F.lit("d"), k.cast("string")).alias("clave"), k.alias("cod_int"))
+    out = M.confirm_codes(l, by_code.unionByName(by_text))
     score, origin = M.boost(F.col("score"), k, F.col("confirmado"))
     return out.select("line_id", "confirmado", score.alias("score"), origin.alias("origen"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,12 +40,22 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/quotelens-{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write an intermediate result that several later steps read to the shared checkpoint folder.
+    """Write an intermediate result that several later steps read to the shared checkpoint folder, as columns.
 
-    Lost executors re-read it from there instead of recomputing the whole lineage.
+    Lost executors read it again instead of recomputing the whole lineage; later steps read only the columns they need.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
-    return df.checkpoint(eager=True)
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_intermediates(spark: SparkSession) -> None:
+    """Delete what :func:`cut` has written for this application; call it when its results are no longer read."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -3,6 +3,8 @@
 import csv
 import datetime
 import io
+import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -92,3 +94,31 @@ def test_oversized_selection_is_refused_not_shortened(spark):
     rows = [("a", i) for i in range(25)] + [("b", i) for i in range(20)]
     got = {r.user_id: (r.n_docs, r.valida) for r in C.check_selection(spark.createDataFrame(rows, "user_id string, doc long"), ("user_id",)).collect()}
     assert got == {"a": (25, False), "b": (20, True)}
+
+
+def test_contained_alias_equals_substring_search(spark):
+    draw = random.Random(9)
+    word = lambda n: "".join(draw.choice("AB .-ñÉ") for _ in range(draw.randrange(1, n)))
+    aliases = [(word(9), f"c{i}", i) for i in range(80)] + [("", "nada", 900), (None, "nulo", 901)]
+    texts = [(k, word(60)) for k in range(150)] + [(1000, ""), (1001, None), (1002, " "), (1003, "A" * 300)]
+    rows = lambda data, names: spark.createDataFrame(data, names)
+    key = {r.s: r.k for r in rows([(x,) for x in {a for a, _, _ in aliases} | {t for _, t in texts} if x is not None], "s string").select(
+        "s", E.supplier_key(F.col("s")).alias("k")).collect()}
+    want = {}
+    for k, t in texts:
+        hit = [(-len(key[a]), o, c) for a, c, o in aliases if a is not None and key[a] and t is not None and key[a] in key[t]]
+        if hit:
+            want[k] = min(hit)[2]
+    got = E.contained_alias(rows(texts, "doc long, texto string"), rows(aliases, "alias string, canonico string, orden long"), "doc").collect()
+    assert {r.doc: r.canonico for r in got} == want and len(got) == len(want)
+
+
+def test_supplier_in_texts_of_one_megabyte_and_across_lines(spark):
+    aliases = spark.createDataFrame([("corralon del sur", "CDS", 1), ("sur", "SUR", 2)], "alias string, canonico string, orden long")
+    files = spark.createDataFrame([(i, "/in/scan.pdf") for i in range(4)], "doc long, archivo string")
+    lines = [(0, 1, "sur" + "x" * 1_000_000 + " CORRALÓN_DEL-SUR"), (1, 1, "y" * 1_000_000)]
+    lines += [(2, i, "nada") for i in range(1, 2000)] + [(3, i, {500: "corralon", 501: "del", 502: "sur"}.get(i, "z")) for i in range(1, 1200)]
+    began = time.time()
+    got = E.detect_supplier(files, spark.createDataFrame(lines, "doc long, line_no int, line string"), aliases).collect()
+    assert {r.doc: (r.proveedor, r.confianza) for r in got} == {0: ("CDS", "TEXTO"), 1: (None, "NO DETECTADO"), 2: (None, "NO DETECTADO"), 3: ("CDS", "TEXTO")}
+    assert time.time() - began < 60
