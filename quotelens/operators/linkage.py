@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import textnorm as T
 from ..functions.scalars import rnd
-from ..functions.similarity import partial_ratio, token_set_ratio
+from ..functions.similarity import letter_ratio, partial_ratio, token_set_ratio
 from ..session import cut
 from .ingest import numbered
 
@@ -93,9 +93,11 @@ def _one_sided(shared: Column, total: Column) -> Column:
 def rank_tokens(sig: DataFrame, key: str, vocab: DataFrame) -> DataFrame:
     """Shared-vocabulary tokens from rare to common, their counts on both sides, and the total weight.
 
-    A token weighs its length plus one; tokens the other side never uses only add weight.
+    A token weighs its length plus one; tokens the other side never uses only add weight. A column ``a`` holds the total
+    weight where it is not that of the tokens.
     """
-    spread = sig.select(key, _weight(F.col("tokens")).alias("a"), F.explode("tokens").alias("token")).join(vocab, "token")
+    weight = F.col("a") if "a" in sig.columns else _weight(F.col("tokens"))
+    spread = sig.select(key, weight.alias("a"), F.explode("tokens").alias("token")).join(vocab, "token")
     packed = spread.groupBy(key).agg(F.first("a").alias("a"), F.array_sort(F.collect_list(F.struct("n_a", "n_t", "token"))).alias("p"))
     part = lambda f: F.transform("p", lambda t: t[f])
     return packed.select(key, "a", part("token").alias("r"), part("n_t").alias("nt"), part("n_a").alias("na"))
@@ -163,8 +165,10 @@ def candidate_pairs(t: DataFrame, a: DataFrame, cutoff: float = CUTOFF, cell: in
     return by_text.unionByName(by_alias).filter(F.col("score") >= cutoff)
 
 
-def rank_both(texts: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]:
+def rank_both(texts: DataFrame, pool: DataFrame, similar: bool = False) -> tuple[DataFrame, DataFrame]:
     ts, as_ = signatures(texts, "norm", "tkey"), signatures(pool, "norm", "akey")
+    if similar:
+        ts = cut(with_similar_words(ts, as_, "tkey"))
     vocab = cut(vocabulary(ts, as_))
     return cut(rank_tokens(ts, "tkey", vocab)), cut(rank_tokens(as_, "akey", vocab))
 
@@ -173,6 +177,59 @@ def all_pairs(texts: DataFrame, pool: DataFrame, cutoff: float) -> DataFrame:
     return candidate_pairs(*rank_both(texts, pool), cutoff)
 
 
+def _grams(token: Column) -> Column:
+    """Pairs of neighbouring letters of the padded token; the k-th of equal ones is numbered k."""
+    padded = F.concat(F.lit("^"), token, F.lit("$"))
+    pairs = F.transform(F.sequence(F.lit(1), F.length(token) + 1), lambda i: F.substring(padded, i, F.lit(2)))
+    return F.transform(pairs, lambda g, i: F.struct(g.alias("g"), F.size(F.filter(F.slice(pairs, 1, i + 1), lambda x: x == g)).alias("k")))
+
+
+def similar_words(words: DataFrame, known: DataFrame, least: float = 70.0) -> DataFrame:
+    """All pairs of a token and another known token with a letter ratio of ``least`` or more: ``(token, parecido)``.
+
+    A q-gram count filter: tokens of n and m letters within that ratio differ by d letters at most, which leaves them
+    (n + 1) - (3d + n - m) / 2 pairs of neighbouring letters in common, and the same from the other side. So each token
+    offers only its rarest pairs, one more than it can lose, for every length of partner that is possible. ``least`` of
+    two thirds or more leaves a pair in common at every length, so nothing is lost; what meets is verified.
+    """
+    share = (100.0 - least) / 100.0
+    reach = (1 + share) / (1 - share)
+
+    def needed(n, m):
+        """Pairs in common that partners of these lengths must have, null where no partner has the length."""
+        most = F.floor((n + m) * share + 1e-9)
+        d = most - F.pmod(most - F.abs(n - m), F.lit(2))
+        common = F.greatest(n + 1 - (3 * d + n - m) / 2, m + 1 - (3 * d + m - n) / 2)
+        return F.when(d >= F.abs(n - m), F.greatest(common, F.lit(1)).cast("int"))
+
+    own = words.select("token").distinct()
+    other = known.select("token").distinct()
+    gram = lambda df: df.withColumn("x", F.explode(_grams(F.col("token")))).select("token", "x.g", "x.k")
+    seen = gram(own.unionByName(other).distinct()).groupBy("g", "k").agg(F.count("*").alias("veces"))
+
+    def offered(df, name, mine, theirs):
+        rare = gram(df).join(seen, ["g", "k"]).groupBy("token").agg(F.array_sort(F.collect_list(F.struct("veces", "g", "k"))).alias("orden"))
+        n = F.length("token")
+        lengths = F.sequence(F.ceil(n / reach - 1e-9).cast("int"), F.floor(n * reach + 1e-9).cast("int"))
+        rows = rare.select(F.col("token").alias(name), n.alias(mine), F.explode(lengths).alias(theirs), "orden")
+        need = needed(F.col(mine), F.col(theirs))
+        rows = rows.withColumn("x", F.explode(F.when(need.isNotNull(), F.slice("orden", 1, F.size("orden") - need + 1))))
+        return rows.select(name, mine, theirs, "x.g", "x.k")
+
+    met = offered(own, "token", "n", "m").join(offered(other, "parecido", "m", "n"), ["g", "k", "n", "m"])
+    pairs = met.filter(F.col("token") != F.col("parecido")).select("token", "parecido").distinct()
+    return pairs.filter(letter_ratio("token", "parecido") >= least)
+
+
+def with_similar_words(sig: DataFrame, other: DataFrame, key: str, least: float = 70.0) -> DataFrame:
+    """Signatures with the other side's similar tokens beside their own; ``a`` keeps the weight of their own."""
+    spread = sig.select(key, F.explode("tokens").alias("token"))
+    links = similar_words(spread, other.select(F.explode("tokens").alias("token")), least)
+    more = spread.join(links, "token").groupBy(key).agg(F.collect_set("parecido").alias("mas"))
+    tokens = F.array_distinct(F.concat("tokens", F.coalesce("mas", F.array().cast("array<string>"))))
+    return sig.withColumn("a", _weight(F.col("tokens"))).join(more, key, "left").withColumn("tokens", tokens).drop("mas")
+
+
 def best_aliases(texts: DataFrame, pool: DataFrame, window: int = 9, cutoff: float = CUTOFF, scorer: str = "token",
                  stages: tuple[float, ...] = (80.0, 64.0)) -> DataFrame:
     """Best ``window`` aliases per token set; ties by confidence, then pool order.
@@ -180,19 +237,21 @@ def best_aliases(texts: DataFrame, pool: DataFrame, window: int = 9, cutoff: flo
     A text that already has ``window`` aliases at a high cutoff cannot gain from a
     lower one, so only the others go on to the next stage. The result is that of
     one pass at ``cutoff``. The character scorer may lift any candidate, so it
-    runs on all of them in one stage.
+    runs in one stage on all pairs whose tokens reach the cutoff when a token counts
+    as shared also where a similar one stands (see :func:`similar_words`).
     """
     order = (F.desc("conf"), F.asc("alias_id"))
     # an alias set can give at most `window` of its copies
     p = pool.withColumn("akey", F.array_join(T.token_set(F.col("norm")), " "))
     p = p.withColumn("copia", F.row_number().over(Window.partitionBy("akey").orderBy(*order))).filter(F.col("copia") <= window).drop("copia")
-    t, a = rank_both(texts, pool)
+    t, a = rank_both(texts, pool, similar=scorer == "indel")
     w = Window.partitionBy("tkey").orderBy(F.desc("score"), *order)
     found, open_texts = None, t
     for level_cut in (*([] if scorer == "indel" else stages), cutoff):
         pairs = candidate_pairs(open_texts, a, level_cut)
         if scorer == "indel":
-            pairs = pairs.withColumn("score", F.greatest("score", token_set_ratio("tkey", "akey")))
+            parts = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            pairs = pairs.repartition(parts, "tkey", "akey").withColumn("score", token_set_ratio("tkey", "akey")).filter(F.col("score") >= level_cut)
         # only ids cross the top-n shuffle; alias texts join the few survivors
         slim = pairs.join(p.select("akey", "alias_id", "conf"), "akey").select("tkey", "score", "conf", "alias_id")
         top = cut(slim.withColumn("previo", F.row_number().over(w)).filter(F.col("previo") <= window).drop("conf"))

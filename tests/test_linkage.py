@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quotelens.functions.similarity import partial_score, token_set_score
+from quotelens.functions.similarity import lcs_lengths, partial_score, token_set_score, token_set_scores
 from quotelens.operators import linkage as M
 
 NO_BRANDS = "marca string, grupo string"
@@ -120,3 +120,55 @@ def test_key_resolution(spark):
     d = spark.createDataFrame([("cemento25",), ("cem",), ("arena fina gruesa".replace(" ", ""),), ("nada",)], "k string")
     p = spark.createDataFrame([("cemento25kg", 2), ("cemento25", 3), ("arenafina", 1)], "kk string, pos long")
     assert {r.k: r.kk for r in M.resolve_keys(d, p).collect()} == {"cemento25": "cemento25", "cem": "cemento25kg", "arenafinagruesa": "arenafina"}
+
+
+def misspelt(draw, word):
+    at, kind = draw.randrange(len(word)), draw.randrange(4)
+    swap = word[:at] + word[at + 1 : at + 2] + word[at : at + 1] + word[at + 2 :]
+    return [word[:at] + word[at + 1 :], word[:at] + draw.choice("aeiorst") + word[at + 1 :], word[:at] + draw.choice("aeiorst") + word[at:], swap][kind] or word
+
+
+def letter_share(a, b):
+    return 100.0 * 2 * lcs_lengths([a], [b])[0] / (len(a) + len(b))
+
+
+def test_similar_words_equal_brute_force(spark):
+    draw = random.Random(13)
+    known = sorted({"".join(draw.choice("abcdeno") for _ in range(draw.randrange(1, 13))) for _ in range(400)} | {"aaaa", "aaaaaaaa", "abababab", "cano", "cnao", "ñandú"})
+    words = sorted({misspelt(draw, w) for w in known} | set(known[::7]))
+    df = lambda rows: spark.createDataFrame([(x,) for x in rows], "token string")
+    for least in (67.0, 85.0):
+        got = [(r.token, r.parecido) for r in M.similar_words(df(words), df(known), least).collect()]
+        want = {(x, y) for x in words for y in known if x != y and letter_share(x, y) >= least - 1e-9}
+        assert set(got) == want and len(got) == len(want)
+
+
+def recall(spark, draw, names, typos):
+    """Share of the best nine of all pairs by the character scorer that the match finds for misspelt names."""
+    texts = sorted({" ".join(misspelt(draw, w) if draw.random() < typos and len(w) > 3 else w for w in draw.sample(n.split(), max(2, len(n.split()) - 1))) for n in names[::3]})
+    rows = [(i, f"M{i}", n, 80 + i % 15) for i, n in enumerate(names)]
+    t = spark.createDataFrame([(x,) for x in texts], "norm string").withColumn("tkey", F.array_join(M.T.token_set(F.col("norm")), " "))
+    p = spark.createDataFrame(rows, "alias_id long, codigo string, norm string, conf int").withColumn("denominacion", F.col("norm")).withColumn(
+        "nums", F.array().cast("array<string>")).withColumn("sintetico", F.lit(False)).withColumn("calif", F.array().cast("array<string>"))
+    got = {}
+    for r in M.best_aliases(t, p, scorer="indel").collect():
+        got.setdefault(r.tkey, {})[r.previo] = (r.alias_id, r.score)
+    found = total = first = 0
+    keys = [" ".join(sorted(set(n.split()))) for n in names]
+    for text in texts:
+        key = " ".join(sorted(set(text.split())))
+        scores = token_set_scores([key] * len(keys), keys)
+        best = sorted((-s, -c, i) for s, (i, _, _, c) in zip(scores, rows, strict=True) if s >= 48)[:9]
+        mine = {a for a, _ in got.get(key, {}).values()}
+        total += len(best)
+        found += sum(i in mine for _, _, i in best)
+        first += got.get(key, {}).get(1, (None,))[0] == best[0][2]
+    return found / total, first / len(texts)
+
+
+@pytest.mark.parametrize("typos", [0.5, 1.0])
+def test_recall_on_misspelt_texts(spark, typos):
+    names = [r[0] for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").selectExpr("lower(concat_ws(' ', p_name, p_type))").collect()]
+    nine, first = recall(spark, random.Random(21), names, typos)
+    print("recall", typos, round(nine, 4), round(first, 4))
+    assert nine >= 0.99 and first >= 0.99
