@@ -119,8 +119,39 @@ RULES = (
     ("CC-BY-ND-4.0", ("cc-by-nd",)),
     ("all-rights-reserved", ("reserved",)),
 )
-# a sentence ends at a mark followed by white space, or at a blank line; a version's "v." ends none
-SENTENCE_END = re.compile(r"(?:(?<=[.!?])(?<!\bv\.))\s+|\n[^\S\n]*\n\s*")
+# fixed values: names of licences as a short notice gives them ("licensed under the ...")
+NAMES = (
+    ("MIT", ("mit license", "mit licence", "mit")),
+    ("Apache-2.0", ("apache license version 2.0", "apache license v2.0", "apache license 2.0", "apache 2.0 license", "apache 2.0")),
+    ("BSD-2-Clause", ("bsd 2 clause license", "2 clause bsd license", "simplified bsd license")),
+    ("BSD-3-Clause", ("bsd 3 clause license", "3 clause bsd license", "new bsd license", "modified bsd license")),
+    ("ISC", ("isc license",)),
+    ("Unlicense", ("unlicense",)),
+    ("MPL-2.0", ("mozilla public license version 2.0", "mozilla public license 2.0", "mozilla public license v. 2.0", "mpl 2.0")),
+    ("GPL-2.0-only", ("gnu general public license version 2", "gnu general public license v2", "gnu general public license v2.0", "gnu gpl v2", "gplv2", "gpl v2")),
+    ("GPL-3.0-only", ("gnu general public license version 3", "gnu general public license v3", "gnu general public license v3.0", "gnu gpl v3", "gplv3", "gpl v3")),
+    ("LGPL-2.1-only", ("gnu lesser general public license version 2.1", "gnu lesser general public license v2.1", "lgpl v2.1")),
+    ("LGPL-3.0-only", ("gnu lesser general public license version 3", "gnu lesser general public license v3", "lgpl v3")),
+    ("AGPL-3.0-only", ("gnu affero general public license version 3", "gnu affero general public license v3", "agpl v3")),
+    ("CC0-1.0", ("cc0 1.0", "creative commons cc0 1.0 universal license", "cc0 1.0 universal")),
+    ("CC-BY-4.0", ("cc by 4.0", "creative commons attribution 4.0 international license")),
+    ("CC-BY-SA-4.0", ("cc by sa 4.0", "creative commons attribution sharealike 4.0 international license")),
+    ("CC-BY-NC-4.0", ("cc by nc 4.0", "creative commons attribution noncommercial 4.0 international license")),
+    ("CC-BY-ND-4.0", ("cc by nd 4.0", "creative commons attribution noderivatives 4.0 international license")),
+)
+# fixed values: identifiers of the SPDX list beside the names of RULES
+SPDX_ALSO = (("GPL-2.0-only", "GPL-2.0"), ("GPL-2.0-or-later", "GPL-2.0+"), ("GPL-3.0-only", "GPL-3.0"), ("GPL-3.0-or-later", "GPL-3.0+"),
+             ("LGPL-2.1-only", "LGPL-2.1"), ("LGPL-2.1-or-later", "LGPL-2.1+"), ("LGPL-3.0-only", "LGPL-3.0"), ("LGPL-3.0-or-later", "LGPL-3.0+"),
+             ("AGPL-3.0-only", "AGPL-3.0"), ("AGPL-3.0-or-later", "AGPL-3.0+"))
+# a sentence ends at a mark followed by white space, at a blank line, or at a colon before a list; a version's "v." ends none
+SENTENCE_END = re.compile(r"(?:(?<=[.!?])(?<!\bv\.))\s+|\n[^\S\n]*\n\s*|(?<=:)[^\S\n]*\n(?=[\W_]*(?:\d{1,2}[.)]|[a-z]\)|[*•-])\s)")
+SPDX = re.compile(r"SPDX-License-Identifier:[^\S\n]*([^\n]*)", re.I)
+SPDX_NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+-]*")
+ITEM = re.compile(r"^[\W_]*(?:\(?(?:\d{1,2}|[a-z])[.)]|[*•-])\s+(?=\w)", re.I)
+# "this file is distributed under the terms of the" and the like
+NOTICE = re.compile(r"^(?:(?:this|the|all|our) (?:[a-z]+ ){0,2}?(?:is|are) |(?:it|code|everything) is )?(?:dual |also )?(?:licensed|licenced|released|distributed|published|made available|available|provided) "
+                    r"under (?:the )?(?:terms of )?(?:the |an? )?")
+HOLDER = re.compile(r"^neither the names? of (?:the )?[\w. ]{1,80}? nor the names of (?:its|the) contributors may ")
 NUMBER = re.compile(r"\W*\d{1,2}\W*")
 DROPPED = re.compile(r"[^\w.]+|(?<!\d)\.+|\.+(?!\d)")
 
@@ -130,24 +161,45 @@ def normal(text: str) -> str:
     return " ".join(DROPPED.sub(" ", text.lower()).split())
 
 
+def canonical(sentence: str) -> str:
+    """A normalised sentence without what varies: who is licensed, which verb says so, and a holder's name."""
+    return HOLDER.sub("neither the name of the copyright holder nor the names of its contributors may ", NOTICE.sub("licensed under ", sentence))
+
+
+def spdx_sentence(name: str) -> str:
+    return normal("spdx license identifier " + name.replace("+", " plus"))
+
+
+def spdx_lines(text: str) -> str:
+    """Each identifier of an SPDX line as a sentence of its own."""
+    def apart(m):
+        names = [n for n in SPDX_NAME.findall(m[1]) if n not in ("OR", "AND", "WITH")]
+        return "".join(f"\n\nSPDX-License-Identifier: {n.replace('+', ' plus')}\n\n" for n in names)
+
+    return SPDX.sub(apart, text) if "SPDX-" in text or "spdx-" in text else text
+
+
 class Recogniser:
     """The sentence table and the rules, ready to scan texts."""
 
     def __init__(self, sentences=SENTENCES, rules=RULES):
-        self.ids = {s: i for i, s in sentences}
+        self.ids = {f"licensed under {name}": f"short-{licence}" for licence, names in NAMES for name in names}
+        self.ids |= {spdx_sentence(also): f"spdx-{licence}" for licence, also in (*((r, r) for r, _ in rules), *SPDX_ALSO)}
+        self.ids |= {canonical(s): i for i, s in sentences}
         self.last = {s.rsplit(" ", 1)[-1] for s in self.ids}
         self.longest = max((s.count(" ") + 1 for s in self.ids), default=0)
-        self.rules = [(name, tuple(seq)) for name, seq in rules]
+        self.rules = [(name, tuple(seq)) for name, seq in rules] + [(n.split("-", 1)[1], (n,)) for n in sorted({x for x in self.ids.values() if x.startswith(("short-", "spdx-"))})]
 
     def sentence_id(self, sentence: str) -> str | None:
         """Identifier of the sentence, or of its end from some line on, as a heading may stand before it; the longest one found."""
         words = normal(sentence[-64:]).rsplit(" ", 1)
         if words[-1] not in self.last:
             return None
-        found, tail = None, ""
+        found, tail, rest = None, "", ""
         for line in reversed(sentence.split("\n")):
             tail = (normal(line + "\n" + tail) if tail else normal(line))
-            found = self.ids.get(tail, found)
+            found = self.ids.get(tail, None) or self.ids.get(canonical(tail), None) or self.ids.get(canonical(normal(ITEM.sub("", line) + "\n" + rest)), found)
+            rest = tail
             if tail.count(" ") >= self.longest:
                 break
         return found
@@ -156,7 +208,7 @@ class Recogniser:
         """((place among the sentences, identifier) of each known sentence, licences in the order of the text)."""
         known, ranks, numbers = [], [], 0  # a list item's number stands for no sentence between two others
         if text:
-            for place, sentence in enumerate(SENTENCE_END.split(text)):
+            for place, sentence in enumerate(SENTENCE_END.split(spdx_lines(text))):
                 got = self.sentence_id(sentence)
                 if got is not None:
                     known.append((place, got))

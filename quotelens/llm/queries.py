@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quotelens.session import checkpoint_root
+
 from . import bpe, conversations, decontaminate, htmltext, langid, licenses, linededup, ngramjoin, quality, sharding, simhash, tokenalign, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,7 +50,9 @@ def op5(spark, sf):
 
 @query("op7_virtual_slots")
 def op7(spark, sf):
-    return sharding.shard_documents(table(spark, sf, "documents"))
+    # the map of each folder of tables is kept between runs
+    folder = f"{checkpoint_root(spark)}/llm/slot-maps/{hashlib.sha256(sf.encode()).hexdigest()[:16]}"
+    return sharding.shard_documents(table(spark, sf, "documents"), map_folder=folder)
 
 
 @query("op1_spaced_seed_decontamination")

@@ -80,17 +80,46 @@ def _next(kept: DataFrame, movers: DataFrame, version: int, shards: int) -> Data
     return rows.select(F.lit(version).alias("version"), "vslot", "shard")
 
 
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """Versions of the map table that are written completely, oldest first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/version=*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
+
+
 def save_map(slot_map: DataFrame, folder: str) -> DataFrame:
-    """Append a version to the map table and read that version back."""
-    slot_map.write.mode("append").partitionBy("version").parquet(folder)
-    return slot_map.sparkSession.read.parquet(folder)
+    """Write one version of the map as a folder of its own and read it back. A version that is there is never written again."""
+    spark = slot_map.sparkSession
+    version = slot_map.first()["version"]
+    if version in versions(spark, folder):
+        raise ValueError(f"version {version} of the slot map exists")
+    # what a lost driver left unfinished is replaced
+    slot_map.select("vslot", "shard").write.mode("overwrite").parquet(f"{folder}/version={version}")
+    return load_map(spark, folder, version)
 
 
 def load_map(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
     """One version of the map table, the newest by default."""
-    table = spark.read.parquet(folder)
-    wanted = version if version is not None else table.agg(F.max("version")).first()[0]
-    return table.where(F.col("version") == wanted)
+    wanted = version if version is not None else versions(spark, folder)[-1]
+    return spark.read.schema("vslot int, shard int").parquet(f"{folder}/version={wanted}").select(F.lit(wanted).alias("version"), "vslot", "shard")
+
+
+def fits(slot_map: DataFrame, weights: DataFrame, shards: int, slack: float) -> bool:
+    """Whether the map has these shards, and none is fuller than an even share by more than `slack` of it or its largest slot."""
+    loads = slot_map.join(weights, "vslot").groupBy("shard").agg(F.sum("bytes").alias("load"), F.max("bytes").alias("largest"))
+    over = F.col("load") > F.lit(1 + slack) * F.col("total") / shards + F.col("largest")
+    total = weights.agg(F.sum("bytes").alias("total"))  # one row
+    found = loads.join(total).agg(F.max("shard").alias("last"), F.count("*").alias("n"), F.coalesce(F.bool_or(over), F.lit(False)).alias("over")).first()
+    return found["n"] == shards and found["last"] == shards - 1 and not found["over"]
+
+
+def kept_map(weights: DataFrame, shards: int, folder: str, slack: float = 0.02) -> DataFrame:
+    """The newest version of the map in `folder`, edited to the next one where it doesn't fit; version 1 where there is none."""
+    spark = weights.sparkSession
+    if not versions(spark, folder):
+        return save_map(first_map(weights, shards), folder)
+    newest = load_map(spark, folder)
+    return newest if fits(newest, weights, shards, slack) else save_map(edited_map(newest, weights, shards), folder)
 
 
 def sized(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
@@ -118,9 +147,10 @@ def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text
     """Put all rows into shards of near equal bytes.
 
     Null keys are slotted by text; null texts have size 1. Repeated rows share a slot. An empty table gives an empty result.
-    With `map_folder` the map is kept there as version 1 of a table for later edits.
+    With `map_folder` the map is kept there in versions: a later call takes the newest one, or edits it to the next where the
+    number of shards has changed or a shard has become too full, so few rows move. Rows with equal texts have no law of
+    their own and may part.
     """
     rows = sized(docs, key, text)
-    slot_map = first_map(slot_bytes(rows), shards)
-    slot_map = load_map(docs.sparkSession, map_folder, 1) if map_folder and save_map(slot_map, map_folder) else stored(slot_map, "slot-map")
-    return assigned(rows, slot_map, key)
+    weights = stored(slot_bytes(rows), "slot-bytes")
+    return assigned(rows, kept_map(weights, shards, map_folder) if map_folder else stored(first_map(weights, shards), "slot-map"), key)

@@ -288,6 +288,38 @@ def test_map_is_versioned_and_edits_move_little(spark, tmp_path):
     assert set(three.values()) == set(range(5))
 
 
+def test_a_kept_map_is_loaded_or_edited(spark, tmp_path):
+    draw = random.Random(15)
+    rows = [(i, "x" * draw.randrange(1, 400)) for i in range(3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = str(tmp_path / "map")
+
+    def run(df, shards):
+        got = sharding.shard_documents(df, shards, map_folder=folder).collect()
+        assert len(got) == df.count() == len({r.doc_id for r in got})
+        loads = {}
+        for r in got:
+            loads[r.shard] = loads.get(r.shard, 0) + r.size
+        assert set(loads) == set(range(shards)) and max(loads.values()) <= 1.06 * sum(loads.values()) / shards
+        return {r.doc_id: (r.shard, r.size) for r in got}
+
+    def moved(old, new):
+        """Share of the bytes whose shard has changed."""
+        return sum(new[k][1] for k in old if old[k][0] != new[k][0]) / sum(size for _, size in new.values())
+
+    first = run(d, 8)
+    assert run(d, 8) == first and sharding.versions(spark, folder) == [1]
+    more = run(d, 10)  # two shards more: an edit, most rows stay
+    assert sharding.versions(spark, folder) == [1, 2] and moved(first, more) <= 0.25
+    changed = spark.createDataFrame([(i, t * (30 if i % 97 == 0 else 1)) for i, t in rows] + [(9000 + i, "new " * 50) for i in range(500)], "doc_id long, text string")
+    later = run(changed, 10)
+    assert sharding.versions(spark, folder) in ([1, 2], [1, 2, 3]) and moved(more, later) <= 0.3
+    fewer = run(changed, 5)
+    assert {s for s, _ in fewer.values()} == set(range(5))
+    with pytest.raises(ValueError, match="exists"):
+        sharding.save_map(sharding.load_map(spark, folder, 1), folder)
+
+
 # --- lines
 
 

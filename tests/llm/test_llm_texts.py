@@ -312,6 +312,35 @@ def test_a_page_of_one_megabyte_takes_linear_time(unit):
     assert time.process_time() - began < 60  # some seconds; a quadratic scan takes hours
 
 
+BSD = """Copyright (c) 2020, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+%s Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+%s Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+
+
+@pytest.mark.parametrize(("text", "names"), [
+    *[(BSD % marks, ["all-rights-reserved", "BSD-2-Clause"]) for marks in (("1.", "2."), ("*", "*"), ("(a)", "(b)"), ("-", "-"))],
+    (BSD % ("1.", "2.") + "\n3. Neither the name of the University of Somewhere nor the names of its contributors may be used to endorse or promote products\n"
+     "   derived from this software without specific prior written permission.", ["all-rights-reserved", "BSD-3-Clause"]),
+    ("This work is licensed under CC-BY-SA 4.0.", ["CC-BY-SA-4.0"]), ("This file is licensed under the MIT License.", ["MIT"]),
+    ("Distributed under the MIT License.", ["MIT"]), ("This software is licensed under the Apache License, Version 2.0", ["Apache-2.0"]),
+    ("SPDX-License-Identifier: MIT", ["MIT"]), ("// SPDX-License-Identifier: GPL-2.0+\nint main;", ["GPL-2.0-or-later"]),
+    ("# SPDX-License-Identifier: (MIT OR Apache-2.0)\nx = 1", ["MIT", "Apache-2.0"]), ("/* SPDX-License-Identifier: BSD-3-Clause */ code", ["BSD-3-Clause"]),
+    ("The source code is available under the terms of the GNU General Public License v3.", ["GPL-3.0-only"]), ("Released under the ISC License.", ["ISC"]),
+    ("Our project is made available under the Mozilla Public License 2.0!", ["MPL-2.0"]), ("This library is distributed under the terms of the BSD 3-Clause License.", ["BSD-3-Clause"]),
+    ("Prose about licences.\n\nThe MIT License is short. We licensed under pressure.", []), ("This book is provided under the table.", []),
+])
+def test_common_forms_of_notices(text, names):
+    assert licenses.Recogniser().scan(text)[1] == names
+    assert licenses.Recogniser().scan(f"Some words before.\n\n{text}\n\nMore words after it")[1] == names
+
+
 def test_pages_keep_their_columns(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>", "old"), (2, None, None, None), (1, "u", "<p>a</p>", "old")], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, htmltext.extract_text(pages).select("page_id", "url", "text").collect()), key=str) == [(1, "u", "a"), (1, "u", "a"), (2, None, "")]
