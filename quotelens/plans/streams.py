@@ -52,6 +52,38 @@ def w2_type(spark, sf):
     return W.sessions(events(spark, sf), "event_type")
 
 
+@query("w2_closing_sessions", """
+  WITH e AS (SELECT user_id, ts, event_id, event_type = 'purchase' AS pide FROM events),
+  o AS (SELECT *, lag(ts) OVER w AS pts, lag(pide) OVER w AS ppide FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, pide, event_id)),
+  r AS (SELECT *, sum(CASE WHEN NOT pide AND (pts IS NULL OR ppide OR ts - pts >= INTERVAL 30 MINUTE) THEN 1 ELSE 0 END)
+                    OVER (PARTITION BY user_id ORDER BY ts, pide, event_id ROWS UNBOUNDED PRECEDING) AS run,
+               lead(ts) OVER w AS nts, lead(pide) OVER w AS npide FROM o WINDOW w AS (PARTITION BY user_id ORDER BY ts, pide, event_id)),
+  d AS (SELECT *, (row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) - 1) // 5 AS parte FROM r WHERE NOT pide),
+  g AS (SELECT user_id, run, parte, min(ts) AS desde, max(ts) AS b, count(*) AS n, list(event_id ORDER BY ts, event_id) AS docs,
+               arg_max(npide, (ts, event_id)) AS pedida, arg_max(nts, (ts, event_id)) AS pedido FROM d GROUP BY ALL)
+  SELECT user_id, desde, CASE WHEN n = 5 THEN b WHEN pedida AND pedido - b < INTERVAL 30 MINUTE THEN pedido ELSE b + INTERVAL 30 MINUTE END AS hasta,
+         n, docs, CASE WHEN n = 5 THEN 'completa' WHEN pedida AND pedido - b < INTERVAL 30 MINUTE THEN 'pedida' ELSE 'vencida' END AS motivo FROM g""")
+def w2_closing(spark, sf):
+    """Purchases stand for the request to compare now; every other event is a document."""
+    return W.closing_sessions(events(spark, sf), "user_id", "event_id", F.col("event_type") == "purchase")
+
+
+@query("w2_closing_sessions_by_type", """
+  WITH e AS (SELECT event_type, ts, event_id, user_id % 7 = 0 AS pide FROM events),
+  o AS (SELECT *, lag(ts) OVER w AS pts, lag(pide) OVER w AS ppide FROM e WINDOW w AS (PARTITION BY event_type ORDER BY ts, pide, event_id)),
+  r AS (SELECT *, sum(CASE WHEN NOT pide AND (pts IS NULL OR ppide OR ts - pts >= INTERVAL 30 MINUTE) THEN 1 ELSE 0 END)
+                    OVER (PARTITION BY event_type ORDER BY ts, pide, event_id ROWS UNBOUNDED PRECEDING) AS run,
+               lead(ts) OVER w AS nts, lead(pide) OVER w AS npide FROM o WINDOW w AS (PARTITION BY event_type ORDER BY ts, pide, event_id)),
+  d AS (SELECT *, (row_number() OVER (PARTITION BY event_type, run ORDER BY ts, event_id) - 1) // 5 AS parte FROM r WHERE NOT pide),
+  g AS (SELECT event_type, run, parte, min(ts) AS desde, max(ts) AS b, count(*) AS n, list(event_id ORDER BY ts, event_id) AS docs,
+               arg_max(npide, (ts, event_id)) AS pedida, arg_max(nts, (ts, event_id)) AS pedido FROM d GROUP BY ALL)
+  SELECT event_type, desde, CASE WHEN n = 5 THEN b WHEN pedida AND pedido - b < INTERVAL 30 MINUTE THEN pedido ELSE b + INTERVAL 30 MINUTE END AS hasta,
+         n, docs, CASE WHEN n = 5 THEN 'completa' WHEN pedida AND pedido - b < INTERVAL 30 MINUTE THEN 'pedida' ELSE 'vencida' END AS motivo FROM g""")
+def w2_closing_type(spark, sf):
+    """Few keys with many events each, so sessions close by count, by request and by silence."""
+    return W.closing_sessions(events(spark, sf), "event_type", "event_id", F.col("user_id") % 7 == 0)
+
+
 @query("w3_incremental_comparison", on("cells", sql="SELECT codigo, anio, count(*) AS n_prov, min(neto) AS minimo FROM cells GROUP BY codigo, anio"))
 def w3(spark, sf):
     """Result the stream converges to once every line has arrived."""

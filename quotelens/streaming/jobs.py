@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType, TimestampType
 
 from ..operators import compare as C
 from ..operators import learn as L
 from ..operators import pricing as P
-from ..session import checkpoint_root
+from ..session import checkpoint_root, cut
 
 # --- fixed values: request window, session gap, documents per session ----------
 REQUESTS, WINDOW_S, SLIDE_S = 20, 60, 10
@@ -60,6 +62,102 @@ def sessions(events: DataFrame, key: str, gap_s: int = 1800) -> DataFrame:
                         "n", (F.col("n") >= SESSION_DOCS).alias("completa"))
 
 
+CLOSED = StructType([StructField("desde", TimestampType()), StructField("hasta", TimestampType()), StructField("n", LongType()),
+                     StructField("docs", ArrayType(LongType())), StructField("motivo", StringType())])
+OPENED = StructType([StructField("desde", LongType()), StructField("ultimo", LongType()), StructField("docs", ArrayType(LongType()))])
+
+
+def closing_sessions_stream(events: DataFrame, key: str, doc: str, request: Column, watermark: str, gap_s: int = 1800, docs: int = SESSION_DOCS) -> DataFrame:
+    """Sessions as they close: ``(key, desde, hasta, n, docs, motivo)``.
+
+    A key's state is its open session, at most ``docs`` documents. It closes with the document that fills it (``completa``), with
+    a request (``pedida``), or when nothing came for ``gap_s`` seconds (``vencida``), then by a timer in event time. A request
+    without an open session does nothing. ``ts`` orders a key's events, then ``doc``. Events behind the watermark are dropped.
+    """
+    gap = gap_s * 1_000_000
+    out = StructType([events.schema[key], *CLOSED])
+    at = lambda us: pd.Timestamp(us, unit="us")
+
+    def run(keys, batches, state):
+        found = []
+        first, last, held = state.get if state.exists else (None, None, [])
+
+        def close(end, reason):
+            found.append((*keys, at(first), at(end), len(held), list(held), reason))
+
+        if state.hasTimedOut:
+            close(last + gap, "vencida")
+            state.remove()
+        else:
+            rows = sorted((r for b in batches for r in zip(b["__us"].tolist(), b["__doc"].tolist(), b["__pide"].tolist())), key=lambda r: (r[0], r[2], r[1]))
+            for us, one, asked in rows:
+                if held and us - last >= gap:
+                    close(last + gap, "vencida")
+                    held = []
+                if asked:
+                    if held:
+                        close(us, "pedida")
+                        held = []
+                    continue
+                first = us if not held else first
+                held = [*held, one]
+                last = us
+                if len(held) == docs:
+                    close(us, "completa")
+                    held = []
+            if held:
+                state.update((first, last, held))
+                state.setTimeoutTimestamp(max((last + gap) // 1000, state.getCurrentWatermarkMs() + 1))
+            elif state.exists:
+                state.remove()
+        if found:
+            yield pd.DataFrame(found, columns=out.names)
+
+    x = events.withWatermark("ts", watermark).select(
+        key, "ts", F.unix_micros("ts").alias("__us"), F.col(doc).cast("long").alias("__doc"), F.coalesce(request, F.lit(False)).alias("__pide"))
+    return x.groupBy(key).applyInPandasWithState(run, out, OPENED, "append", "EventTimeTimeout")
+
+
+def closing_sessions(events: DataFrame, key: str, doc: str, request: Column, gap_s: int = 1800, docs: int = SESSION_DOCS) -> DataFrame:
+    """The same sessions of a table, the one still open at its end counting as ``vencida``.
+
+    An event's number among the key's documents, the event before it and the last begin of a run are found inside each hour
+    and carried over the key's hours, so a busy key is spread over as many tasks as it has hours.
+    """
+    gap = gap_s * 1_000_000
+    ts = F.col("ts").cast("timestamp")
+    x = events.select(key, F.unix_micros(ts).alias("us"), F.col(doc).cast("long").alias("doc"), F.coalesce(request, F.lit(False)).alias("pide"))
+    x = cut(x.withColumns({"hora": F.floor(F.col("us") / 3_600_000_000), "es": (~F.col("pide")).cast("int")}))
+    inside = Window.partitionBy(key, "hora").orderBy("us", "pide", "doc")
+    over = Window.partitionBy(key).orderBy("hora")
+    before = over.rowsBetween(Window.unboundedPreceding, -1)
+    ends = x.groupBy(key, "hora").agg(F.sum("es").alias("en_hora"), F.max(F.struct("us", "pide", "doc")).alias("fin"))
+    ends = ends.select(key, "hora", F.coalesce(F.sum("en_hora").over(before), F.lit(0)).alias("antes"),
+                       F.lag("fin").over(over).alias("previa"))
+    y = x.join(ends, [key, "hora"])
+    y = y.withColumn("numero", F.col("antes") + F.sum("es").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    y = y.withColumn("previa", F.coalesce(F.lag(F.struct("us", "pide", "doc")).over(inside), F.col("previa")))
+    # a run of documents begins behind a request, or after a gap
+    begins = F.col("previa").isNull() | F.col("previa.pide") | (F.col("us") - F.col("previa.us") >= gap)
+    y = cut(y.filter("not pide").withColumn("inicio", F.when(begins, F.col("numero"))))
+    last = y.groupBy(key, "hora").agg(F.max("inicio").alias("ultimo"))
+    last = last.select(key, "hora", F.max("ultimo").over(before).alias("traido"))
+    order = inside.rowsBetween(Window.unboundedPreceding, 0)
+    z = y.join(last, [key, "hora"]).withColumn("inicio", F.greatest(F.max("inicio").over(order), "traido"))
+    z = z.withColumn("parte", F.floor((F.col("numero") - F.col("inicio")) / docs))
+    rows = F.array_sort(F.collect_list(F.struct("us", "doc")))
+    s = z.groupBy(key, "inicio", "parte").agg(F.min("us").alias("a"), F.max("us").alias("b"), F.count("*").alias("n"), rows.alias("r"), F.max("numero").alias("numero"))
+    # a request stands behind the document of that number
+    asked = x.join(ends, [key, "hora"]).withColumn("numero", F.col("antes") + F.sum("es").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    asked = asked.filter("pide").groupBy(key, "numero").agg(F.min("us").alias("pedido"))
+    s = s.join(asked, [key, "numero"], "left")
+    by_request = (F.col("n") < docs) & F.coalesce(F.col("pedido") - F.col("b") < gap, F.lit(False))
+    end = F.when(F.col("n") == docs, F.col("b")).when(by_request, F.col("pedido")).otherwise(F.col("b") + gap)
+    reason = F.when(F.col("n") == docs, "completa").when(by_request, "pedida").otherwise("vencida")
+    return s.select(key, F.timestamp_micros("a").alias("desde"), F.timestamp_micros(end).alias("hasta"), "n",
+                    F.transform("r", lambda v: v["doc"]).alias("docs"), reason.alias("motivo"))
+
+
 def per_day(events: DataFrame, kind: str, watermark: str | None = None) -> DataFrame:
     """Tumbling daily counts; on a stream, rows later than the watermark are dropped and counted by the engine."""
     x = events.withWatermark("ts", watermark) if watermark else events
