@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+
 from ..functions import textnorm as T
+from .keyed import KeyedTable
 
 
 def upsert(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,6 +54,26 @@ def fold_counts(aliases: DataFrame, counts: DataFrame, rules=None) -> DataFrame:
     return x.select("codigo", "denominacion", F.col("f").cast("bigint").alias("frecuencia"), conf.cast("int").alias("confianza"), origin.alias("origen"))
 
 
+ALIASES = StructType([StructField("codigo", LongType()), StructField("denominacion", StringType()), StructField("frecuencia", LongType()),
+                      StructField("confianza", IntegerType()), StructField("origen", StringType())])
+
+
+def alias_store(spark, root: str, buckets: int = 64, code=None) -> KeyedTable:
+    """The alias table in buckets of its text, the widest of its keys."""
+    schema = StructType([StructField("codigo", code or LongType()), *ALIASES.fields[1:]])
+    return KeyedTable(spark, root, schema, ("denominacion",), buckets)
+
+
+def learn_into(aliases: KeyedTable, confirmations: DataFrame, lote: int, rules=None) -> list[int]:
+    """Fold batch ``lote`` of confirmations into a stored alias table; the buckets written."""
+    return aliases.merge(count_confirmations(confirmations), lambda old, counts: fold_counts(old, counts, rules), lote)
+
+
+def upsert_into(target: KeyedTable, batch: DataFrame, keys: list[str], lote: int) -> list[int]:
+    """:func:`upsert` into a stored table that is bucketed by columns of ``keys``; the buckets written."""
+    return target.merge(batch, lambda old, new: upsert(old, new, keys), lote)
+
+
 def confirm_lines(items: DataFrame, confirmations: DataFrame) -> DataFrame:
     """A confirmed line takes the user's code and state; the last confirmation wins."""
     c = confirmations.groupBy("line_id").agg(F.max_by("codigo", "seq").alias("nuevo"))

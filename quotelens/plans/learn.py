@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import learn as L
+from ..operators.keyed import KeyedTable, latest
+from ..session import new_folder
 from ..sources.derived import lines, materials
 from ..sources.views import table
 from .registry import on, query
@@ -61,6 +63,30 @@ def unmatched(spark, sf):
         "line_id", F.concat(F.lit(" "), F.col("material")).alias("texto"), F.col("prov_id").alias("proveedor"), F.col("pu").alias("precio"), "codigo")
 
 
+@query("l2_keyed_aliases", on("quotes", sql="""
+  WITH b AS (SELECT codigo, CASE WHEN codigo % 10 = 0 THEN 'm2 x ' || line_no ELSE lower(p_name) || ' ' || (prov_id % 3) END AS denominacion FROM quotes)
+  SELECT codigo, denominacion, count(*) AS frecuencia FROM b WHERE regexp_matches(denominacion, '[a-z]{4,}') GROUP BY ALL"""))
+def l2_keyed(spark, sf):
+    """Confirmations in three batches, the second one twice, into a stored alias table."""
+    c = confirmations(spark, sf)
+    store = L.alias_store(spark, new_folder(spark), code=c.schema["codigo"].dataType)
+    part = F.pmod(F.hash("line_id"), F.lit(3))
+    for lote in (0, 1, 1, 2):
+        L.learn_into(store, c.filter(part == lote), lote)
+    return store.read().select("codigo", "denominacion", "frecuencia")
+
+
+@query("l1_stored_upsert", on("lines", sql="""
+  SELECT codigo, prov_id, arg_max(pu, (fecha, line_id)) AS precio, max(fecha)::DATE AS fecha FROM lines GROUP BY ALL"""))
+def l1_stored(spark, sf):
+    """Prices by item and supplier in three batches out of order, the first one again at the end."""
+    x = lines(spark, sf).select("codigo", "prov_id", F.col("pu").alias("precio"), F.col("fecha").cast("date").alias("fecha"), F.struct("fecha", "line_id").alias("seq"))
+    store = KeyedTable(spark, new_folder(spark), x.schema, ("codigo",))
+    for lote, k in enumerate((2, 0, 1, 2)):
+        store.merge(x.filter(F.pmod(F.hash("seq"), F.lit(3)) == k), latest(("codigo", "prov_id"), "seq"), lote)
+    return store.read().drop("seq")
+
+
 @query("l4_pending_rows", on("quotes", sql="""
   SELECT sha256(line_id) AS id, material AS descripcion_original, lower(material) AS descripcion_normalizada, prov_id AS proveedor, pu AS precio_visto, 'PENDIENTE' AS estado
   FROM quotes"""))

@@ -54,6 +54,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own among the intermediates of this application."""
+    return f"{_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def clear_intermediates(spark: SparkSession) -> None:
     """Delete what :func:`cut` has written for this application; call it when its results are no longer read."""
     jvm = spark.sparkContext._jvm

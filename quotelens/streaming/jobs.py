@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType, TimestampType
 
 from ..operators import compare as C
 from ..operators import learn as L
 from ..operators import pricing as P
+from ..operators.keyed import KeyedTable, latest, replacing
 from ..session import checkpoint_root, cut
 
 # --- fixed values: request window, session gap, documents per session ----------
@@ -195,6 +197,49 @@ def current_comparison(spark, root: str) -> DataFrame:
     return C.with_saving(C.compare(C.cells(priced, F.struct("fecha", "doc", "line_no", "pu"))))
 
 
+@dataclass(frozen=True)
+class Comparison:
+    """Kept state of the incremental analysis: the last price of each item and supplier, and the items' comparison.
+
+    Both are keyed tables by item, so a batch rewrites the buckets of its items and reads no line again.
+    """
+
+    cells: KeyedTable
+    items: KeyedTable
+
+    @staticmethod
+    def at(spark, root: str, lines: StructType, seq: str = "seq", supplier: str = "prov_id", buckets: int = 64) -> Comparison:
+        """``lines`` is the schema of the analysed lines: item code, supplier, and ``seq`` that orders a cell's lines."""
+        cell = StructType([StructField("codigo_match", lines["codigo_match"].dataType), StructField(supplier, lines[supplier].dataType),
+                           StructField("seq", lines[seq].dataType), StructField("neto", DoubleType()), StructField("cant", DoubleType())])
+        empty = spark.createDataFrame([], cell)
+        item = C.with_saving(C.compare(empty, keys=("codigo_match",), supplier=supplier)).schema
+        return Comparison(KeyedTable(spark, f"{root}/celdas", cell, ("codigo_match",), buckets), KeyedTable(spark, f"{root}/items", item, ("codigo_match",), buckets))
+
+    def take(self, lines: DataFrame, lote: int, supplier: str = "prov_id") -> list[int]:
+        """Merge the analysed lines of a batch; late, repeated and replayed lines leave the state of one pass over all."""
+        keys = ("codigo_match", supplier)
+        accepted = lines.filter("estado = 'MATCH'").select(
+            *keys, "seq", F.col("precio").cast("double").alias("neto"), F.col("cant_norm").cast("double").alias("cant"))
+        delta = cut(accepted.groupBy(*keys).agg(F.max_by(F.struct("seq", "neto", "cant"), "seq").alias("v")).select(*keys, "v.*"))
+        self.cells.merge(delta, latest(keys, "seq"), lote)
+        # only the items of the batch are compared again, from their kept cells
+        mine = self.cells.of(delta).join(delta.select("codigo_match").distinct(), "codigo_match", "left_semi")
+        changed = C.with_saving(C.compare(mine, keys=("codigo_match",), supplier=supplier))
+        return self.items.merge(changed, replacing(("codigo_match",)), lote)
+
+
+def analysis_stream(raw: DataFrame, name: str, prepare: Callable[[DataFrame], DataFrame], analyse: Callable[[DataFrame], DataFrame], state: Comparison):
+    """The whole analysis of quote lines as they arrive: extraction, rate, match, unit, routing, then the merged comparison.
+
+    ``prepare`` makes quote lines of a raw batch (a document comes in one batch), ``analyse`` the routed lines of these.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        state.take(cut(analyse(prepare(batch))), batch_id)
+
+    return raw.writeStream.option("checkpointLocation", _checkpoint(raw, name)).foreachBatch(run)
+
+
 def learn_stream(confirmations: DataFrame, name: str, root: str):
     """Each batch writes its counts per alias to a folder of its own; a replay writes the same ones again.
 
@@ -212,6 +257,14 @@ def learned_aliases(base: DataFrame, root: str, since: int = -1, rules=None) ->
     return L.fold_counts(base, counts, rules)
 
 
+def learn_keyed_stream(confirmations: DataFrame, name: str, aliases: KeyedTable, rules=None):
+    """Each batch folds its counts into the buckets of its aliases; a replayed batch changes nothing."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        L.learn_into(aliases, batch, batch_id, rules)
+
+    return confirmations.writeStream.option("checkpointLocation", _checkpoint(confirmations, name)).foreachBatch(run)
+
+
 def compact_aliases(base: DataFrame, root: str, target: str, since: int = -1, rules=None) -> int:
     """Store the table with all counts so far under ``target`` and return the last batch it holds."""
     last = base.sparkSession.read.parquet(root).agg(F.max("lote")).first()[0]

@@ -93,6 +93,15 @@ def arriving(spark, root, schema, batches):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(root)
 
 
+def arriving_frames(spark, root, like, frames):
+    import time
+
+    for df in frames:
+        df.coalesce(1).write.mode("append").parquet(root)
+        time.sleep(1.1)
+    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(root)
+
+
 def test_append_mode_drops_what_is_later_than_the_watermark(spark, tmp_path):
     import datetime as dt
 
@@ -138,3 +147,56 @@ def test_duplicate_upload_counts_once(spark, tmp_path):
         "checkpointLocation", str(tmp_path / "c")).start()
     drain(q)
     assert spark.table("u").count() == e.select("hash").distinct().count()
+
+
+def test_sessions_close_by_count_request_and_timer(spark, tmp_path):
+    import datetime as dt
+
+    at = lambda m: dt.datetime(2024, 1, 1, 8, tzinfo=dt.timezone.utc) + dt.timedelta(minutes=m)
+    doc, ask = "pdf", "listo"
+    batches = [
+        [(at(0), 1, 10, doc), (at(1), 2, 20, doc), (at(2), 3, 30, ask)],
+        [(at(5), 1, 11, doc), (at(6), 1, 12, doc), (at(7), 1, 13, doc), (at(8), 1, 14, doc), (at(9), 1, 15, doc)],  # the fifth closes, one is left
+        [(at(12), 2, 21, doc), (at(13), 2, 22, ask), (at(14), 2, 23, ask), (at(15), 2, 24, doc)],  # a request closes, the next does nothing
+        [(at(100), 4, 40, doc)],  # time goes on: timers close what is open
+        [(at(101), 2, 25, ask), (at(103), 1, 16, doc)],
+        [(at(400), 9, 90, doc)], [(at(500), 9, 91, doc)], [(at(900), 9, 92, ask)],
+    ]
+    stream = arriving(spark, str(tmp_path / "e"), "ts timestamp, user_id int, doc long, tipo string", batches)
+    asked = F.col("tipo") == ask
+    q = W.closing_sessions_stream(stream, "user_id", "doc", asked, "10 minutes").writeStream.outputMode("append").format("memory").queryName("closing").option(
+        "checkpointLocation", str(tmp_path / "c")).start()
+    drain(q)
+    key = lambda df: sorted((r.user_id, r.desde, r.hasta, r.n, tuple(r.docs), r.motivo) for r in df.collect())
+    got = key(spark.table("closing"))
+    want = key(W.closing_sessions(spark.read.parquet(str(tmp_path / "e")), "user_id", "doc", asked))
+    assert got == want
+    assert {(u, d, m) for u, _, _, _, d, m in got} == {
+        (1, (10, 11, 12, 13, 14), "completa"), (1, (15,), "vencida"), (1, (16,), "vencida"), (2, (20, 21), "pedida"), (2, (24,), "vencida"),
+        (4, (40,), "vencida"), (9, (90,), "vencida"), (9, (91,), "vencida")}
+
+
+def test_the_whole_analysis_in_a_stream_equals_the_batch(spark, tmp_path):
+    from quotelens.operators import analysis as A
+    from quotelens.operators import linkage as M
+    from quotelens.plans import QUERIES, analysis as PA
+    from quotelens.plans.linkage import aliases, brands, catalogue, line_text
+    from quotelens.sources.derived import materials
+
+    given = PA.quote_lines(spark, SF)
+    pool = M.build_pool(aliases(spark, SF), catalogue(spark, SF), PA.RULES)
+    conv, rates, marks = PA.conversions(spark, SF), PA.rates(spark, SF), brands(spark, SF)
+    run = lambda x: A.analyse(x, pool, marks, conv, rates, F.col("seq"), PA.RULES).lines
+    schema = run(given.limit(0)).schema
+    state = W.Comparison.at(spark, str(tmp_path / "state"), schema)
+    # two batches out of order, and some lines of the first again in a third
+    folder = str(tmp_path / "in")
+    late = F.pmod(F.hash("line_id"), F.lit(2)) == 0
+    stream = arriving_frames(spark, folder, given, [given.filter(~late), given.filter(late), given.filter(~late).limit(300)])
+    drain(W.analysis_stream(stream, f"a{tmp_path.name}", lambda raw: raw, run, state).start())
+    want = QUERIES["w3_analysed_comparison"](spark, SF)
+    got = state.items.read().select(F.col("codigo_match").alias("codigo"), "n_prov", "mejor_id", "cant", "minimo", "maximo")
+    rounded = lambda df: {tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.collect()}
+    assert rounded(got) == rounded(want.select(got.columns)) and got.count() == want.count() > 0
+    # a replayed batch writes nothing
+    assert state.take(run(given.filter(late)), 1) == []
