@@ -45,7 +45,9 @@ def _whole(text: Column) -> Column:
 def pack_size(desc: Column) -> Column:
     """Pieces per pack: explicit unit, presentation word, or a round number at the end."""
     explicit = _whole(_first(desc, PACK_EXPLICIT))
-    word = F.when(F.regexp_extract(_text(desc), PACK_WORD, 2) == "", _whole(_first(desc, PACK_WORD)))
+    # the unit behind the number is read only where there is a number
+    number = _first(desc, PACK_WORD)
+    word = F.when(number.isNotNull() & (F.regexp_extract(_text(desc), PACK_WORD, 2) == ""), _whole(number))
     tail = _whole(_first(desc, PACK_ROUND))
     return F.coalesce(explicit, word, F.when((tail >= 25) & (tail % 25 == 0), tail))
 

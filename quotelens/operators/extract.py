@@ -324,6 +324,14 @@ def cascade(candidates: DataFrame, fallback: DataFrame, no_price: DataFrame, doc
     return x.select("doc", method.alias("metodo"), F.coalesce("n1", "n2", F.lit(0)).alias("n_items"))
 
 
+def cascade_items(candidates: DataFrame, fallback: DataFrame, no_price: DataFrame, documents: DataFrame) -> DataFrame:
+    """The items of each document's winning method: ``(doc, metodo, cod, desc, cant, pu, total)``; none where no method finds any."""
+    method = cascade(candidates, fallback, no_price, documents).select("doc", "metodo")
+    cols = ["doc", "metodo", "cod", "desc", "cant", "pu", "total"]
+    own = candidates.join(method, ["doc", "metodo"]).select(*cols)
+    return own.unionByName(fallback.join(method.filter("metodo = 'lineas_heuristico'"), "doc").select(*cols))
+
+
 def no_price_documents(lines: DataFrame) -> DataFrame:
     """Quantities without any line price: a CANTIDAD header and five or more bare lines."""
     facts = lines.groupBy("doc").agg(

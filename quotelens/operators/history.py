@@ -41,6 +41,12 @@ def gaps(spread: DataFrame) -> DataFrame:
     return spread.withColumn("brecha", rnd((F.col("maximo") - F.col("minimo")) / F.col("minimo"), 4))
 
 
+def ranked_gaps(spread: DataFrame, *order: str, top: int = 25) -> DataFrame:
+    """The ``top`` largest gaps with their rank, ties by ``order``; only these rows meet in one task."""
+    largest = gaps(spread).orderBy(F.desc("brecha"), *order).limit(top)
+    return largest.withColumn("puesto", F.row_number().over(Window.orderBy(F.desc("brecha"), *order)))
+
+
 def exact_median(df: DataFrame, value: str, *by: str) -> DataFrame:
     """Median per group without holding a group in one place.
 

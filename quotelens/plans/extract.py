@@ -157,6 +157,17 @@ def e10(spark, sf):
                    WHEN doc % 21 = 0 AND count(*) >= 5 THEN 'sin_precios' ELSE 'desconocido' END AS metodo,
          CASE WHEN doc % 14 = 0 OR doc % 7 <> 0 THEN count(*) ELSE 0 END AS n_items FROM items GROUP BY doc"""))
 def e11(spark, sf):
+    return E.cascade(*methods(spark, sf))
+
+
+@query("e11_cascade_items", on("items", sql="""
+  SELECT doc, CASE WHEN doc % 7 = 0 THEN 'lineas_heuristico' WHEN doc % 3 <> 1 THEN 'tablas' ELSE 'regex' END AS metodo, pu,
+         CASE WHEN doc % 7 = 0 THEN 1.0 ELSE CAST(cant AS DOUBLE) END AS cant FROM items WHERE doc % 7 <> 0 OR doc % 14 = 0"""))
+def e11_items(spark, sf):
+    return E.cascade_items(*methods(spark, sf)).select("doc", "metodo", "pu", F.col("cant").cast("double").alias("cant"))
+
+
+def methods(spark, sf):
     x = items(spark, sf).select("doc", "pos", "cod", F.col("descr").alias("desc"), "cant", "pu", rnd(F.col("pu") * F.col("cant")).alias("total"))
     some = x.filter("doc % 7 <> 0")
     a = some.filter("doc % 3 <> 1").withColumn("metodo", F.lit("tablas")).withColumn("prio", F.lit(1))
@@ -164,7 +175,7 @@ def e11(spark, sf):
     b = some.filter("doc % 3 <> 2").withColumn("metodo", F.lit("regex")).withColumn("prio", F.lit(0)).withColumn("total", F.col("total") * 10)
     bare = x.filter("doc % 21 = 0 and doc % 14 <> 0").select("doc", F.col("pos").alias("line_no"), F.concat_ws(" ", "desc", F.lit("CANTIDAD 5 unidades")).alias("line"))
     free = x.filter("doc % 14 = 0").select("doc", F.concat_ws(" ", "desc", F.format_string("%.2f", "pu")).alias("line"), F.col("pos").alias("line_no"))
-    return E.cascade(a.unionByName(b), E.free_lines(free), E.no_price_documents(bare), x.select("doc").distinct())
+    return a.unionByName(b), E.free_lines(free), E.no_price_documents(bare), x.select("doc").distinct()
 
 
 @query("e12_no_price_document", on("items", sql="""

@@ -93,6 +93,19 @@ def h6(spark, sf):
     return H.gap_index(spread(spark, sf).join(basket, "codigo", "left_semi"), "codigo")
 
 
+@query("h6_basket_ranking", on("spread", sql="""
+  SELECT * FROM (SELECT codigo, anio, moneda, b AS brecha, row_number() OVER (ORDER BY b DESC, codigo, anio, moneda) AS puesto
+                 FROM (SELECT *, floor((maximo - minimo) / minimo * 10000.0 + 0.5) / 10000.0 AS b FROM spread JOIN part ON codigo = p_partkey AND p_size <= 5))
+  WHERE puesto <= 25"""))
+def h6_ranking(spark, sf):
+    """The basket's materials by gap, a report of 25."""
+    from ..sources.views import table
+
+    basket = table(spark, sf, "part").filter("p_size <= 5").select(F.col("p_partkey").alias("codigo"))
+    r = H.ranked_gaps(spread(spark, sf).join(basket, "codigo", "left_semi"), "codigo", "anio", "moneda")
+    return r.select("codigo", "anio", "moneda", "brecha", "puesto")
+
+
 @query("h7_sensitivity", on("spread", sql="""
   WITH g AS (SELECT floor((maximo - minimo) / minimo * 10000.0 + 0.5) / 10000.0 AS b, codigo % 5 = 0 AS marca FROM spread),
   c AS (SELECT 'todos' AS corte, b FROM g UNION ALL SELECT 'sin_banda_iva', b FROM g WHERE NOT (b BETWEEN 0.08 AND 0.13)

@@ -131,11 +131,38 @@ def s9(spark, sf):
     pair = lambda a, b: F.when(turned, F.array(a, F.lit("x"), b)).otherwise(F.array(b, a))
     head = q.select(F.col("line_id").alias("archivo"), F.lit(0).alias("fila"), pair(F.lit("Cod interno prop."), F.lit("Desc proveedor")).alias("celdas"))
     body = q.select(F.col("line_id").alias("archivo"), F.lit(1).alias("fila"), pair(code, F.upper("p_name")).alias("celdas"))
-    rows = head.unionByName(body)
+    return _drafts(spark, sf, head.unionByName(body))[0].drop("origen")
+
+
+def _drafts(spark, sf, rows):
+    """Rows of draft sheets with their columns found by name; the sheet's supplier is in ``proveedor`` where there is one."""
     h = S.fragment_columns(rows, {"cod": "COD INTERNO PROP", "desc": "DESC PROVEEDOR"})
     x = rows.join(h, "archivo").filter("fila > cabecera")
-    data = x.select(F.get("celdas", F.col("i_cod")).try_cast("bigint").alias("codigo"), F.get("celdas", F.col("i_desc")).alias("desc"), F.lit("").alias("proveedor"), F.col("archivo").alias("seq"))
-    return I.import_equivalences(data, materials(spark, sf), 90)[0].drop("origen")
+    data = x.select(F.get("celdas", F.col("i_cod")).try_cast("bigint").alias("codigo"), F.get("celdas", F.col("i_desc")).alias("desc"),
+                    F.col("proveedor") if "proveedor" in rows.columns else F.lit("").alias("proveedor"), F.col("archivo").alias("seq"))
+    return I.import_equivalences(data, materials(spark, sf), 90)
+
+
+def supplier_drafts(spark, sf):
+    """One sheet a supplier in each draft; the first row of each has no code."""
+    q = lines(spark, sf).join(materials(spark, sf).select("codigo", "p_name"), "codigo").join(suppliers(spark, sf).select("prov_id", "proveedor"), "prov_id")
+    code = F.when(F.col("line_no") > 1, F.col("codigo").cast("string")).otherwise("")
+    both = F.array(F.struct(F.lit(0).alias("fila"), F.array(F.lit("DESC PROVEEDOR"), F.lit("COD INTERNO PROP")).alias("celdas")),
+                   F.struct(F.lit(1).alias("fila"), F.array(F.upper("p_name"), code).alias("celdas")))
+    rows = q.select(F.col("line_id").alias("archivo"), "proveedor", F.explode(both).alias("f")).select("archivo", "proveedor", "f.*")
+    return _drafts(spark, sf, rows)
+
+
+@query("s9_drafts_by_supplier", on("quotes", sql="""
+  SELECT codigo, lower(p_name) AS denominacion, 90 AS confianza, arg_min('equivalencias_' || lower(proveedor), line_id) AS origen FROM quotes WHERE line_no > 1 GROUP BY ALL"""))
+def s9_suppliers(spark, sf):
+    return supplier_drafts(spark, sf)[0]
+
+
+@query("s9_rejected_counts", on("quotes", sql="""
+  SELECT CASE WHEN line_no = 1 THEN 'vacio' ELSE 'entra' END AS motivo, count(*) AS n FROM quotes GROUP BY 1"""))
+def s9_rejected(spark, sf):
+    return supplier_drafts(spark, sf)[1]
 
 
 def decisions(spark, sf):

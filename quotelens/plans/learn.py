@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import learn as L
+from ..operators.curation import curate_pending
 from ..operators.keyed import KeyedTable, latest
 from ..session import new_folder
 from ..sources.derived import lines, materials
@@ -140,6 +141,42 @@ def l6(spark, sf):
     return L.curate_batch(plan, aliases)
 
 
+CURATED = """
+  WITH t AS (SELECT codigo, texto, regexp_replace(lower(texto), '[^a-z0-9]', '', 'g') AS kk FROM texts),
+  d AS (SELECT codigo AS orden, codigo, CASE WHEN codigo % 2 = 0 THEN substr(texto, 1, 14) ELSE texto || ' extra' END AS dec, codigo % 3 = 1 AS rechazar FROM t WHERE codigo % 3 <> 2),
+  k AS (SELECT *, regexp_replace(lower(dec), '[^a-z0-9]', '', 'g') AS k FROM d),
+  p AS (SELECT kk, min(codigo) AS pos, count(*) AS n_ids FROM t GROUP BY kk),
+  r AS (SELECT k, arg_min(kk, (k <> kk, pos)) AS kk FROM (SELECT DISTINCT k FROM k) JOIN p ON starts_with(kk, k) OR starts_with(k, kk) GROUP BY k)"""
+
+
+def curated(spark, sf):
+    """Review rows are the materials' texts; two in three have a decision, by a shortened or lengthened text, one of them a rejection."""
+    from .linkage import line_text
+
+    m = materials(spark, sf).withColumn("texto", line_text())
+    k = F.col("codigo")
+    short = F.when(k % 2 == 0, F.substring("texto", 1, 14)).otherwise(F.concat("texto", F.lit(" extra")))
+    pending = m.select(k.alias("id"), F.col("texto").alias("descripcion_original"), k.alias("orden"))
+    decisions = m.filter("codigo % 3 <> 2").select(short.alias("texto"), "codigo", (k % 3 == 1).alias("rechazar"), k.alias("orden"))
+    return curate_pending(pending, decisions, m.filter("codigo % 8 = 0").select("codigo", F.lower("texto").alias("denominacion")))
+
+
+@query("l6_curated_pending", on("texts", sql=CURATED + """,
+  w AS (SELECT kk, arg_max(rechazar, (rechazar, orden)) AS rechazar, arg_max(codigo, (rechazar, orden)) AS cod FROM k JOIN r USING (k) GROUP BY kk)
+  SELECT t.codigo AS id, CASE WHEN rechazar IS NULL THEN 'PENDIENTE' WHEN rechazar THEN 'RECHAZADO' ELSE 'VALIDADO' END AS estado,
+         CASE WHEN NOT rechazar THEN cod END AS codigo_asignado FROM t LEFT JOIN w USING (kk)"""))
+def l6_pending(spark, sf):
+    return curated(spark, sf)[0]
+
+
+@query("l6_curated_aliases", on("texts", sql=CURATED + """,
+  a AS (SELECT codigo, lower(trim(dec)) AS denominacion, CAST(sum(n_ids) AS BIGINT) AS frecuencia FROM k JOIN r USING (k) JOIN p USING (kk) WHERE NOT rechazar GROUP BY ALL)
+  SELECT a.*, 96 AS confianza, CASE WHEN t.codigo IS NULL THEN 'nuevo' ELSE 'duplicado' END AS accion
+  FROM a LEFT JOIN (SELECT codigo, lower(texto) AS denominacion FROM t WHERE codigo % 8 = 0) t USING (codigo, denominacion)"""))
+def l6_aliases(spark, sf):
+    return curated(spark, sf)[1]
+
+
 @query("l7_code_absorption", """
   SELECT CASE WHEN p_partkey % 5 = 3 THEN p_partkey - 3 ELSE p_partkey END AS codigo, p_name AS denominacion, CAST(sum(p_size) AS BIGINT) AS frecuencia,
          max(CAST(80 + p_partkey % 15 AS INTEGER)) AS confianza FROM part GROUP BY 1, 2""")

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import exact_sum, rnd
+from ..operators import linkage as M
 from ..operators import reports as R
 from ..sources.derived import lines, materials
 from ..sources.views import table
+from .extract import FORMAT_SQL, e2
+from .linkage import STATS_SQL, routed_lines
 from .registry import on, query
 from .text import customer_region
 
@@ -169,3 +172,12 @@ def h25(spark, sf):
 def h25_top(spark, sf):
     n = usable_aliases(spark, sf).groupBy("codigo").agg(F.count("*").alias("n"))
     return n.orderBy(F.desc("n"), "codigo").limit(10)
+
+
+@query("h26_match_rate_with_method", on("routed", "items", sql=f"""
+  WITH s AS ({STATS_SQL.format(by="doc")}), f AS (SELECT doc, {FORMAT_SQL} AS metodo FROM items GROUP BY doc)
+  SELECT s.*, metodo FROM s LEFT JOIN f USING (doc)"""))
+def h26_method(spark, sf):
+    """Match rate of each document beside the format its lines were read with."""
+    method = e2(spark, sf).select("doc", F.col("formato").alias("metodo"))
+    return M.match_stats(routed_lines(spark, sf), "doc").join(method, "doc", "left")

@@ -172,3 +172,39 @@ def test_recall_on_misspelt_texts(spark, typos):
     nine, first = recall(spark, random.Random(21), names, typos)
     print("recall", typos, round(nine, 4), round(first, 4))
     assert nine >= 0.99 and first >= 0.99
+
+
+def test_first_generation_match_equals_brute_force(spark):
+    draw = random.Random(17)
+    words = ["CANO", "CODO", "UNION", "TUBO", "ROSCA", "PVC", "GAS", "20", "25", "3/4", "CHAPA", "LISA"]
+    text = lambda: " ".join(draw.sample(words, draw.randrange(2, 6)))
+    items = [(i, ("SANITARIO", "TECHO", "RARO")[0 if i % 20 else 2] if i % 3 else "TECHO", draw.choice(["", "VARIOS", "TUBO"]), text()) for i in range(60)]
+    lines = [(i, text() if i % 9 else items[i][3], f"c{i}", draw.choice(["SANITARIO", "TECHO", "RARO", "OTRO"])) for i in range(50)]
+    equiv = [(f"c{i}", (i * 7) % 60) for i in range(0, 50, 4)] + [(lines[3][1], 5)]
+    got = {}
+    for r in M.match_v1(spark.createDataFrame(lines, "linea long, texto string, cod_prov string, rubro_prov string"),
+                        spark.createDataFrame(items, "codigo long, rubro string, marca string, nombre string"),
+                        spark.createDataFrame(equiv, "clave string, cod_int long")).collect():
+        got.setdefault(r.linea, []).append((r["rank"], r.codigo, r.score, r.origen))
+    # the plain score of each pair of line and item, one by one
+    pairs = [(n, i, t, name, brand) for n, t, _, _ in lines for i, _, brand, name in items]
+    df = spark.createDataFrame(pairs, "linea long, codigo long, p string, m_text string, marca string").withColumn("p", M.T.normalize(F.col("p"))).withColumn("m_text", M.T.normalize(F.col("m_text")))
+    extra = {(r.linea, r.codigo): r.x for r in df.select("linea", "codigo", (
+        M.T.number_overlap(M.T.numbers(F.col("p")), M.T.numbers(F.col("m_text"))) * 20 + M.T.keyword_bonus(F.col("p"), F.col("m_text"))
+        + F.when(~F.upper("marca").isin("", "VARIOS") & F.contains("p", F.upper("marca")), 8).when(
+            F.arrays_overlap(M.T.brand_groups_v1(F.col("p")), M.T.brand_groups_v1(F.col("m_text"))), 5).otherwise(0)).alias("x")).collect()}
+    known = dict(equiv)
+    for n, t, code, rubro in lines:
+        confirmed = known.get(code, known.get(t))
+        scope = [i for i in items if i[1] == rubro]
+        if confirmed is not None and items[confirmed][1] != rubro:
+            scope.append(items[confirmed])
+        if len(scope) < 5:
+            scope = items
+        want = []
+        for i, _, _, name in scope:
+            base = token_set_score(t, name) * 0.5 + partial_score(t, name) * 0.3 + extra[n, i]
+            score = int(min(100.0, max(0.0, base)) * 10 + 0.5) / 10
+            want.append((-(max(score, 90.0) if i == confirmed else score), i, "EQUIV" if i == confirmed else "IA"))
+        best = [(k, i, -s, o) for k, (s, i, o) in enumerate(sorted(want)[:3], 1)]
+        assert sorted(got[n]) == [(k, i, pytest.approx(s), o) for k, i, s, o in best], n
