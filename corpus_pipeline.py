@@ -12,13 +12,10 @@ from pyspark.sql import functions as F
 from quotelens.llm import bpe, decontaminate, langid, linededup, ngramjoin
 from quotelens.llm.work import stored
 
-# a document of which no language holds this share of the letters goes
-MIN_SHARE = 0.5
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters or without a main language go; a missing label is filled in."""
-    found = langid.identify_documents(docs).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("lang_share") >= MIN_SHARE))
+    """Documents without letters, in which no language is found, go; a missing label is filled in."""
+    found = langid.identify_documents(docs).where(F.col("lang_pred") != langid.UNKNOWN)
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
