@@ -231,15 +231,15 @@ def with_similar_words(sig: DataFrame, other: DataFrame, key: str, least: float
 
 
 def best_aliases(texts: DataFrame, pool: DataFrame, window: int = 9, cutoff: float = CUTOFF, scorer: str = "token",
-                 stages: tuple[float, ...] = (80.0, 64.0), similar_cutoff: float = 36.0) -> DataFrame:
+                 stages: tuple[float, ...] = (80.0, 64.0), similar_cutoff: float = CUTOFF) -> DataFrame:
     """Best ``window`` aliases per token set; ties by confidence, then pool order.
 
     A text that already has ``window`` aliases at a high cutoff cannot gain from a
     lower one, so only the others go on to the next stage. The result is that of
     one pass at ``cutoff``. The character scorer may lift any candidate, so it
     runs in one stage on all pairs whose tokens reach ``similar_cutoff`` when a token counts
-    as shared also where a similar one stands (see :func:`similar_words`); it is below
-    ``cutoff`` because letters of unlike words add to the score.
+    as shared also where a similar one stands (see :func:`similar_words`). A value below
+    ``cutoff`` finds more, as letters of unlike words add to the score, and costs more pairs.
     """
     order = (F.desc("conf"), F.asc("alias_id"))
     # an alias set can give at most `window` of its copies

@@ -149,7 +149,7 @@ def recall(spark, draw, names, typos):
     p = spark.createDataFrame(rows, "alias_id long, codigo string, norm string, conf int").withColumn("denominacion", F.col("norm")).withColumn(
         "nums", F.array().cast("array<string>")).withColumn("sintetico", F.lit(False)).withColumn("calif", F.array().cast("array<string>"))
     got = {}
-    for r in M.best_aliases(t, p, scorer="indel").collect():
+    for r in M.best_aliases(t, p, scorer="indel", similar_cutoff=36.0).collect():
         got.setdefault(r.tkey, {})[r.previo] = (r.alias_id, r.score)
     found = total = first = 0
     keys = [" ".join(sorted(set(n.split()))) for n in names]
