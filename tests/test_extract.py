@@ -1,6 +1,9 @@
 """Formats, repairs and fallbacks on single lines and small documents."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from quotelens.operators import extract as E
 
@@ -107,3 +110,26 @@ def test_vat_regime_reads_total_on_the_next_line(spark):
 def test_free_line(spark):
     r = E.free_lines(docs(spark, "Arena fina lavada 12 350,50", "Solo 5", "12345 99,00")).collect()
     assert [(x.desc, x.cant, x.pu) for x in r] == [("Arena fina lavada", 12.0, 350.5)]
+
+
+def test_offered_formats_leave_out_no_match(spark):
+    rng = random.Random(7)
+    pieces = [t for l in LINES for t in l[0].split()] + ["$", "-", "%", "M2", "Unidades", "A CONFIRMAR", "1.000,00", "10.00", "1,5"]
+    texts = [l[0] for l in LINES]
+    for _ in range(1500):  # tokens changed, left out, repeated and glued; odd white space
+        toks = rng.choice(LINES)[0].split()
+        for _ in range(rng.randrange(4)):
+            i = rng.randrange(len(toks))
+            toks[i : i + rng.randrange(2)] = rng.choice([[rng.choice(pieces)], [], [toks[i], toks[i]], [toks[i].replace("$", "$ ")], [toks[i].lower()]])
+            toks = toks or ["1"]
+        texts.append("".join(t + rng.choice([" "] * 8 + ["  ", "\t", " ", ""]) for t in toks))
+    df = E.with_shape(spark.createDataFrame([(t,) for t in texts], "line string"))
+    fits = F.array(*[F.when(F.col("line").rlike(rx), F.lit(i)) for i, (_, rx, _) in enumerate(E.FORMATS)])
+    rows = df.select("line", E.offered().alias("o"), F.array_compact(fits).alias("f")).collect()
+    assert all(set(r.f) <= set(r.o) for r in rows), [r for r in rows if not set(r.f) <= set(r.o)][:3]
+    assert {i for r in rows for i in r.f} == set(range(len(E.FORMATS))) and sum(len(r.f) for r in rows) > 500
+
+
+def test_lines_are_offered_at_most_three_formats(spark):
+    lines = E.with_shape(docs(spark, *[l[0] for l in LINES], "Forma de pago: contado 10", "TOTAL $ 1.000,00", "13.2m2 ISOVER"))
+    assert lines.select(F.avg(F.size(E.offered()))).first()[0] <= 3
