@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
@@ -35,22 +37,66 @@ def synonym_rules(extra: dict[str, str] | None = None, base: dict[str, str] | No
     return sorted(merged.items(), key=lambda kv: -len(kv[0]))
 
 
+class Cascade:
+    """Ordered synonym rules compiled once: `fold` gives what passing over all rules in order gives, but visits only rules
+    that can apply.
+
+    Terms lie in a trie over their words. A term can only stand where all its words stand in a row, so one walk over the
+    words of the text finds the rules to try, lowest place first; each replacement can only bring rules of later places.
+    """
+
+    def __init__(self, rules: list[tuple[str, str]]):
+        self.rules = [(term, re.compile(r"\b" + re.escape(term) + r"\b"), canon) for term, canon in rules]
+        self.trie: dict = {}
+        self.wordless = []
+        for i, (term, _) in enumerate(rules):
+            words = WORD.findall(term)
+            if not words:
+                self.wordless.append(i)
+                continue
+            node = self.trie
+            for w in words:
+                node = node.setdefault(w, {})
+            node.setdefault(None, []).append(i)
+
+    def places(self, text: str) -> set[int]:
+        """Rules whose words stand in a row somewhere in the text."""
+        words = WORD.findall(text)
+        found = set(self.wordless)
+        for i, w in enumerate(words):
+            node, j = self.trie.get(w), i
+            while node is not None:
+                found.update(node.get(None, ()))
+                j += 1
+                node = node.get(words[j]) if j < len(words) else None
+        return found
+
+    def fold(self, text: str | None) -> str | None:
+        if text is None:
+            return None
+        waiting = sorted(self.places(text), reverse=True)
+        while waiting:
+            i = waiting.pop()
+            _, pattern, canon = self.rules[i]
+            text, n = pattern.subn(lambda _, c=canon: c, text)
+            if n:
+                waiting = sorted((k for k in self.places(text) if k > i), reverse=True)
+        return text
+
+
+WORD = re.compile(r"\w+")
+
+
 def synonym_folder(rules: list[tuple[str, str]]):
-    """Arrow UDF over texts that are already upper case and free of accents."""
+    """Arrow UDF over texts that are already upper case and free of accents; equal texts of a batch are folded once."""
 
     @F.pandas_udf(StringType())
-    def fold(texts: pd.Series) -> pd.Series:
-        compiled = [(term, re.compile(r"\b" + re.escape(term) + r"\b"), canon) for term, canon in rules]
-
-        def one(s):
-            if s is None:
-                return None
-            for term, rx, canon in compiled:
-                if term in s:
-                    s = rx.sub(canon, s)
-            return s
-
-        return texts.map(one)
+    def fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cascade = Cascade(rules)
+        for texts in batches:
+            codes, distinct = pd.factorize(texts)
+            folded = np.array([cascade.fold(t) for t in distinct] + [None], dtype=object)
+            yield pd.Series(folded[codes])
 
     return fold
 

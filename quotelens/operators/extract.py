@@ -151,9 +151,10 @@ def parse_lines(lines: DataFrame, *carry: str) -> DataFrame:
     few = with_shape(numbered).select("doc", "line_no", *carry, "line", F.explode(offered()).alias("prio"))
     hits = few.select("doc", "line_no", *carry, F.explode_outer(F.filter(tried, lambda t: F.size(t["g"]) == 7)).alias("t")).filter("t is not null")
     field = lambda i: F.trim(F.col("t.g")[i])
-    x = hits.select(
-        "doc", "line_no", *carry, F.col("t.prio").alias("prio"), F.col("t.formato").alias("formato"), field(0).alias("cod"), field(1).alias("desc"),
-        parse_number(field(2)).alias("cant"), parse_number(field(3)).alias("pu"), parse_number(field(4)).alias("total"),
+    # a row of its own for the numbers, so that the filter at the end does not parse them a second time
+    amounts = F.struct(*[parse_number(field(i)).alias(c) for i, c in ((2, "cant"), (3, "pu"), (4, "total"))])
+    x = hits.select("doc", "line_no", *carry, "t", F.explode_outer(F.array(amounts)).alias("n")).select(
+        "doc", "line_no", *carry, F.col("t.prio").alias("prio"), F.col("t.formato").alias("formato"), field(0).alias("cod"), field(1).alias("desc"), "n.*",
         F.upper(F.regexp_replace(field(5), r"^\.+|\.+$", "")).alias("unidad"), field(6).alias("marca"))
     f = F.col("formato")
     glued = r"(?U)^(.+?\d)([A-ZÁÉÍÓÚÑ]{3,})$"

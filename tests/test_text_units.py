@@ -1,5 +1,9 @@
 """Text preparation, detectors and unit conversion on literals."""
 
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +83,51 @@ def test_unit_conversion(spark):
         assert (r.pu_norm, r.unidad_final, r.ambigua) == (pytest.approx(norm, abs=1e-3), unit, unclear), desc
         # the line total survives
         assert r.pu_norm * r.cant_norm == pytest.approx(pu * cant, rel=1e-4)
+
+
+def in_order(rules, text):
+    for term, canon in rules:
+        text = re.sub(r"\b" + re.escape(term) + r"\b", lambda _: canon, text)
+    return text
+
+
+def test_cascade_equals_the_ordered_pass():
+    rng = random.Random(3)
+    words = ["A", "B", "C", "AB", "Ñ", "1", "A1"]
+
+    def phrase(most, gaps=(" ", " ", " ", "-", "  ", "/", " ")):
+        return "".join(rng.choice(words) + rng.choice(gaps) for _ in range(rng.randrange(1, most + 1)))
+
+    for _ in range(400):
+        pairs = {rng.choice(["", "", "-", "("]) + phrase(3).strip() + rng.choice(["", "", "-", ")"]): rng.choice(["", phrase(3).strip(), "-A", "B-"])
+                 for _ in range(rng.randrange(1, 12))}
+        rules = T.synonym_rules(pairs, base={})
+        cascade = T.Cascade(rules)
+        for _ in range(20):
+            text = phrase(12)
+            assert cascade.fold(text) == in_order(rules, text), (rules, text)
+
+
+def test_cascade_over_the_fixed_list():
+    rng = random.Random(4)
+    rules = T.synonym_rules()
+    cascade = T.Cascade(rules)
+    bits = [w for term, canon in rules for w in (term, canon, *term.split())] + ["8", "X", "DE", "/", ","]
+    for _ in range(3000):
+        text = " ".join(rng.choice(bits) for _ in range(rng.randrange(9)))
+        assert cascade.fold(text) == in_order(rules, text)
+    assert cascade.fold("") == "" and cascade.fold(None) is None
+
+
+def test_cascade_is_linear_in_the_text():
+    cascade = T.Cascade(T.synonym_rules())
+    text = "POLIETILENO DE ALTA BARRA VARILLA 8 X 12 " * 25_000  # a million characters that begin terms and end none
+    start = time.perf_counter()
+    assert cascade.fold(text) == text
+    assert time.perf_counter() - start < 10
+
+
+def test_synonym_folder_keeps_nulls_and_repeats(spark):
+    fold = T.synonym_folder(T.synonym_rules({"BOLT": "SCREW"}, base={}))
+    df = spark.createDataFrame([(1, "BOLT 8"), (2, None), (3, ""), (4, "BOLT 8")], "i int, t string").coalesce(1)
+    assert [r.x for r in df.orderBy("i").select(fold("t").alias("x")).collect()] == ["SCREW 8", None, "", "SCREW 8"]
