@@ -54,6 +54,34 @@ def t2(spark, sf):
     return materials(spark, sf).select("codigo", fold(F.upper(F.concat_ws(" ", "p_name", "p_type"))).alias("texto"))
 
 
+FIXED = T.synonym_rules()
+
+
+def _terms(pick: str) -> str:
+    return "[" + ", ".join(f"'{t}'" for t, _ in FIXED) + f"][1 + {pick} % {len(FIXED)}]"
+
+
+def _folded(text: str) -> str:
+    """All rules of the fixed list in order; words stand between two blanks each, so plain replacements see whole words."""
+    wide = lambda s: " " + s.replace(" ", "  ") + " "
+    out = f"' ' || replace({text}, ' ', '  ') || ' '"
+    for term, canon in FIXED:
+        out = f"replace({out}, '{wide(term)}', '{wide(canon)}')"
+    return f"replace(trim({out}), '  ', ' ')"
+
+
+@query("t2_synonym_fixed_list", f"""
+  WITH r AS (SELECT p_partkey AS codigo, upper(p_name) || ' ' || {_terms('p_partkey')} || ' ' || upper(p_type) || ' ' || {_terms('p_partkey * 7')} || ' '
+                    || {_terms('(p_partkey * 7 + 1)')} AS t FROM part)
+  SELECT codigo, {_folded('t')} AS texto FROM r""")
+def t2_fixed(spark, sf):
+    """Two neighbouring terms at the end can join into a longer one."""
+    k = F.col("codigo")
+    term = lambda pick: F.element_at(F.array(*[F.lit(t) for t, _ in FIXED]), (1 + pick % len(FIXED)).cast("int"))
+    text = F.concat_ws(" ", F.upper("p_name"), term(k), F.upper("p_type"), term(k * 7), term(k * 7 + 1))
+    return materials(spark, sf).select("codigo", T.synonym_folder(FIXED)(text).alias("texto"))
+
+
 @query("t3_prep", """
   SELECT p_partkey AS codigo, lower(p_name) || ' ' || p_size || ' x 1.5 mm ' || CASE WHEN p_partkey % 2 = 0 THEN 'pgc 100 x 0.94' ELSE 'x 2.5 x 3' END AS norm FROM part""")
 def t3(spark, sf):
