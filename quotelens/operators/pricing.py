@@ -57,26 +57,41 @@ def reprice_saved(lines: DataFrame, overrides: DataFrame) -> DataFrame:
     )
 
 
-def rate_calendar(rates: DataFrame) -> DataFrame:
-    """One row per currency and day, each day carrying the latest earlier rate.
+def rate_cells(rates: DataFrame, wanted: DataFrame, seconds: int) -> DataFrame:
+    """``(moneda, celda, propias, antes)`` for each ``(moneda, celda)`` of `wanted`: the rates inside that stretch of time
+    in order, and the last rate before it.
 
-    The window runs over the rate table only (one row per currency and day), so
-    its partitions stay small however many documents are priced.
+    Stretches without rates are never spelled out. The window runs over one row per currency and stretch that occurs.
     """
-    w = Window.partitionBy("moneda").orderBy("fecha")
-    until = F.coalesce(F.date_sub(F.lead("fecha").over(w), 1), F.col("fecha"))
-    return rates.withColumn("hasta", until).select(
-        "moneda", "venta", F.explode(F.sequence("fecha", "hasta", F.expr("interval 1 day"))).alias("dia")
-    )
+    # of several rates of one moment the highest counts
+    moments = rates.filter("fecha is not null and venta is not null").groupBy("moneda", F.col("fecha").cast("timestamp").alias("desde")).agg(
+        F.max("venta").alias("venta"))
+    own = moments.withColumn("celda", time_cell(F.col("desde"), seconds)).groupBy("moneda", "celda").agg(
+        F.sort_array(F.collect_list(F.struct("desde", "venta"))).alias("propias"))
+    both = wanted.select("moneda", "celda").distinct().withColumn("pedida", F.lit(True)).join(own, ["moneda", "celda"], "full_outer")
+    earlier = Window.partitionBy("moneda").orderBy("celda").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.withColumn("antes", F.last(F.element_at("propias", -1)["venta"], ignorenulls=True).over(earlier))
+    return carried.filter("pedida").select("moneda", "celda", "propias", "antes")
+
+
+def time_cell(moment: Column, seconds: int) -> Column:
+    return F.floor(F.unix_seconds(moment) / seconds)
 
 
-def convert_currency(lines: DataFrame, rates: DataFrame, base: str = "ARS") -> DataFrame:
-    """As-of conversion; a foreign line without a rate or a date keeps a null price and is flagged. A null currency is `base`."""
+def convert_currency(lines: DataFrame, rates: DataFrame, base: str = "ARS", seconds: int = 3600) -> DataFrame:
+    """As-of conversion with the last rate at or before the line's moment; dates count as their midnight. A foreign line
+    without a rate or a date keeps a null price and is flagged. A null currency is `base`. Rates without a moment or a value don't count.
+
+    Lines meet the rates of their own stretch of `seconds` by equality, which carries the last earlier rate, so rates may come by the
+    minute and a busy stretch is split like any skewed join: the side of the rates has one row a stretch.
+    """
     lines = lines.withColumn("moneda", F.coalesce("moneda", F.lit(base)))
-    bounds = rates.groupBy("moneda").agg(F.max("fecha").alias("ultimo_dia"))
-    keyed = lines.join(bounds, "moneda", "left").withColumn(
-        "dia", F.when(F.col("fecha").isNotNull(), F.least(F.to_date("fecha"), F.col("ultimo_dia"))))
-    priced = keyed.join(rate_calendar(rates), ["moneda", "dia"], "left")
+    at = F.col("fecha").cast("timestamp")
+    keyed = lines.withColumn("celda", time_cell(at, seconds))
+    cells = rate_cells(rates, keyed.filter((F.col("moneda") != base) & F.col("celda").isNotNull()), seconds)
+    priced = keyed.join(cells, ["moneda", "celda"], "left")
+    inside = F.filter("propias", lambda r: r["desde"] <= at)
+    priced = priced.withColumn("venta", F.coalesce(F.try_element_at(inside, F.lit(-1))["venta"], F.col("antes")))
     home = F.col("moneda") == base
     return priced.select(
         *lines.columns,

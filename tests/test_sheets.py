@@ -74,6 +74,25 @@ def test_undated_and_unnamed_currencies(spark):
     assert got == {1: (None, "SIN_TC", "USD"), 2: (9000.0, "OK", "USD"), 3: (10.0, "OK", "ARS")}
 
 
+def test_rates_by_the_minute_against_a_plain_search(spark):
+    rng = random.Random(5)
+    zero = datetime.datetime(1969, 12, 31, 22, 0)
+    moment = lambda: zero + datetime.timedelta(minutes=rng.randrange(6000) // rng.choice([1, 60]) * rng.choice([1, 1, 5]))
+    quoted = [(rng.choice(["USD", "EUR"]), moment(), float(rng.randrange(1, 99))) for _ in range(80)] + [("USD", None, 5.0), ("EUR", moment(), None)]
+    asked = [(i, 2.0, moment(), rng.choice(["USD", "EUR", "ARS", "JPY"])) for i in range(300)]
+    lines = spark.createDataFrame(asked, "id long, pu double, fecha timestamp, moneda string")
+    rates = spark.createDataFrame(quoted, "moneda string, fecha timestamp, venta double")
+    expected = {}
+    for i, _, at, name in asked:
+        known = [(m, v) for c, m, v in quoted if c == name and m is not None and v is not None and m <= at]
+        expected[i] = max(known)[1] if known else None
+    for seconds in (60, 3600, 86400):
+        got = P.convert_currency(lines, rates, seconds=seconds).collect()
+        assert {r.id: r.tc for r in got} == expected and len(got) == len(asked)
+    assert P.convert_currency(lines.limit(0), rates).count() == 0
+    assert {r.estado_tc for r in P.convert_currency(lines, rates.limit(0)).collect()} == {"OK", "SIN_TC"}
+
+
 def test_aliases_that_begin_alike(spark):
     aliases = spark.createDataFrame([(f"SUPPLIER {i:03d}", f"c{i}", i) for i in range(300)] + [("SU", "corto", 999)], "alias string, canonico string, orden long")
     texts = spark.createDataFrame([(k, f"presupuesto supplier {k:03d} y supplier") for k in range(40)] + [(99, "su casa"), (100, "nada")], "doc long, texto string")
