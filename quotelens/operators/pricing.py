@@ -150,38 +150,46 @@ def repair_fraction(precio: Column, cant: Column) -> tuple[Column, Column]:
     return F.when(broken, rnd(precio * cant, 4)).otherwise(precio), F.when(broken, F.lit(1.0)).otherwise(cant)
 
 
-def total_as_unit_price(items: DataFrame, tol: float = 0.005) -> DataFrame:
+def total_as_unit_price(items: DataFrame, tol: float = 0.005, steps: int = 16) -> DataFrame:
     """Lines whose unit price is really the net line total of a twin line.
 
-    ``items(id, texto, precio, cant)``. The test looks at (quantity, text, price)
-    only, so copies collapse first; the price relation is part of the join key,
-    which keeps the pairs within one quantity and text prefix few.
+    ``items(id, texto, precio, cant)``. The test looks at (quantity, text, price) only, so copies collapse first. Prices lie
+    on a grid of `steps` cells per tolerance. Of a cell that lies inside the band as a whole only its least twin counts, so
+    however many prices one item has, a line meets about two cells a step; only the cells at the band's two ends are
+    compared price by price.
     """
-    width = math.log(1 + tol * 1.2)
-    bucket = lambda c: F.floor(F.log(c) / F.lit(width))
+    width = math.log1p(tol) / steps
+    cell = lambda c: F.floor(F.log(c) / F.lit(width))
+    wide = 4 * steps
     shape = items.select(
         "id", "cant", "precio", F.regexp_replace(F.lower("texto"), r"\s+", "").alias("clave")
     ).filter((F.col("precio") > 0) & (F.col("cant") > 0) & (F.length("clave") >= 8))
-    distinct = shape.groupBy("cant", "clave", "precio").agg(F.min("id").alias("id_par")).withColumn("ini", F.substring("clave", 1, 8))
+    # below this quantity the net total is under the unit price
+    ratio = F.col("cant") / F.lit(VAT)
+    distinct = shape.filter(ratio > 1 - 2 * tol).groupBy("cant", "clave", "precio").agg(F.min("id").alias("id_par")).withColumn(
+        "ini", F.substring("clave", 1, 8))
+    good = distinct.withColumn("esperado", F.col("precio") * F.col("cant") / F.lit(VAT)).withColumn("f", cell(F.col("esperado")))
+    # the ends of the band a little further out and in, so that rounding cannot put a price on the wrong side
+    low, high, hair = F.col("precio") / (1 + tol), F.col("precio") / (1 - tol), 1e-11
     bad = distinct.select(
         "cant", "ini", F.col("clave").alias("c_clave"), F.col("precio").alias("c_precio"),
-        F.explode(F.array(*[bucket(F.col("precio")) + d for d in (-1, 0, 1)])).alias("b"),
-    )
-    good = distinct.withColumn("esperado", F.col("precio") * F.col("cant") / F.lit(VAT)).withColumn("b", bucket(F.col("esperado")))
-    hit = (
-        (F.col("c_precio") > F.col("precio"))
-        & (F.abs(F.col("c_precio") - F.col("esperado")) / F.col("esperado") < tol)
-        & (F.startswith("clave", "c_clave") | F.startswith("c_clave", "clave"))
-    )
-    found = (
-        bad.join(good, ["cant", "ini", "b"]).filter(hit)
-        .groupBy("cant", F.col("c_clave").alias("clave"), F.col("c_precio").alias("precio"))
-        .agg(F.min(F.struct("id_par", F.col("precio").alias("precio_bueno"))).alias("par"))
-    )
+        cell(low * (1 - hair)).alias("f0"), cell(low * (1 + hair)).alias("f1"), cell(high * (1 - hair)).alias("f2"), cell(high * (1 + hair)).alias("f3"))
+    prefix = F.startswith("clave", "c_clave") | F.startswith("c_clave", "clave")
+    pair = F.struct("id_par", F.col("precio").alias("precio_bueno"))
+    # where a total may also lie under its unit price, every price keeps a row of its own
+    close = F.when(ratio < 1 + 2 * tol, F.col("precio")).otherwise(0.0)
+    least = good.groupBy("cant", "ini", "clave", "f", close.alias("solo")).agg(F.min(pair).alias("par")).withColumn("g", F.floor(F.col("f") / wide))
+    spans = bad.withColumn("g", F.explode(F.array_distinct(F.array(F.floor(F.col("f1") / wide), F.floor(F.col("f2") / wide)))))
+    inside = spans.join(least, ["cant", "ini", "g"]).filter(
+        (F.col("f") > F.col("f1")) & (F.col("f") < F.col("f2")) & (F.col("c_precio") > F.col("par.precio_bueno")) & prefix)
+    ends = bad.withColumn("f", F.explode(F.array_distinct(F.array("f0", "f1", "f2", "f3"))))
+    at_ends = ends.join(good, ["cant", "ini", "f"]).filter(
+        (F.col("c_precio") > F.col("precio")) & (F.abs(F.col("c_precio") - F.col("esperado")) / F.col("esperado") < tol) & prefix)
+    columns = ["cant", F.col("c_clave").alias("clave"), F.col("c_precio").alias("precio")]
+    found = inside.select(*columns, "par").unionByName(at_ends.select(*columns, pair.alias("par"))).groupBy("cant", "clave", "precio").agg(
+        F.min("par").alias("par"))
     return shape.join(found, ["cant", "clave", "precio"]).select(
         "id", "cant", F.col("precio").alias("precio_malo"), F.col("par.precio_bueno").alias("precio_bueno"),
         F.col("par.id_par").alias("id_par"),
         rnd(F.col("par.precio_bueno") * F.col("cant") / F.lit(VAT)).alias("esperado"),
     )
-
-

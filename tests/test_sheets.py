@@ -93,6 +93,28 @@ def test_rates_by_the_minute_against_a_plain_search(spark):
     assert {r.estado_tc for r in P.convert_currency(lines, rates.limit(0)).collect()} == {"OK", "SIN_TC"}
 
 
+def test_totals_as_unit_prices_against_all_pairs(spark):
+    rng = random.Random(6)
+    names = ["cemento portland", "cemento por", "Cemento Portland x 25", "cemento", "arena fina gruesa", "arena fi"]
+    # one item with many prices in one band, and quantities whose total lies close to the unit price
+    rows = [(i, rng.choice(names), rng.choice([100.0, 181.0, 905.0, 1000.0]) * (1 + rng.randrange(-120, 121) / 10_000), rng.choice([1.0, 1.1, 1.105, 1.11, 2.0, 10.0]))
+            for i in range(900)] + [(900, "cemento portland", 0.0, 2.0), (901, None, 5.0, 2.0), (902, "cemento portland", 5.0, None)]
+    rows += [(1000 + i, "clavo de acero", 500.0 + i / 100, 2.0) for i in range(400)] + [(2000 + i, "clavo de acero", rnd2((500.0 + i) * 2 / 1.105), 2.0) for i in range(5)]
+    key = lambda t: "".join((t or "").lower().split())
+    known = [(i, key(t), p, q) for i, t, p, q in rows if p > 0 and q and len(key(t)) >= 8]
+    expected = {}
+    for i, k, p, q in known:
+        twins = [(j, o) for j, l, o, r in known if r == q and p > o and (k.startswith(l) or l.startswith(k)) and abs(p - o * r / 1.105) / (o * r / 1.105) < 0.005]
+        if twins:
+            expected[i] = min(twins)
+    got = P.total_as_unit_price(spark.createDataFrame(rows, "id long, texto string, precio double, cant double")).collect()
+    assert {r.id: (r.id_par, r.precio_bueno) for r in got} == expected and len(got) == len(expected) > 100
+
+
+def rnd2(x):
+    return int(x * 100 + 0.5) / 100
+
+
 def test_aliases_that_begin_alike(spark):
     aliases = spark.createDataFrame([(f"SUPPLIER {i:03d}", f"c{i}", i) for i in range(300)] + [("SU", "corto", 999)], "alias string, canonico string, orden long")
     texts = spark.createDataFrame([(k, f"presupuesto supplier {k:03d} y supplier") for k in range(40)] + [(99, "su casa"), (100, "nada")], "doc long, texto string")
