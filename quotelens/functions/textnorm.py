@@ -13,19 +13,40 @@ from pyspark.sql.types import StringType
 from . import vocabulary as V
 
 
+# --- fixed values: patterns of the normalisation, applied in this order -----------
+NORMAL = (
+    (r"\([^)]*\)", " "),
+    (r"(?U)^\*+[^*]+\*+\s*", ""),
+    (r"(?U)^(NUEVA\s+)?(BOLSA|CAJA|PAQUETE|ROLLO|BIDON)\s+X\s+\d+\w*\s*", ""),
+    (r"(?<=[A-Z])-(?=\d)|(?<=\d)-(?=[A-Z])", ""),
+    (r"(?U)\bASENTAMIENTO\b", " "),
+    (r"(?U)\b\d+\s*CM\b", " "),
+    (r"(?U)[^\w\s.\-/]", " "),
+    (r"(?U)\s+", " "),
+)
+SPLIT_MEASURES = (
+    (r"(?iU)\bPFGAL\s*C\s*(?=\d)", "PGC "),
+    (r"(?iU)\bPFGAL\s*U\s*(?=\d)", "PGU "),
+    (r"(?<=\d),(?=\d)", "."),
+    (r"(?<=\d)\s*[xX*]\s*(?=\d)", " x "),
+    (r"(?<=\d)(?=[A-Za-zÁÉÍÓÚÑáéíóúñ])", " "),
+)
+GAUGES = (
+    (r"(?<![\d.])0[. ](?:89|90|94|9)(?!\d)", "0.94"),
+    (r"(?<![\d.])1[. ](?:20|25|29|2)(?!\d)", "1.29"),
+    (r"(?<![\d.])1[. ](?:60|64|6)(?!\d)", "1.64"),
+    (r"(?<![\d.])2[. ](?:00|04|0)(?!\d)", "2.04"),
+)
+ANCHOR = r"(?iU)\b(?:roscad\w*|anclaj\w*|spit|fischer|ftr|rgm)\b"
+MASK = "VARROSCA"
+
+WORD = re.compile(r"\w+")
+
+
 def normalize(col: Column) -> Column:
     """Upper case without vowel accents, parentheses, pack prefixes and stray signs."""
     s = F.translate(F.upper(F.coalesce(col, F.lit(""))), "ÁÉÍÓÚÜ", "AEIOUU")
-    for pattern, repl in (
-        (r"\([^)]*\)", " "),
-        (r"(?U)^\*+[^*]+\*+\s*", ""),
-        (r"(?U)^(NUEVA\s+)?(BOLSA|CAJA|PAQUETE|ROLLO|BIDON)\s+X\s+\d+\w*\s*", ""),
-        (r"(?<=[A-Z])-(?=\d)|(?<=\d)-(?=[A-Z])", ""),
-        (r"(?U)\bASENTAMIENTO\b", " "),
-        (r"(?U)\b\d+\s*CM\b", " "),
-        (r"(?U)[^\w\s.\-/]", " "),
-        (r"(?U)\s+", " "),
-    ):
+    for pattern, repl in NORMAL:
         s = F.regexp_replace(s, pattern, repl)
     return F.trim(s)
 
@@ -84,9 +105,6 @@ class Cascade:
         return text
 
 
-WORD = re.compile(r"\w+")
-
-
 def synonym_folder(rules: list[tuple[str, str]]):
     """Arrow UDF over texts that are already upper case and free of accents; equal texts of a batch are folded once."""
 
@@ -101,10 +119,6 @@ def synonym_folder(rules: list[tuple[str, str]]):
     return fold
 
 
-ANCHOR = r"(?iU)\b(?:roscad\w*|anclaj\w*|spit|fischer|ftr|rgm)\b"
-MASK = "VARROSCA"
-
-
 def before_fold(df: DataFrame, text: str, out: str) -> DataFrame:
     """Join galvanised profile names, split measures, mask anchor rods.
 
@@ -112,13 +126,7 @@ def before_fold(df: DataFrame, text: str, out: str) -> DataFrame:
     before, so the expression tree stays small.
     """
     s = F.coalesce(text, F.lit(""))
-    for pattern, repl in (
-        (r"(?iU)\bPFGAL\s*C\s*(?=\d)", "PGC "),
-        (r"(?iU)\bPFGAL\s*U\s*(?=\d)", "PGU "),
-        (r"(?<=\d),(?=\d)", "."),
-        (r"(?<=\d)\s*[xX*]\s*(?=\d)", " x "),
-        (r"(?<=\d)(?=[A-Za-zÁÉÍÓÚÑáéíóúñ])", " "),
-    ):
+    for pattern, repl in SPLIT_MEASURES:
         s = F.regexp_replace(s, pattern, repl)
     df = df.withColumn(out, s)
     masked = F.regexp_replace(out, r"(?iU)\bVARILLAS?\b", MASK)
@@ -130,12 +138,7 @@ def after_fold(df: DataFrame, out: str) -> DataFrame:
     """Steel gauges, trailing zeros, bar lengths and the lost Ñ."""
     df = df.withColumn(out, F.replace(F.lower(out), F.lit(MASK.lower()), F.lit("varilla")))
     gauged = F.regexp_replace(out, r"(?U)\be(?=\d)", "e ")
-    for pattern, canon in (
-        (r"(?<![\d.])0[. ](?:89|90|94|9)(?!\d)", "0.94"),
-        (r"(?<![\d.])1[. ](?:20|25|29|2)(?!\d)", "1.29"),
-        (r"(?<![\d.])1[. ](?:60|64|6)(?!\d)", "1.64"),
-        (r"(?<![\d.])2[. ](?:00|04|0)(?!\d)", "2.04"),
-    ):
+    for pattern, canon in GAUGES:
         gauged = F.regexp_replace(gauged, pattern, canon)
     steel = F.col(out).rlike(r"(?U)\b(?:pgc|pgu|pgo)\b")
     df = df.withColumn(out, F.when(steel, gauged).otherwise(F.col(out)))

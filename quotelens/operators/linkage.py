@@ -15,6 +15,7 @@ from ..functions.similarity import letter_ratio, partial_ratio, token_set_ratio
 from ..session import cut
 from .ingest import numbered
 
+# --- fixed values: thresholds -------------------------------------------------
 CUTOFF = 48.0
 AUTO, DOUBT = 85.0, 60.0
 DEFAULT_CONF = 80
