@@ -58,11 +58,30 @@ def test_leaks_are_found_and_clean_texts_left_alone(spark):
     assert (found[0, 0].begin, found[0, 0].end, found[0, 0].n_match) == (40, 54, 14) and found[1, 2].n_match == 24 and found[9, 1].begin == 30000
     clean = decontaminate.clean_documents(d.withColumn("overlaps", F.lit("mine")), bench)
     assert sorted(r.doc_id for r in clean.collect()) == [2, 3, 4, 5, 10] and set(clean.columns) == {*d.columns, "overlaps"} and clean.first().overlaps == "mine"
-    # many blocks of items, no items, no texts
-    assert {(r.doc_id, r.item_id) for r in decontaminate.find_overlaps(d, bench, block_chars=100).collect()} == set(found)
+    # a filter that lets most hashes through, no items, no texts
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_overlaps(d, bench, filter_bits=8).collect()} == set(found)
+    lists = {r.doc_id: [o.item for o in r.overlaps] for r in decontaminate.with_overlaps(d.withColumn("overlaps", F.lit("mine")), bench).collect()}
+    assert lists == {i: sorted(k for t, k in found if t == i) for i in range(len(texts))}
     assert decontaminate.find_overlaps(d, bench.limit(0)).count() == 0 and decontaminate.find_overlaps(d.limit(0), bench).count() == 0
 
 
+def test_leaks_of_many_copies_and_of_one_common_passage(spark, monkeypatch):
+    draw = random.Random(17)
+    common = prose(draw, 15)
+    items = [f"{prose(draw, 12)} {common} {prose(draw, 12)}" for _ in range(9)]
+    bench = spark.createDataFrame([*enumerate(items), (None, items[0]), (3, items[3])], "item_id long, text string")
+    copy = prose(draw, 8) + " " + items[2]
+    texts = [copy] * 12 + [f"{prose(draw, 6)} {common} {prose(draw, i)}" for i in range(12)] + [prose(draw, 50)] * 5
+    d = docs(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") != 1, F.col("doc_id")))
+    rows = lambda: sorted(((r.doc_id, r.item_id, r.begin, r.end, r.n_match) for r in decontaminate.find_overlaps(d, bench).collect()), key=str)
+    plain = rows()
+    assert len(plain) == 24 * 11  # every text against every row of the items
+    assert all(r[4] == (39 if r[1] == 2 else 15) for r in plain if r[0] is None or r[0] < 12)
+    monkeypatch.setattr(decontaminate, "HEAVY", 3)
+    assert rows() == plain
+    assert sorted(r.doc_id for r in decontaminate.clean_documents(d, bench).collect()) == [24, 25, 26, 27, 28]
+
+
 def slow_overlap(same, need, share):
     """Most equal tokens of any stretch of which `share` is equal, 0 below `need`."""
     most = max((sum(same[b:e]) for b in range(len(same)) for e in range(b + 1, len(same) + 1) if sum(same[b:e]) >= share * (e - b)), default=0)
