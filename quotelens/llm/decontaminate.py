@@ -99,20 +99,29 @@ def coded_items(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
 
 
 def seed_filter(seeds: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each value of the leading `bits` binary digits of a hash, set where a seed has it: 2 ** (bits - 3) bytes at any number of seeds."""
-    lead = F.shiftrightunsigned("h", 64 - bits)
-    word = F.shiftright(lead, 6).alias("word")
-    one = F.expr(f"shiftleft(1L, int(shiftrightunsigned(h, {64 - bits}) & 63))")
-    rows = seeds.groupBy(word).agg(F.bit_or(one).alias("mask")).collect()  # at most 2 ** (bits - 6) rows
+    """Two bits for each hash, at its first and at its next `bits` binary digits: 2 ** (bits - 3) bytes at any number of seeds."""
+    digits = (1 << bits) - 1
+    at = F.explode(F.array(*[F.shiftrightunsigned("h", 64 - k * bits).bitwiseAND(F.lit(digits).cast("long")) for k in (1, 2)])).alias("at")
+    one = F.expr("shiftleft(1L, int(at & 63))")
+    rows = seeds.select(at).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("mask")).collect()  # at most 2 ** (bits - 6) rows
     out = np.zeros(1 << (bits - 6), np.int64)
     out[[r.word for r in rows]] = [r["mask"] for r in rows]
     return out.view(np.uint64)
 
 
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of the hashes of which both bits are set; a hash of no seed passes as often as the square of the set share."""
+    width = int(math.log2(len(bits))) + 6
+    at = np.arange(len(hashes))
+    for k in (1, 2):
+        digits = (hashes[at] >> np.uint64(64 - k * width)) & np.uint64((1 << width) - 1)
+        at = at[(bits[digits >> np.uint64(6)] >> (digits & np.uint64(63))) & np.uint64(1) == 1]
+    return at
+
+
 def with_hits(docs: DataFrame, columns: list[str], text: str, masks: list[str], passed: np.ndarray) -> DataFrame:
     """`columns` of `docs`, the whole text, the seeds of it that pass the filter and, where there are any, the text's digest."""
     shared = docs.sparkSession.sparkContext.broadcast(passed)  # of fixed size
-    shift = np.uint64(64 - int(math.log2(len(passed))) - 6)
 
     def make():
         bits = shared.value
@@ -123,8 +132,7 @@ def with_hits(docs: DataFrame, columns: list[str], text: str, masks: list[str],
                 words, _, _, first = hashed_words(part)
                 places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
                 for _, at, h in placed_hashes(words, np.repeat(np.arange(len(part)), np.diff(first)), masks):
-                    lead = h >> shift
-                    ok = (bits[lead >> np.uint64(6)] >> (lead & np.uint64(63))) & np.uint64(1) == 1
+                    ok = passes(bits, h)
                     places.append(at[ok])
                     hashes.append(h[ok])
                 out += by_text(np.concatenate(places), np.concatenate(hashes), first)
@@ -262,7 +270,7 @@ def with_overlaps(docs: DataFrame, items: DataFrame, text: str = "text", item_te
     stretch may be it. Items shorter than the longest mask are found where a mask hits them or they are equal as a whole. Tokens are lower-cased runs of letters and
     digits, so case and punctuation don't matter. Null, empty and very short texts and items have no overlap. Rows with
     null or repeated keys are each judged on their own, items with equal texts are each found, and a column of that
-    name is replaced. What is sent to the tasks is a filter of 2 ** (filter_bits - 3) bytes; texts without a hash in it
+    name is replaced. What is sent to the tasks is a filter of 2 ** (filter_bits - 3) bytes (filter_bits from 6 to 32); texts without a hash in it
     aren't shuffled, and a fuller filter only lets more hashes into the join.
     """
     columns = [c for c in (docs.columns if keep is None else keep) if c != name]

@@ -82,6 +82,15 @@ def test_leaks_of_many_copies_and_of_one_common_passage(spark, monkeypatch):
     assert sorted(r.doc_id for r in decontaminate.clean_documents(d, bench).collect()) == [24, 25, 26, 27, 28]
 
 
+def test_filter_passes_every_seed(spark):
+    draw = random.Random(21)
+    hashes = np.array([draw.getrandbits(64) for _ in range(700)], np.uint64)
+    seeds = spark.createDataFrame([(int(h),) for h in hashes[:200].view(np.int64)], "h long")
+    for bits in (8, 16, 24):
+        passed = set(decontaminate.passes(decontaminate.seed_filter(seeds, bits), hashes).tolist())
+        assert passed >= set(range(200)) and (bits == 8 or len(passed) < 210)
+
+
 def slow_overlap(same, need, share):
     """Most equal tokens of any stretch of which `share` is equal, 0 below `need`."""
     most = max((sum(same[b:e]) for b in range(len(same)) for e in range(b + 1, len(same) + 1) if sum(same[b:e]) >= share * (e - b)), default=0)
