@@ -81,11 +81,14 @@ def prefix_histogram(rows: DataFrame) -> DataFrame:
     return x.groupBy(F.substring(effective_code(), 1, 4).alias("prefijo")).agg(F.count("*").alias("n"))
 
 
-def seed_equivalences(target: DataFrame, decisions: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """CARGAR rows, supplier from the file name, item name looked up, upsert on (cod_prov, proveedor)."""
+def seed_equivalences(target: DataFrame, decisions: DataFrame, catalogue: DataFrame, item: str = "cod_int") -> DataFrame:
+    """CARGAR rows, supplier from the file name, item name looked up by ``item``, upsert on (cod_prov, proveedor).
+
+    ``item`` is unique in the catalogue; name another column where printed codes are cut short and several items share one.
+    """
     supplier = F.trim(F.replace(F.element_at(F.split("fuente", "_"), 1), F.lit(".xlsx"), F.lit("")))
     x = decisions.filter("decision = 'CARGAR'").withColumn("cod_int", effective_code()).filter("cod_int <> ''")
-    x = x.withColumn("proveedor", F.when(supplier == "", "UNKNOWN").otherwise(supplier)).join(catalogue.select("cod_int", "item_int"), "cod_int", "left")
+    x = x.withColumn("proveedor", F.when(supplier == "", "UNKNOWN").otherwise(supplier)).join(catalogue.select(item, "item_int"), item, "left")
     batch = x.select("cod_prov", "proveedor", "cod_int", F.coalesce("item_int", F.lit("")).alias("item_int"), F.lit("auto").alias("fuente"), F.lit(85).alias("confianza"), "seq")
     return upsert(target, batch, ["cod_prov", "proveedor"])
 

@@ -171,7 +171,7 @@ def decisions(spark, sf):
     code = F.concat(F.lit("COD"), F.lpad(F.col("codigo").cast("string"), 5, "0"))
     return q.select(
         F.col("p_name").alias("desc"), F.when(k == 0, "CARGAR").when(k == 1, "CAMBIAR").when(k == 2, "DESCARTAR").otherwise("CARGAR").alias("decision"),
-        code.alias("cod_propuesto"), F.when(k == 1, F.concat(code, F.lit("B"))).alias("cod_correcto"), F.col("line_id").alias("seq"), "doc", "prov_id", "line_no")
+        code.alias("cod_propuesto"), F.when(k == 1, F.concat(code, F.lit("B"))).alias("cod_correcto"), F.col("line_id").alias("seq"), "doc", "prov_id", "line_no", "codigo")
 
 
 CONSOLIDATED = """
@@ -209,11 +209,12 @@ def s10_hist(spark, sf):
          CASE WHEN b.cod_int IS NULL THEN 100 ELSE 85 END AS confianza FROM t FULL JOIN b USING (cod_prov, proveedor)"""))
 def s11(spark, sf):
     d = decisions(spark, sf).withColumn("fuente", F.concat(F.lit("prov"), (F.col("prov_id") % 7).cast("string"), F.lit("_lista.xlsx"))).withColumn(
-        "cod_prov", F.concat(F.lit("P"), (F.substring("cod_propuesto", 4, 5).cast("int") % 50).cast("string")))
-    cat = materials(spark, sf).select(F.concat(F.lit("COD"), F.lpad(F.col("codigo").cast("string"), 5, "0")).alias("cod_int"), F.col("p_name").alias("item_int"))
+        "cod_prov", F.concat(F.lit("P"), (F.col("codigo") % 50).cast("string")))
+    # a printed code has five digits, which items from 100,000 on share
+    cat = materials(spark, sf).select("codigo", F.col("p_name").alias("item_int"))
     t = materials(spark, sf).select(F.concat(F.lit("P"), F.col("codigo").cast("string")).alias("cod_prov"), F.lit("prov1").alias("proveedor"),
                                                            F.lit("viejo").alias("cod_int"), F.lit("").alias("item_int"), F.lit("manual").alias("fuente"), F.lit(100).alias("confianza"))
-    return I.seed_equivalences(t, d, cat)
+    return I.seed_equivalences(t, d, cat, item="codigo")
 
 
 @query("s12_equivalence_map", on("quotes", sql="""
