@@ -47,13 +47,13 @@ def s2(spark, sf):
 @query("s3_header_detection", on("quotes", sql="""
   SELECT line_id AS archivo, 1 AS cabecera, 0 AS i_cod, 1 AS i_desc, 2 AS i_cant, 3 AS i_pu, 4 AS i_total FROM quotes"""))
 def s3(spark, sf):
-    return S.find_headers(S.sheet_rows(sheet_files(spark, sf)))
+    return S.find_headers(sheet_files(spark, sf))
 
 
 @query("s3_sheet_items", on("quotes", sql="""
   SELECT line_id AS archivo, 2 AS fila, CAST(codigo AS VARCHAR) AS cod, p_name || ', "chico"' AS "desc", cant, pu, floor(pu * cant * 100.0 + 0.5) / 100.0 AS total FROM quotes"""))
 def s3_items(spark, sf):
-    return S.sheet_items(S.sheet_rows(sheet_files(spark, sf)))
+    return S.sheet_items(sheet_files(spark, sf))
 
 
 @query("s4_row_cleanup", on("quotes", sql="""
