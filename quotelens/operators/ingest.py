@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import cut
+from ..session import cut, shuffled
 from .learn import upsert
 
 
@@ -38,11 +38,14 @@ def import_equivalences(rows: DataFrame, catalogue: DataFrame, confidence: int =
     """``rows(codigo, desc, proveedor, seq)``: aliases whose code exists, and why the others were left out."""
     x = rows.withColumn("denominacion", F.lower(F.trim("desc")))
     empty = F.col("codigo").isNull() | (F.coalesce("denominacion", F.lit("")) == "")
-    known = catalogue.select("codigo").distinct().withColumn("hay", F.lit(True))
-    x = x.join(known, "codigo", "left").withColumn("motivo", F.when(empty, "vacio").when(F.col("hay").isNull(), "sin_codigo").otherwise("entra"))
+    known = catalogue.select("codigo").distinct()
+    # rows without a code would all meet in one task of a join
+    named = x.filter(~empty)
     origin = F.when(F.coalesce("proveedor", F.lit("")) != "", F.concat(F.lit("equivalencias_"), F.replace(F.lower("proveedor"), F.lit(" "), F.lit("_")))).otherwise("equivalencias_historico")
-    good = x.filter("motivo = 'entra'").groupBy("codigo", "denominacion").agg(F.min_by(origin, "seq").alias("origen")).withColumn("confianza", F.lit(confidence))
-    return good, x.groupBy("motivo").agg(F.count("*").alias("n"))
+    good = shuffled(named).join(known, "codigo", "left_semi").groupBy("codigo", "denominacion").agg(F.min_by(origin, "seq").alias("origen")).withColumn("confianza", F.lit(confidence))
+    codes = x.groupBy(F.when(~empty, F.col("codigo")).alias("codigo")).agg(F.count("*").alias("n")).join(known.withColumn("hay", F.lit(True)), "codigo", "left")
+    reason = F.when(F.col("codigo").isNull(), "vacio").when(F.col("hay").isNull(), "sin_codigo").otherwise("entra")
+    return good, codes.groupBy(reason.alias("motivo")).agg(F.sum("n").alias("n"))
 
 
 def effective_code() -> Column:
