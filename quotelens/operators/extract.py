@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType, StructType, StructField
 
+from ..functions import lineformats as LF
 from ..functions import substrings as S
 from ..functions import textnorm as T
 from ..functions.scalars import exact_sum, parse_number, rnd
@@ -76,86 +77,44 @@ SUPPLIER_NOTE = (r"(?iU)producto bajo pedido|demora entre|solo para retiro|horar
                  r"cotizaci[oó]n sujeta|la responsabilidad|p[aá]gina\s*\d|aclaraciones")
 UNIT_SUFFIX = r"(?iU)^([\d.,]+)\s+(?:Unidades?|Mts?\.?|Kg\.?|m2|m3|ml|gl|lts?\.?|un\.?|pz\.?)\s*$"
 
-SEP = "\u0001"
-
 
 # --- items ------------------------------------------------------------------------
 
-def offered(tokens: str = "piezas") -> Column:
-    """Places in FORMATS of the formats a line can be, by the shape of its first and last tokens.
+def with_shape(lines: DataFrame) -> DataFrame:
+    """Adds `ofrecidos`: places in FORMATS of the formats a line can be, by the shape of its first and last tokens."""
+    places = {name: i for i, (name, _, _) in enumerate(FORMATS)}
 
-    Each test is necessary for its pattern, so no format that would match is left out; most lines are offered one to three.
-    ``tokens`` names the array of the line's tokens.
-    """
-    t = F.col(tokens)
-    first, second = F.get(t, 0), F.get(t, 1)
-    z1, z2, z3, z4 = (F.get(t, F.size(t) - i) for i in (1, 2, 3, 4))
-    # `is_` compares one whole token, so the cost does not grow with the line
-    is_ = lambda token, rx: token.rlike(f"(?U)^(?:{rx})$")
-    comma, point, decimal, whole = r"\$?[\d.]*\d,\d{2}", r"\$?[\d,]*\.\d{2}", r"[\d,]+\.\d+", r"\d+"
-    eu, us = F.col("fin_coma"), F.col("fin_punto")
-    pesos = F.col("pesos")
-    unit_before_total = F.when(z2 == "$", z4).otherwise(z3)
-    tests = {
-        "enseco": eu & (pesos >= 1) & unit_before_total.rlike(r"(?iU)^(?:Unidades?|ML|MTS?|M2|M3|KG|UN)$"),
-        "viejobueno": us & is_(first, whole) & is_(second, r"\d+\.\d{10,}"),
-        "carosio_presu": us & is_(first, "[A-Z]{2}[A-Z0-9]{2,}") & is_(z2, r"[A-Za-z]{1,6}\.?"),
-        "alfonsin": eu & F.endswith(z3, F.lit("%")) & is_(first, r"\d+(?:,\d{1,2})?"),
-        "madlobos": eu & F.startswith(z3, F.lit("-")) & is_(first, comma),
-        "jeluz": us & (pesos >= 2) & is_(first, whole),
-        "ofertas": eu & (pesos >= 3) & F.col("porciento"),
-        "molber": us & is_(first, r"\d+(?:\.\d{2})?") & is_(second, "[A-Z]{2,4}"),
-        "galpon": eu & F.endswith(z3, F.lit("%")) & is_(first, comma) & is_(second, r"[A-Z]{1,3}\.?"),
-        "triunvirato": eu & is_(first, whole) & is_(second, comma) & is_(z2, r"\d{1,2},\d{2}"),
-        "insuma": us & is_(z2, r"\d{1,2}\.\d{2}") & is_(z3, r"\d{1,2}\.\d{2}") & (F.length(first) >= 6),
-        "foresta": eu & is_(first, r"\d{6,}") & is_(z3, r"\d{1,2},\d"),
-        "laprida": us & is_(first, r"\d+\.\d{2}") & is_(second, r"\d{6,}"),
-        "pedido_pev": eu & (pesos >= 2),
-        "cant_desc_iva": us & is_(first, whole) & is_(z2, point) & is_(z3, r"\d{1,2}\.\d{2}"),
-        "fagua": us & (pesos >= 2) & first.rlike(r"(?U)^\d{2}"),
-        "baukraft": is_(z1, decimal) & is_(z2, decimal) & is_(z3, r"\d+(?:\.\d+)?") & first.rlike(r"(?U)^\d"),
-        "carosio": is_(z1, decimal) & is_(z3, decimal) & is_(z4, decimal) & is_(first, whole),
-        "europeo": eu & is_(z2, comma) & is_(second, whole),
-        "cant_desc_eur": eu & is_(z2, comma) & is_(first, comma),
-    }
-    return F.array_compact(F.array(*[F.when(tests[name], F.lit(i)) for i, (name, _, _) in enumerate(FORMATS)]))
+    @F.arrow_udf("array<int>")
+    def offers(line: pa.Array) -> pa.Array:
+        return pa.array([[places[n] for n in LF.offered(x)] for x in line.to_pylist()], pa.list_(pa.int32()))
 
+    return lines.withColumn("ofrecidos", offers("line"))
 
-def with_shape(lines: DataFrame) -> DataFrame:
-    """Adds what `offered` reads: tokens, number of pesos signs, percent sign and decimal style at the end."""
-    x = lines.withColumn("piezas", F.split(F.trim(F.regexp_replace("line", r"(?U)\s+", " ")), " "))
-    last = F.substring(F.get(F.col("piezas"), F.size("piezas") - 1), -3, 3)
-    return x.withColumns({
-        "fin_coma": last.rlike(r"(?U)^,\d{2}$"), "fin_punto": last.rlike(r"(?U)^\.\d{2}$"),
-        "pesos": F.length("line") - F.length(F.replace("line", F.lit("$"), F.lit(""))), "porciento": F.contains("line", F.lit("%"))})
+
+def offered(shape: str = "ofrecidos") -> Column:
+    """What :func:`with_shape` has found; no format that would match is left out, and most lines are offered one to three."""
+    return F.col(shape)
 
 
 def parse_lines(lines: DataFrame, *carry: str) -> DataFrame:
     """Every format tried on every line it can be the format of; one row per line and matching format.
 
-    The shape of a line offers few formats, and each offered one is tried once. A pattern covers the whole line, so one
-    replacement both tests it and lays its groups out in the common field order.
+    The shape of a line offers few formats, and each offered one is tried once, in one pass over batches of lines.
     """
-    def choose(values, prio):
-        out = F.when(prio == 0, values[0])
-        for i, v in enumerate(values[1:], 1):
-            out = out.when(prio == i, v)
-        return out
-
-    prio = F.col("prio")
-    laid = choose([F.regexp_replace("line", rx, order.replace("|", SEP)) for _, rx, order in FORMATS], prio)
-    name = choose([F.lit(n) for n, _, _ in FORMATS], prio)
-    tried = F.array(F.struct(prio, name.alias("formato"), F.split(laid, SEP).alias("g")))
-    # every format ends in a number; the outer explode keeps the optimizer from testing the patterns twice
-    numbered = lines.filter(F.col("line").rlike(r"(?U)\d\s*$"))
-    few = with_shape(numbered).select("doc", "line_no", *carry, "line", F.explode(offered()).alias("prio"))
-    hits = few.select("doc", "line_no", *carry, F.explode_outer(F.filter(tried, lambda t: F.size(t["g"]) == 7)).alias("t")).filter("t is not null")
-    field = lambda i: F.trim(F.col("t.g")[i])
-    # a row of its own for the numbers, so that the filter at the end does not parse them a second time
-    amounts = F.struct(*[parse_number(field(i)).alias(c) for i, c in ((2, "cant"), (3, "pu"), (4, "total"))])
-    x = hits.select("doc", "line_no", *carry, "t", F.explode_outer(F.array(amounts)).alias("n")).select(
-        "doc", "line_no", *carry, F.col("t.prio").alias("prio"), F.col("t.formato").alias("formato"), field(0).alias("cod"), field(1).alias("desc"), "n.*",
-        F.upper(F.regexp_replace(field(5), r"^\.+|\.+$", "")).alias("unidad"), field(6).alias("marca"))
+    formats = {name: (i, LF.compiled(rx), tuple(int("0" + g[1:]) for g in order.split("|"))) for i, (name, rx, order) in enumerate(FORMATS)}
+    fields = pa.schema([("prio", pa.int32()), ("formato", pa.string()), ("cod", pa.string()), ("desc", pa.string()), ("cant", pa.float64()),
+                        ("pu", pa.float64()), ("total", pa.float64()), ("unidad", pa.string()), ("marca", pa.string())])
+
+    def scan(batches):
+        for b in batches:
+            found = list(zip(*LF.matches(b.column(b.num_columns - 1).to_pylist(), formats))) or [()] * (len(fields) + 1)
+            kept = b.select(list(range(b.num_columns - 1))).take(pa.array(found[0], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(v, t) for v, t in zip(found[1:], fields.types))], names=[*kept.schema.names, *fields.names])
+
+    x = lines.select("doc", "line_no", *carry, "line")
+    types = "prio int, formato string, cod string, desc string, cant double, pu double, total double, unidad string, marca string"
+    x = x.mapInArrow(scan, StructType([*x.schema.fields[:-1], *StructType.fromDDL(types)]))
+    x = x.withColumn("unidad", F.upper(F.regexp_replace("unidad", r"^\.+|\.+$", "")))
     f = F.col("formato")
     glued = r"(?U)^(.+?\d)([A-ZÁÉÍÓÚÑ]{3,})$"
     x = x.withColumn("resto", F.when(f == "triunvirato", F.regexp_extract("cod", glued, 2)).otherwise(""))
