@@ -154,8 +154,7 @@ def elect(items: DataFrame, *ranks: str) -> DataFrame:
 def best_format(lines: DataFrame) -> DataFrame:
     """Items of the best format of each document; formats never mix inside one."""
     plain = cut(repair_codes(lines))
-    fixed, touched = repair_text(plain)
-    other = fixed.join(touched, "doc", "left_semi").withColumn("variante", F.lit(1))
+    other = repair_text(plain).withColumn("variante", F.lit(1))
     # read twice below: once for the election, once for the winner's items
     items = cut(parse_lines(plain.withColumn("variante", F.lit(0)).unionByName(other), "variante"))
     won = elect(items, "prio", "variante")
@@ -169,21 +168,27 @@ def _next(lines: DataFrame) -> DataFrame:
     return lines.select("doc", (F.col("line_no") - 1).alias("line_no"), F.col("line").alias("sig"))
 
 
-def repair_codes(lines: DataFrame) -> DataFrame:
-    """Glue a code that was wrapped to the next line onto its own line."""
+def repair_codes(lines: DataFrame, block: int = 4096) -> DataFrame:
+    """Glue a code that was wrapped to the next line onto its own line.
+
+    Lines are read once and shuffled once, by document and block of line numbers; the lines at both ends of a block also go to
+    its neighbour.
+    """
     shape = dict((n, rx) for n, rx, _ in FORMATS)["ofertas"]
     signs = F.contains("line", F.lit("$")) & F.contains("line", F.lit("%"))
-    heads = lines.filter(signs & F.col("line").rlike(shape))
-    rest = lines.filter(F.trim("line").rlike(CODE_REST))
-    hit = heads.join(_next(rest), ["doc", "line_no"])
+    own, place = F.floor(F.col("line_no") / block), F.pmod("line_no", F.lit(block))
+    blocks = F.when(place == 0, F.array(own, own - 1)).when(place == block - 1, F.array(own, own + 1)).otherwise(F.array(own))
+    x = lines.select("doc", "line_no", "line", F.explode(blocks).alias("b")).withColumns({
+        "inicia": F.coalesce(signs & F.col("line").rlike(shape), F.lit(False)), "resto": F.coalesce(F.trim("line").rlike(CODE_REST), F.lit(False))})
+    w = Window.partitionBy("doc", "b").orderBy("line_no")
+    follows = lambda at, n: F.coalesce(at("line_no").over(w) == F.col("line_no") + n, F.lit(False))
+    x = x.withColumns({
+        "sig": F.when(F.col("inicia") & follows(F.lead, 1) & F.lead("resto").over(w), F.trim(F.lead("line").over(w))),
+        "usada": F.col("resto") & follows(F.lag, -1) & F.lag("inicia").over(w)})
     code = F.regexp_extract("line", r"(?U)^\s*(\S+)", 1)
-    at = F.instr("line", code)
-    head = F.substring("line", F.lit(1), at - 1 + F.length(code))
-    tail = F.substring("line", at + F.length(code), F.length("line"))
-    fixed = hit.select("doc", "line_no", F.concat(head, F.trim("sig"), tail).alias("nueva"))
-    used = hit.select("doc", (F.col("line_no") + 1).alias("line_no"))
-    return lines.join(fixed, ["doc", "line_no"], "left").join(used, ["doc", "line_no"], "left_anti").withColumn(
-        "line", F.coalesce("nueva", "line")).drop("nueva").select("doc", "line_no", "line")
+    at = F.instr("line", code) + F.length(code)
+    glued = F.concat(F.substring("line", F.lit(1), at - 1), F.col("sig"), F.substring("line", at, F.length("line")))
+    return x.filter((F.col("b") == own) & ~F.col("usada")).select("doc", "line_no", F.when(F.col("sig").isNotNull(), glued).otherwise(F.col("line")).alias("line"))
 
 
 def _trailing_prices(tokens: Column) -> Column:
@@ -216,8 +221,8 @@ def run_starts(marks: DataFrame, block: int = 4096) -> DataFrame:
     return out.select("doc", "line_no", F.when(first, F.coalesce("antes", "ini")).otherwise(F.col("ini")).alias("inicio"))
 
 
-def repair_text(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Close spaced digits and merge wrapped item lines; returns lines and the documents that changed.
+def repair_text(lines: DataFrame) -> DataFrame:
+    """Close spaced digits and merge wrapped item lines; returns the lines of the documents that changed.
 
     A line takes the next one when it starts like an item, ends in fewer than two
     prices, and the next ends in a price without starting an item. Inside a run of
@@ -238,10 +243,11 @@ def repair_text(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     runs = run_starts(marks)
     taken = marks.join(runs, ["doc", "line_no"]).filter((F.col("line_no") - F.col("inicio")) % 2 == 0)
     used = taken.select("doc", (F.col("line_no") + 1).alias("line_no"))
-    out = x.join(taken.select("doc", "line_no", "sig"), ["doc", "line_no"], "left").join(used, ["doc", "line_no"], "left_anti")
-    line = F.when(F.col("sig").isNotNull(), F.concat_ws(" ", F.trim("line"), "sig")).otherwise(F.col("line"))
     touched = x.filter("pref <> ''").select("doc").unionByName(taken.select("doc")).distinct()
-    return out.select("doc", "line_no", line.alias("line")), touched
+    # lines of other documents go into no further join
+    out = x.join(touched, "doc", "left_semi").join(taken.select("doc", "line_no", "sig"), ["doc", "line_no"], "left").join(used, ["doc", "line_no"], "left_anti")
+    line = F.when(F.col("sig").isNotNull(), F.concat_ws(" ", F.trim("line"), "sig")).otherwise(F.col("line"))
+    return out.select("doc", "line_no", line.alias("line"))
 
 
 # --- fallbacks and document facts -----------------------------------------------------
