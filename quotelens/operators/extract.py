@@ -153,8 +153,9 @@ def elect(items: DataFrame, *ranks: str) -> DataFrame:
 
 def best_format(lines: DataFrame) -> DataFrame:
     """Items of the best format of each document; formats never mix inside one."""
-    plain = cut(repair_codes(lines))
-    other = repair_text(plain).withColumn("variante", F.lit(1))
+    # what the repairs look at is found once and stored beside the lines, as they read it several times
+    marked = cut(with_repairs(repair_codes(lines)))
+    plain, other = marked.select("doc", "line_no", "line"), repair_text(marked).withColumn("variante", F.lit(1))
     # read twice below: once for the election, once for the winner's items
     items = cut(parse_lines(plain.withColumn("variante", F.lit(0)).unionByName(other), "variante"))
     won = elect(items, "prio", "variante")
@@ -221,33 +222,40 @@ def run_starts(marks: DataFrame, block: int = 4096) -> DataFrame:
     return out.select("doc", "line_no", F.when(first, F.coalesce("antes", "ini")).otherwise(F.col("ini")).alias("inicio"))
 
 
-def repair_text(lines: DataFrame) -> DataFrame:
-    """Close spaced digits and merge wrapped item lines; returns the lines of the documents that changed.
+def with_repairs(lines: DataFrame) -> DataFrame:
+    """Adds what `repair_text` reads: the line with its digits closed (`junta`, null where none are spaced), whether it wants the
+    next line (`pide`) and whether it can be taken by the one before (`cede`)."""
+    digits = F.nullif(F.regexp_extract("line", SPACED_DIGITS, 0), F.lit(""))
+    closed = F.regexp_replace(F.replace("pref", F.lit(" "), F.lit("")), r"^(\d+\.\d{2})(\d+)$", "$1 $2")
+    x = lines.withColumn("pref", digits).withColumn(
+        "junta", F.when(F.col("pref").isNotNull(), F.concat(closed, F.substring("line", F.length("pref") + 1, F.length("line")))))
+    now = F.trim(F.coalesce("junta", "line"))
+    # the next line is looked at as it came, before its own digits are closed
+    raw = F.trim("line")
+    last = F.element_at(F.split(raw, r"(?U)\s+"), -1)
+    return x.withColumns({
+        "pide": F.coalesce(now.rlike(r"^\d") & (_trailing_prices(F.split(now, r"(?U)\s+")) < 2), F.lit(False)),
+        "cede": F.coalesce(last.rlike(PRICE_AT_END.replace("^", "", 1)) & ~raw.rlike(ITEM_START), F.lit(False))}).drop("pref")
+
+
+def repair_text(x: DataFrame) -> DataFrame:
+    """Close spaced digits and merge wrapped item lines of `with_repairs`; returns the lines of the documents that changed.
 
     A line takes the next one when it starts like an item, ends in fewer than two
     prices, and the next ends in a price without starting an item. Inside a run of
     such lines every other one is taken.
     """
-    spaced = F.regexp_extract("line", SPACED_DIGITS, 0)
-    x = lines.withColumn("pref", spaced).withColumn("junto", F.replace("pref", F.lit(" "), F.lit("")))
-    x = x.withColumn("junto", F.regexp_replace("junto", r"^(\d+\.\d{2})(\d+)$", "$1 $2"))
-    x = x.withColumn("original", F.col("line")).withColumn(
-        "line", F.when(F.col("pref") != "", F.concat("junto", F.substring("line", F.length("pref") + 1, F.length("line")))).otherwise(F.col("line")))
-    toks = F.split(F.trim("line"), r"(?U)\s+")
-    wants = x.filter(F.trim("line").rlike(r"^\d") & (_trailing_prices(toks) < 2)).select("doc", "line_no")
-    # the next line is looked at as it came, before its own digits are closed
-    raw = F.trim("original")
-    gives = x.filter(F.element_at(F.split(raw, r"(?U)\s+"), -1).rlike(PRICE_AT_END.replace("^", "", 1)) & ~raw.rlike(ITEM_START)).select(
-        "doc", (F.col("line_no") - 1).alias("line_no"), raw.alias("sig"))
+    wants = x.filter("pide").select("doc", "line_no")
+    gives = x.filter("cede").select("doc", (F.col("line_no") - 1).alias("line_no"), F.trim("line").alias("sig"))
     marks = wants.join(gives, ["doc", "line_no"])
     runs = run_starts(marks)
     taken = marks.join(runs, ["doc", "line_no"]).filter((F.col("line_no") - F.col("inicio")) % 2 == 0)
     used = taken.select("doc", (F.col("line_no") + 1).alias("line_no"))
-    touched = x.filter("pref <> ''").select("doc").unionByName(taken.select("doc")).distinct()
+    touched = x.filter("junta is not null").select("doc").unionByName(taken.select("doc")).distinct()
     # lines of other documents go into no further join
     out = x.join(touched, "doc", "left_semi").join(taken.select("doc", "line_no", "sig"), ["doc", "line_no"], "left").join(used, ["doc", "line_no"], "left_anti")
-    line = F.when(F.col("sig").isNotNull(), F.concat_ws(" ", F.trim("line"), "sig")).otherwise(F.col("line"))
-    return out.select("doc", "line_no", line.alias("line"))
+    now = F.coalesce("junta", "line")
+    return out.select("doc", "line_no", F.when(F.col("sig").isNotNull(), F.concat_ws(" ", F.trim(now), "sig")).otherwise(now).alias("line"))
 
 
 # --- fallbacks and document facts -----------------------------------------------------
