@@ -80,7 +80,9 @@ def latest(keys: tuple[str, ...], seq: str) -> Fold:
     """Of old and new rows of a key the one with the greatest ``seq`` stays: late and repeated rows change nothing."""
     def fold(old: DataFrame, delta: DataFrame) -> DataFrame:
         both = old.unionByName(delta.select(*old.columns))
-        return both.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in old.columns if c not in keys]), seq).alias("v")).select(*keys, "v.*")
+        # `seq` leads the row, so it is shuffled once and not beside the row as well
+        row = F.struct(seq, *[c for c in old.columns if c not in (*keys, seq)])
+        return both.groupBy(*keys).agg(F.max(row).alias("v")).select(*keys, "v.*")
 
     return fold
 
