@@ -260,33 +260,45 @@ def repair_text(x: DataFrame) -> DataFrame:
 
 # --- fallbacks and document facts -----------------------------------------------------
 
+def where(x: DataFrame, condition: Column, *columns: str | Column) -> DataFrame:
+    """``x.filter(condition).select(*columns)`` without moving the test.
+
+    Spark moves a filter below the columns it tests and writes their expressions out in it, once for each place they are named; a
+    test of parsed numbers then parses each text many times. Here every column is worked out once.
+    """
+    out = F.struct(*columns)
+    return x.select(F.inline(F.when(condition, F.array(out))))
+
 def free_lines(lines: DataFrame) -> DataFrame:
     """Last resort: trailing numbers are price, or quantity and price, or quantity, price and total."""
-    x = lines.withColumn("t", F.split(F.trim("line"), r"(?U)\s+")).filter(F.size("t") >= 2)
-    x = x.filter(F.element_at("t", -1).rlike(PRICE_AT_END))
+    x = lines.select("doc", "line_no", F.split(F.trim("line"), r"(?U)\s+").alias("t"))
+    priced = (F.size("t") >= 2) & F.element_at("t", -1).rlike(PRICE_AT_END)
     value = lambda t: F.when(t.rlike(r"^\d[\d.,]*\d$|^\d+$"), parse_number(t))
-    x = x.withColumn("v", F.transform(F.reverse("t"), value))
-    run = F.aggregate("v", F.struct(F.lit(True).alias("go"), F.lit(0).alias("n")),
-                      lambda acc, v: F.struct((acc["go"] & v.isNotNull()).alias("go"), (acc["n"] + F.when(acc["go"] & v.isNotNull(), 1).otherwise(0)).alias("n")))
-    x = x.withColumn("n", run["n"]).withColumn("nums", F.reverse(F.slice("v", F.lit(1), F.col("n"))))
-    x = x.filter((F.col("n") > 0) & (F.array_max("nums") >= 10) & (F.col("n") < F.size("t")))
-    x = x.withColumn("desc", F.array_join(F.slice("t", F.lit(1), F.size("t") - F.col("n")), " "))
-    x = x.filter((F.length("desc") >= 4) & ~F.col("desc").rlike(r"^[\d\-/.]+$"))
-    a, b = F.get("nums", 0), F.get("nums", 1)
+    # from the line's end; what follows the first token that is no number is not looked at
+    x = x.withColumn("v", F.when(priced, F.transform(F.reverse("t"), value)))
+    x = x.withColumn("corte", F.array_position(F.transform("v", lambda v: v.isNull()), True).cast("int"))
+    x = x.withColumn("n", F.when(F.col("corte") > 0, F.col("corte") - 1).otherwise(F.size("v")))
+    x = x.withColumns({"alto": F.array_max(F.slice("v", F.lit(1), F.col("n"))), "a": F.get("v", F.col("n") - 1), "b": F.get("v", F.col("n") - 2),
+                       "desc": F.array_join(F.slice("t", F.lit(1), F.size("t") - F.col("n")), " ")})
+    a, b = F.col("a"), F.col("b")
     small = (a < 500) & ((a == F.floor(a)) | (a % 0.5 == 0))
     two = (F.col("n") == 2)
     cant = F.when(F.col("n") == 1, 1.0).when(two, F.when(small & (b > a), a).otherwise(1.0)).otherwise(F.when(small, a).otherwise(1.0))
     pu = F.when(F.col("n") == 1, a).when(two, F.when(small & (b > a), b).otherwise(F.greatest(a, b))).otherwise(b)
-    x = x.withColumn("cant", cant).withColumn("pu", pu).filter("pu > 0")
-    return x.select("doc", "line_no", F.lit("").alias("cod"), T.join_split_letter(F.col("desc")).alias("desc"), "cant", "pu",
-                    rnd(F.col("pu") * F.col("cant")).alias("total"))
+    x = x.withColumns({"cant": cant, "pu": pu})
+    found = ((F.col("n") > 0) & (F.col("alto") >= 10) & (F.col("n") < F.size("t")) & (F.col("pu") > 0)
+             & (F.length("desc") >= 4) & ~F.col("desc").rlike(r"^[\d\-/.]+$"))
+    return where(x, found, "doc", "line_no", F.lit("").alias("cod"), T.join_split_letter(F.col("desc")).alias("desc"), "cant", "pu",
+                 rnd(F.col("pu") * F.col("cant")).alias("total"))
 
 
 def clean_cell(raw: Column) -> Column:
+    """First line of a cell without currency sign and unit; a pattern is only tried on what it can match."""
     s = F.trim(F.coalesce(raw, F.lit("")))
-    s = F.regexp_replace(F.regexp_replace(s, r"(?U)^\$\s*", ""), r"(?iU)^ARS\s*", "")
-    s = F.trim(F.element_at(F.split(s, "\n"), 1))
-    return F.regexp_replace(s, UNIT_SUFFIX, "$1")
+    ars = lambda t: F.regexp_replace(t, r"(?iU)^ARS\s*", "")
+    s = (F.when(F.startswith(s, F.lit("$")), ars(F.regexp_replace(s, r"(?U)^\$\s*", "")))
+         .when(F.lower(F.substring(s, 1, 1)) == "a", ars(s)).otherwise(s))
+    return F.regexp_replace(F.trim(F.substring_index(s, "\n", 1)), UNIT_SUFFIX, "$1")
 
 
 def infer_columns(tables: DataFrame) -> DataFrame:
@@ -303,9 +315,9 @@ def infer_columns(tables: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(filled, F.length("v"))) / F.nullif(F.count_if(filled), F.lit(0)), F.lit(0.0)).alias("largo"),
         F.coalesce(exact_sum(F.col("x"), 4) / F.nullif(F.count("x"), F.lit(0)), F.lit(0.0)).alias("valor"),
         F.count_if(F.col("raw") != "").alias("llenas"), F.max(F.length(F.trim("raw"))).alias("maximo"))
-    size = tables.groupBy("tabla").agg(F.count("*").alias("filas"), F.max(F.size("celdas")).alias("n_cols"))
+    size = tables.groupBy("tabla").agg(F.count("*").alias("filas"), F.max(F.size("celdas")).alias("n_cols")).filter("filas >= 3 and n_cols >= 3")
     cols = stats.groupBy("tabla").agg(F.array_sort(F.collect_list(F.struct("col", "pct", "largo", "valor", "llenas", "maximo"))).alias("c"))
-    cols = cols.join(size, "tabla").filter("filas >= 3 and n_cols >= 3")
+    cols = cols.join(size, "tabla")
 
     def top(arr, field, sign):
         """Column number of the extreme value; the leftmost of equal ones."""
@@ -316,31 +328,33 @@ def infer_columns(tables: DataFrame) -> DataFrame:
         taken = F.array_compact(F.array(*[F.col(n) for n in names]))
         return F.filter(arr, lambda c: ~F.array_contains(taken, c["col"]))
 
-    x = cols.withColumn("desc_col", top(F.filter("c", lambda c: c["pct"] < 0.3), "largo", 1)).filter("desc_col is not null")
-    x = x.withColumn("nums", F.filter(without(F.col("c"), "desc_col"), lambda c: c["pct"] > 0.5)).filter(F.size("nums") >= 2)
+    x = cols.withColumn("desc_col", top(F.filter("c", lambda c: c["pct"] < 0.3), "largo", 1))
+    x = x.withColumn("nums", F.filter(without(F.col("c"), "desc_col"), lambda c: c["pct"] > 0.5))
     x = x.withColumn("pu_col", top(F.col("nums"), "valor", 1))
     x = x.withColumn("total_col", top(without(F.col("nums"), "pu_col"), "valor", 1))
     x = x.withColumn("cant_col", top(without(F.col("nums"), "pu_col", "total_col"), "valor", -1))
     spare = F.filter(without(F.col("c"), "desc_col", "pu_col", "total_col", "cant_col"), lambda c: (c["llenas"] > 0) & (c["maximo"] <= 20))
     x = x.withColumn("cod_col", F.get(spare, 0)["col"])
-    return x.select("tabla", "cod_col", "desc_col", "pu_col", "cant_col", "total_col")
+    return where(x, F.col("desc_col").isNotNull() & (F.size("nums") >= 2), "tabla", "cod_col", "desc_col", "pu_col", "cant_col", "total_col")
 
 
 def table_items(tables: DataFrame) -> DataFrame:
     """Generic table to items with the inferred columns."""
     x = tables.filter("fila > 0").join(infer_columns(tables), "tabla")
     raw = lambda c: F.trim(F.coalesce(F.get("celdas", F.col(c)), F.lit("")))
-    x = x.withColumn("d", raw("desc_col")).filter(~F.col("d").rlike(SUPPLIER_NOTE))
-    first = F.trim(F.element_at(F.filter(F.split("d", "\n"), lambda l: F.trim(l) != ""), 1))
-    x = x.filter("d <> ''").withColumn("d", first)
+    x = x.withColumn("todo", raw("desc_col"))
+    first = F.trim(F.element_at(F.filter(F.split("todo", "\n"), lambda l: F.trim(l) != ""), 1))
+    x = x.withColumn("d", F.when(F.contains("todo", F.lit("\n")), first).otherwise(F.col("todo")))
     bracket = r"(?sU)^\[([A-Z0-9\s]+)\]\s*(.+)$"
-    x = x.withColumn("cod_c", F.trim(F.regexp_extract("d", bracket, 1))).withColumn("d", F.trim(F.regexp_replace("d", bracket, "$2")))
+    bracketed = F.startswith("d", F.lit("["))
+    x = x.withColumns({"cod_c": F.when(bracketed, F.trim(F.regexp_extract("d", bracket, 1))).otherwise(""),
+                       "d": F.when(bracketed, F.trim(F.regexp_replace("d", bracket, "$2"))).otherwise(F.col("d"))})
     num = lambda c: parse_number(clean_cell(raw(c)))
-    x = x.withColumn("pu", num("pu_col")).withColumn("cant", F.coalesce(num("cant_col"), F.lit(1.0))).withColumn("tot", num("total_col"))
-    x = x.filter((F.length("d") >= 3) & (F.col("pu") > 0))
+    x = x.withColumns({"pu": num("pu_col"), "cant": F.coalesce(num("cant_col"), F.lit(1.0)), "tot": num("total_col")})
     cod = F.when(F.col("cod_c") != "", F.col("cod_c")).otherwise(clean_cell(raw("cod_col")))
-    return x.select("tabla", "fila", cod.alias("cod"), T.join_split_letter(F.col("d")).alias("desc"), "cant", "pu",
-                    F.coalesce("tot", rnd(F.col("pu") * F.col("cant"))).alias("total"))
+    found = (F.col("pu") > 0) & (F.length("d") >= 3) & ~F.col("todo").rlike(SUPPLIER_NOTE)
+    return where(x, found, "tabla", "fila", cod.alias("cod"), T.join_split_letter(F.col("d")).alias("desc"), "cant", "pu",
+                 F.coalesce("tot", rnd(F.col("pu") * F.col("cant"))).alias("total"))
 
 
 def cascade(candidates: DataFrame, fallback: DataFrame, no_price: DataFrame, documents: DataFrame) -> DataFrame:
