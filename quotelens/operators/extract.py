@@ -392,9 +392,11 @@ def vat_regime(lines: DataFrame, items: DataFrame, relative: float = 0.0) -> Dat
     """
     both = F.array(F.struct(F.lit(0).alias("copia"), F.col("line").alias("s")), F.struct(F.lit(1).alias("copia"), T.collapse_doubled(F.col("line")).alias("s")))
     # a label at the end of a line reads on into the next one
-    labels = lines.filter(F.col("line").rlike(r"(?iU)TOTAL[\s\$:]*$"))
-    longer = labels.join(_next(lines), ["doc", "line_no"], "left").select("doc", "line_no", F.concat_ws("\n", "line", "sig").alias("line"))
-    search = lines.join(labels.select("doc", "line_no"), ["doc", "line_no"], "left_anti").unionByName(longer)
+    label = F.coalesce(F.col("line").rlike(r"(?iU)TOTAL[\s\$:]*$"), F.lit(False))
+    # only a line that goes on with a number adds to it, so no other line is shuffled for that
+    numbers = _next(lines.filter(F.col("line").rlike(r"(?U)^[\s\$:]*\d")))
+    longer = lines.filter(label).join(numbers, ["doc", "line_no"], "left").select("doc", "line_no", F.concat_ws("\n", "line", "sig").alias("line"))
+    search = lines.filter(~label).select("doc", "line_no", "line").unionByName(longer)
     s = search.select("doc", "line_no", F.explode(both).alias("v")).select("doc", "line_no", "v.copia", "v.s")
     total = F.nullif(F.regexp_extract("s", DECLARED_TOTAL, 1), F.lit(""))
     facts = s.groupBy("doc").agg(
